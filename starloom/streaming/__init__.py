@@ -1,0 +1 @@
+"""Empty on purpose: every input of the covered work is a static file, so there are no streams."""
