@@ -59,7 +59,15 @@ RENAMES = {
     "Lz": "l_z",
     "b": "axis_ratio_b",
     "c": "axis_ratio_c",
-    **{f"E{axis}{way}": f"e{axis}_{way}" for axis in "abc" for way in "xyz"},
+    "Eax": "ea_x",
+    "Eay": "ea_y",
+    "Eaz": "ea_z",
+    "Ebx": "eb_x",
+    "Eby": "eb_y",
+    "Ebz": "eb_z",
+    "Ecx": "ec_x",
+    "Ecy": "ec_y",
+    "Ecz": "ec_z",
     "ovdens": "overdensity",
     "nbins": "n_bins",
     "fMhires": "f_mass_highres",
@@ -69,13 +77,47 @@ RENAMES = {
     "Phi0": "phi0_km2_s2",
     "cNFW": "c_nfw",
 }
-MATTER_COLUMNS = (
-    "lambda", "lambdaE", "Lx", "Ly", "Lz", "b", "c",
-    *[f"E{axis}{way}" for axis in "abc" for way in "xyz"],
-    "Ekin", "Epot",
-)
 DROPPED = (
-    *[f"{name}_{kind}" for kind in ("gas", "star") for name in ("n", "M", *MATTER_COLUMNS)],
+    "n_gas",
+    "M_gas",
+    "lambda_gas",
+    "lambdaE_gas",
+    "Lx_gas",
+    "Ly_gas",
+    "Lz_gas",
+    "b_gas",
+    "c_gas",
+    "Eax_gas",
+    "Eay_gas",
+    "Eaz_gas",
+    "Ebx_gas",
+    "Eby_gas",
+    "Ebz_gas",
+    "Ecx_gas",
+    "Ecy_gas",
+    "Ecz_gas",
+    "Ekin_gas",
+    "Epot_gas",
+    "n_star",
+    "M_star",
+    "lambda_star",
+    "lambdaE_star",
+    "Lx_star",
+    "Ly_star",
+    "Lz_star",
+    "b_star",
+    "c_star",
+    "Eax_star",
+    "Eay_star",
+    "Eaz_star",
+    "Ebx_star",
+    "Eby_star",
+    "Ebz_star",
+    "Ecx_star",
+    "Ecy_star",
+    "Ecz_star",
+    "Ekin_star",
+    "Epot_star",
     "mean_z_gas",
     "mean_z_star",
     "n_star_excised",
