@@ -62,7 +62,7 @@ def check(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf: str, name: st
     got = QUERIES[name](spark, sf).toArrow()
     if name not in ORACLES:
         return None, got.num_rows
-    return difference(got, con.execute(ORACLES[name]).to_arrow_table()), got.num_rows
+    return difference(got, con.sql(ORACLES[name]).to_arrow_table()), got.num_rows
 
 
 def main(argv: list[str]) -> int:

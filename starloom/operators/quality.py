@@ -51,11 +51,12 @@ def rule_unique(df: DataFrame, key: Sequence[str], rule: str) -> DataFrame:
 
 def rule_holds(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that break each row-level rule; a NULL result counts as broken. One scan for all."""
-    counted = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(r) for r, c in rules.items()])
+    names = {r: f"__rule{i}" for i, r in enumerate(rules)}
+    broken = [F.count_if(~F.coalesce(c, F.lit(False))).alias(names[r]) for r, c in rules.items()]
     rows = F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.col(r).alias("n_violations")) for r in rules
+        F.struct(F.lit(r).alias("rule"), F.col(n).alias("n_violations")) for r, n in names.items()
     ])
-    return counted.select(F.inline(rows))
+    return df.agg(*broken).select(F.inline(rows))
 
 
 def rule_references(df: DataFrame, column: str, target: DataFrame, target_column: str, rule: str) -> DataFrame:
