@@ -75,22 +75,28 @@ def rank_thresholds(df: DataFrame, label: str, ranks: dict[str, dict], hash_col:
 
 
 def assign_by_rank(
-    df: DataFrame, label: str, key: Sequence[str], seed: int | str, ranks: dict[str, dict], other: str
+    df: DataFrame,
+    label: str,
+    key: Sequence[str],
+    seed: int | str,
+    ranks: dict[str, dict],
+    other: str,
+    name: str = "split_role",
 ) -> DataFrame:
-    """Add ``split_role``: the first rank name whose threshold is not below the row's hash.
+    """Add a role column: the first rank name whose threshold is not below the row's hash.
 
     ``ranks`` gives cumulative class ranks in increasing order, e.g. test first, then test + val.
     """
     hashed = df.withColumn(HASH, stable_hash(seed, *key))
     limits = rank_thresholds(hashed.select(label, HASH), label, ranks)
-    limits = limits.withColumnsRenamed({name: f"__lim_{name}" for name in ranks})
+    limits = limits.withColumnsRenamed({rank: f"__lim_{rank}" for rank in ranks})
     limits, _ = materialise_small(limits)
     placed = null_safe_join(hashed, limits, [label], "left")
     role: Column | None = None
-    for name in ranks:
-        hit = F.col(HASH) <= F.col(f"__lim_{name}")
-        role = F.when(hit, name) if role is None else role.when(hit, name)
-    return placed.select(*df.columns, role.otherwise(F.lit(other)).alias("split_role"))
+    for rank in ranks:
+        hit = F.col(HASH) <= F.col(f"__lim_{rank}")
+        role = F.when(hit, rank) if role is None else role.when(hit, rank)
+    return placed.select(*df.columns, role.otherwise(F.lit(other)).alias(name))
 
 
 def stratified_three_way(
@@ -146,11 +152,8 @@ def stratified_sample(df: DataFrame, label: str, key: Sequence[str], n: int, see
     if total <= n:
         return df
     quota = {k: min(round(c / total * n), c) for k, c in counts.items()}
-    return (
-        assign_by_rank(df, label, key, seed, {"in": quota}, "out")
-        .where(F.col("split_role") == "in")
-        .drop("split_role")
-    )
+    placed = assign_by_rank(df, label, key, seed, {"in": quota}, "out", name="__role")
+    return placed.where(F.col("__role") == "in").drop("__role")
 
 
 def fixed_size_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
