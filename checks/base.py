@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.operators.clean import coverage_join, pair_bridge
@@ -44,6 +44,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/checks-{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The frame as a written table, as between the layers of the pipeline."""
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def q(expression: str, digits: int = 4) -> str:
     """SQL twin of ``quantise``."""
     return f"floor(({expression}) * 1e{digits} + 0.5) / 1e{digits}"
@@ -146,7 +153,3 @@ lab0 AS (SELECT cov.*,
          FROM cov LEFT JOIN hit USING (object_id) WHERE kind = 'F'),
 lab AS (SELECT *, by_relation = by_match AS agree FROM lab0)
 """
-
-
-def kv(*columns: str) -> list[Column]:
-    return [F.col(c) for c in columns]

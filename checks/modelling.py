@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.base import OBJECTS_SQL, labelled_objects, q, query, scratch, table
+from checks.base import OBJECTS_SQL, labelled_objects, q, query, scratch, stored, table
 from starloom.functions import log10_positive, missing_flag, quantise
 from starloom.operators import explain as E
 from starloom.operators import models as L
@@ -45,10 +45,9 @@ def feature_rows(spark, sf) -> DataFrame:
 
 def split_rows(spark, sf) -> DataFrame:
     """Prepared rows with their role, written once so that every fit reads a table."""
-    placed = stratified_three_way(feature_rows(spark, sf), "by_match", KEY, SEED, 0.6, 0.2)
-    path = scratch(spark)
-    L.prepared(placed, FEATURES, "by_match", ["object_id", "split_role"]).write.parquet(path)
-    return spark.read.parquet(path)
+    rows = stored(spark, feature_rows(spark, sf))
+    placed = stratified_three_way(rows, "by_match", KEY, SEED, 0.6, 0.2)
+    return stored(spark, L.prepared(placed, FEATURES, "by_match", ["object_id", "split_role"]))
 
 
 # ---- preparation ----------------------------------------------------------------------------
@@ -136,7 +135,7 @@ def _results(spark, split, results) -> DataFrame:
 def _sweep(spark, sf, models, networks) -> DataFrame:
     results = train_split(
         split_rows(spark, sf), "within", models, networks, columns=FEATURES, nullable=NULLABLE, key=KEY,
-        grids=SHORT_GRIDS, steps=SHORT_STEPS, parallelism=2,
+        grids=SHORT_GRIDS, steps=SHORT_STEPS, parallelism=4,
     )
     log = _results(spark, "within", results)
     return log.select("model", "split_name", *[F.col("metrics")[m].alias(m) for m in METRIC_NAMES])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import OBJECTS_SQL, labelled_objects, q, query, scratch, table
+from checks.base import OBJECTS_SQL, labelled_objects, q, query, scratch, stored, table
 from starloom.functions import quantise
 from starloom.operators import metrics as M
 from starloom.operators import profile, sampling, spatial
@@ -177,7 +177,7 @@ def stratified_three_way_split(spark, sf):
     "SELECT object_id, population, by_match FROM lab", "by_match", "object_id::VARCHAR", False
 ) + " SELECT object_id, by_match, split_role FROM roles")
 def stratified_label_split(spark, sf):
-    rows = labelled_objects(spark, sf).where(F.col("by_match").isNotNull()).select("object_id", "by_match")
+    rows = stored(spark, labelled_objects(spark, sf).where(F.col("by_match").isNotNull()).select("object_id", "by_match"))
     return sampling.stratified_three_way(rows, "by_match", ["object_id"], SEED, 0.6, 0.2)
 
 

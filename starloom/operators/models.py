@@ -74,9 +74,16 @@ def with_missing_flags(df: DataFrame, nullable: Sequence[str], features: Sequenc
 
 def with_class_weight(df: DataFrame, mode: str | None) -> DataFrame:
     """Weight 1, or n / (2 * n_class) from one two-row count."""
+    return _weighted(df, mode, class_sizes(df) if mode else {})
+
+
+def class_sizes(df: DataFrame) -> dict[float, int]:
+    return {r[LABEL]: r["count"] for r in df.groupBy(LABEL).count().collect()}
+
+
+def _weighted(df: DataFrame, mode: str | None, sizes: dict[float, int]) -> DataFrame:
     if mode is None:
         return df.withColumn(WEIGHT, F.lit(1.0))
-    sizes = {r[LABEL]: r["count"] for r in df.groupBy(LABEL).count().collect()}
     n = sum(sizes.values())
     weight = F.lit(1.0)
     for value, count in sizes.items():
@@ -187,13 +194,17 @@ class Fitted:
 
 
 def fit_one(name: str, train: DataFrame, features: Sequence[str], params: dict) -> PipelineModel:
-    weighted = with_class_weight(train, params.get("class_weight"))
-    return BUILDERS[name](features, params, train.count()).fit(weighted)
+    sizes = class_sizes(train)
+    weighted = _weighted(train, params.get("class_weight"), sizes)
+    return BUILDERS[name](features, params, sum(sizes.values())).fit(weighted)
 
 
 def average_precision(model: PipelineModel, df: DataFrame) -> float:
-    scored = positive_probability(model, df.select("*")).select(LABEL, "score")
-    return ranking_metrics(scored, LABEL, "score").first()["average_precision"]
+    scored = positive_probability(model, df).select(LABEL, "score").persist()
+    try:
+        return ranking_metrics(scored, LABEL, "score").first()["average_precision"]
+    finally:
+        scored.unpersist()
 
 
 def tune(
@@ -233,7 +244,7 @@ def oversampled(df: DataFrame, key: Sequence[str], seed: int = MODEL_SEED) -> Da
     The network has no instance weights. A row of the smaller class appears floor(ratio) times, plus
     once more where the hash of its key falls below the fractional part; no row is dropped.
     """
-    sizes = {r[LABEL]: r["count"] for r in df.groupBy(LABEL).count().collect()}
+    sizes = class_sizes(df)
     if len(sizes) < 2:
         return df
     small = min(sizes, key=lambda k: sizes[k])
@@ -306,8 +317,12 @@ def train_network(
 
 
 def test_metrics(scored: DataFrame) -> dict[str, float]:
-    row = compute_metrics(scored, LABEL, "score").first()
-    return {m: row[m] for m in METRIC_NAMES}
+    kept = scored.select(LABEL, "score").persist()
+    try:
+        row = compute_metrics(kept, LABEL, "score").first()
+        return {m: row[m] for m in METRIC_NAMES}
+    finally:
+        kept.unpersist()
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from starloom.operators.ordered import numbered_in_hash_order
 
 HASH = "__hash"
 PREFIX_LENGTH = 4
+SPAN_ROWS = 1_000_000
+MAX_CLASSES = 10_000
 
 
 def largest_remainder(counts: dict, wanted: int) -> dict:
@@ -39,64 +42,68 @@ def largest_remainder(counts: dict, wanted: int) -> dict:
     return shares
 
 
-def class_counts(df: DataFrame, label: str, max_classes: int = 10_000) -> dict:
-    """Row count per class, as a bounded driver-side dictionary."""
-    rows = df.groupBy(label).count().limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"{label} has more than {max_classes} classes; it is not a stratum column")
-    return {r[label]: r["count"] for r in rows}
-
-
-def rank_thresholds(df: DataFrame, label: str, ranks: dict[str, dict], hash_col: str = HASH) -> DataFrame:
-    """Per class and rank name, the hash of the row with that rank (1-based; NULL for rank 0)."""
-    spans = numbered_in_hash_order(df, hash_col, [label], PREFIX_LENGTH)
-    spark = df.sparkSession
-    classes = sorted({k for per in ranks.values() for k in per}, key=str)
-    names = list(ranks)
-    label_type = df.schema[label].dataType.simpleString()
-    table = spark.createDataFrame(
-        [(k, *[int(ranks[name].get(k, 0)) for name in names]) for k in classes],
-        f"`{label}` {label_type}, " + ", ".join(f"`{n}` bigint" for n in names),
-    )
-    wanted = null_safe_join(spans, table, [label])
-    holds = F.lit(False)
-    for name in names:
-        holds = holds | ((F.col(name) > F.col("__o")) & (F.col(name) <= F.col("__o") + F.col("__t")))
-    edges, _ = materialise_small(wanted.where(holds))
-    rows = df.select(label, hash_col, F.substring(hash_col, 1, PREFIX_LENGTH).alias("__prefix"))
-    near = null_safe_join(rows, edges, [label, "__prefix"])
-    order = Window.partitionBy(label, "__prefix").orderBy(hash_col)
-    placed = near.withColumn("__rank", F.row_number().over(order) + F.col("__o"))
-    found = placed.groupBy(label).agg(
-        *[F.max(F.when(F.col("__rank") == F.col(name), F.col(hash_col))).alias(name) for name in names]
-    )
-    out, _ = materialise_small(found)
-    return null_safe_join(table.select(label), out, [label], "left")
-
-
-def assign_by_rank(
-    df: DataFrame,
-    label: str,
-    key: Sequence[str],
-    seed: int | str,
-    ranks: dict[str, dict],
-    other: str,
-    name: str = "split_role",
-) -> DataFrame:
-    """Add a role column: the first rank name whose threshold is not below the row's hash.
-
-    ``ranks`` gives cumulative class ranks in increasing order, e.g. test first, then test + val.
-    """
-    hashed = df.withColumn(HASH, stable_hash(seed, *key))
-    limits = rank_thresholds(hashed.select(label, HASH), label, ranks)
-    limits = limits.withColumnsRenamed({rank: f"__lim_{rank}" for rank in ranks})
-    limits, _ = materialise_small(limits)
-    placed = null_safe_join(hashed, limits, [label], "left")
-    role: Column | None = None
-    for rank in ranks:
-        hit = F.col(HASH) <= F.col(f"__lim_{rank}")
-        role = F.when(hit, rank) if role is None else role.when(hit, rank)
-    return placed.select(*df.columns, role.otherwise(F.lit(other)).alias(name))
+@dataclass
+class HashedClasses:
+    """Rows with their hash, and the row count per (class, hash prefix) from one pass over them."""
+
+    rows: DataFrame
+    label: str
+    spans: DataFrame
+    counts: dict
+
+    @classmethod
+    def of(cls, df: DataFrame, label: str, key: Sequence[str], seed: int | str) -> HashedClasses:
+        rows = df.withColumn(HASH, stable_hash(seed, *key))
+        spans, _ = materialise_small(
+            numbered_in_hash_order(rows, HASH, [label], PREFIX_LENGTH), SPAN_ROWS
+        )
+        totals = spans.groupBy(label).agg(F.sum("__t").alias("n")).limit(MAX_CLASSES + 1).collect()
+        if len(totals) > MAX_CLASSES:
+            raise ValueError(f"{label} has more than {MAX_CLASSES} classes; it is not a stratum column")
+        return cls(rows, label, spans, {r[label]: r["n"] for r in totals})
+
+    @property
+    def total(self) -> int:
+        return sum(self.counts.values())
+
+    def thresholds(self, ranks: dict[str, dict]) -> DataFrame:
+        """Per class and rank name, the hash of the row with that rank (1-based; NULL for rank 0)."""
+        label, names = self.label, list(ranks)
+        label_type = self.rows.schema[label].dataType.simpleString()
+        table = self.rows.sparkSession.createDataFrame(
+            [(k, *[int(ranks[name].get(k, 0)) for name in names]) for k in self.counts],
+            f"`{label}` {label_type}, " + ", ".join(f"`{n}` bigint" for n in names),
+        )
+        wanted = null_safe_join(self.spans, F.broadcast(table), [label])
+        holds = F.lit(False)
+        for name in names:
+            holds = holds | (
+                (F.col(name) > F.col("__o")) & (F.col(name) <= F.col("__o") + F.col("__t"))
+            )
+        edges, _ = materialise_small(wanted.where(holds))
+        rows = self.rows.select(label, HASH, F.substring(HASH, 1, PREFIX_LENGTH).alias("__prefix"))
+        near = null_safe_join(rows, edges, [label, "__prefix"])
+        order = Window.partitionBy(label, "__prefix").orderBy(HASH)
+        placed = near.withColumn("__rank", F.row_number().over(order) + F.col("__o"))
+        found = placed.groupBy(label).agg(
+            *[F.max(F.when(F.col("__rank") == F.col(n), F.col(HASH))).alias(n) for n in names]
+        )
+        out, _ = materialise_small(found)
+        return out
+
+    def assign(self, ranks: dict[str, dict], other: str, name: str = "split_role") -> DataFrame:
+        """Add a role column: the first rank name whose threshold is not below the row's hash.
+
+        ``ranks`` gives cumulative class ranks in increasing order, e.g. test first, then test + val.
+        """
+        limits = self.thresholds(ranks).withColumnsRenamed({rank: f"__lim_{rank}" for rank in ranks})
+        placed = null_safe_join(self.rows, limits, [self.label], "left")
+        role: Column | None = None
+        for rank in ranks:
+            hit = F.col(HASH) <= F.col(f"__lim_{rank}")
+            role = F.when(hit, rank) if role is None else role.when(hit, rank)
+        kept = [c for c in self.rows.columns if c != HASH]
+        return placed.select(*kept, role.otherwise(F.lit(other)).alias(name))
 
 
 def stratified_three_way(
@@ -107,23 +114,22 @@ def stratified_three_way(
     Test takes ceil((1 - train - val) * n) rows, val takes ceil of its share of the remainder, train
     takes the rest; each is divided over the classes by largest remainder.
     """
-    counts = class_counts(df, label)
-    n = sum(counts.values())
-    test = largest_remainder(counts, math.ceil((1.0 - train_fraction - val_fraction) * n))
+    classes = HashedClasses.of(df, label, key, seed)
+    counts = classes.counts
+    test = largest_remainder(counts, math.ceil((1.0 - train_fraction - val_fraction) * classes.total))
     left = {k: counts[k] - test[k] for k in counts}
     share = val_fraction / (train_fraction + val_fraction)
     val = largest_remainder(left, math.ceil(share * sum(left.values())))
-    ranks = {"test": test, "val": {k: test[k] + val[k] for k in counts}}
-    return assign_by_rank(df, label, key, seed, ranks, "train")
+    return classes.assign({"test": test, "val": {k: test[k] + val[k] for k in counts}}, "train")
 
 
 def stratified_two_way(
     df: DataFrame, label: str, key: Sequence[str], seed: int, val_fraction: float
 ) -> DataFrame:
     """Exact stratified train / val roles; val takes ceil(val_fraction * n) rows."""
-    counts = class_counts(df, label)
-    val = largest_remainder(counts, math.ceil(val_fraction * sum(counts.values())))
-    return assign_by_rank(df, label, key, seed, {"val": val}, "train")
+    classes = HashedClasses.of(df, label, key, seed)
+    val = largest_remainder(classes.counts, math.ceil(val_fraction * classes.total))
+    return classes.assign({"val": val}, "train")
 
 
 def cross_population_split(
@@ -147,13 +153,11 @@ def cross_population_split(
 
 def stratified_sample(df: DataFrame, label: str, key: Sequence[str], n: int, seed: int) -> DataFrame:
     """At most about n rows with the class shares kept: round(share * n) per class, half to even."""
-    counts = class_counts(df, label)
-    total = sum(counts.values())
-    if total <= n:
+    classes = HashedClasses.of(df, label, key, seed)
+    if classes.total <= n:
         return df
-    quota = {k: min(round(c / total * n), c) for k, c in counts.items()}
-    placed = assign_by_rank(df, label, key, seed, {"in": quota}, "out", name="__role")
-    return placed.where(F.col("__role") == "in").drop("__role")
+    quota = {k: min(round(c / classes.total * n), c) for k, c in classes.counts.items()}
+    return classes.assign({"in": quota}, "out", name="__role").where(F.col("__role") == "in").drop("__role")
 
 
 def fixed_size_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:

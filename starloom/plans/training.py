@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from starloom.operators.features import FEATURE_COLUMNS, NULLABLE_FEATURES
 from starloom.operators.models import (
     BUILDERS,
-    LABEL,
     NETWORKS,
     Fitted,
     Roles,
@@ -77,7 +76,7 @@ def train_split(
         out: dict[str, tuple[dict, dict[str, float]]] = {}
 
         def finish(name: str, params: dict, scored: DataFrame, fitted: Fitted | None) -> None:
-            metrics = test_metrics(scored.select(LABEL, "score"))
+            metrics = test_metrics(scored)
             out[name] = (params, metrics)
             if runs_table:
                 append_run(run_row(rows.sparkSession, name, split, params, metrics), runs_table)
