@@ -41,7 +41,7 @@ def range_cuts(df: DataFrame, value: str, ranges: int | None = None) -> list[flo
 
 def with_range(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     """Add the range index of ``value``; a pure function of the value once the cuts are known."""
-    edges = [float("-inf"), *cuts, float("inf")]
+    edges = [float("-inf"), *(cuts or [0.0]), float("inf")]
     numeric = df.withColumn("__v", F.col(value).cast("double"))
     placed = Bucketizer(
         splits=edges, inputCol="__v", outputCol="__b", handleInvalid="keep"
