@@ -81,7 +81,7 @@ def shape_record_rows(spark, sf):
 SELECT c_custkey, c_mktsegment, c_acctbal + 2 AS c_acctbal FROM customer""")
 def replaced_table(spark, sf):
     """A table written from a source, then twice replaced by a plan that reads it."""
-    create_layers(spark, ["starloom_check"])
+    create_layers(spark, ["starloom_check"], scratch(spark))
     name = "starloom_check.customer_balance"
     out = replace_table(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), name)
     for _ in range(2):

@@ -27,16 +27,29 @@ def usable(value: str) -> Column:
 def range_count(df: DataFrame) -> int:
     """Ranges to cut: a few per shuffle partition, bounded so that the cut list stays tiny."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(1000, 2 * partitions))
+    return max(8, min(4096, 2 * partitions))
 
 
 def range_cuts(df: DataFrame, value: str, ranges: int | None = None) -> list[float]:
-    """Increasing cut points that split the rows into ranges of about equal size."""
+    """Increasing cut points that split the rows into ranges of about equal size.
+
+    The cuts only balance the work, so they may be approximate: quantile sketches are merged per
+    bundle of input partitions, in parallel, and the cuts are quantiles of the bundles' quantiles.
+    No task merges more than its share of the sketches.
+    """
     n = ranges or range_count(df)
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.approx_percentile(F.col(value).cast("double"), probs, 10 * n).alias("cuts")).first()
-    cuts = sorted({c for c in (row["cuts"] or []) if c is not None and math.isfinite(c)})
-    return cuts
+    probs, accuracy = [i / n for i in range(1, n)], 4 * n
+    bundles = min(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = F.col(value).cast("double").alias("__v")
+    local = (
+        df.select(number, F.pmod(F.spark_partition_id(), F.lit(bundles)).alias("__bundle"))
+        .groupBy("__bundle")
+        .agg(F.approx_percentile("__v", probs, accuracy).alias("__cuts"))
+    )
+    merged = local.select(F.explode("__cuts").alias("__v")).agg(
+        F.approx_percentile("__v", probs, accuracy).alias("__cuts")
+    )
+    return sorted({c for c in (merged.first()["__cuts"] or []) if c is not None and math.isfinite(c)})
 
 
 def with_range(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
@@ -145,10 +158,15 @@ def exact_quantiles(
     for lo, hi, _ in ranks.values():
         for rank in (lo, hi):
             wanted = wanted | ((rank >= F.col("__o")) & (rank < F.col("__o") + F.col("__t")))
-    spans, _ = materialise_small(spans.where(wanted))
+    spans, bounded = materialise_small(spans.where(wanted))
 
-    kept = null_safe_join(keyed, spans, [*group, RANGE])
-    per_value = kept.groupBy(*group, RANGE, "__o", "__n", value).agg(F.count(F.lit(1)).alias("__c"))
+    span_keys, one = [*group, RANGE], F.count(F.lit(1)).alias("__c")
+    if bounded:
+        # The broadcast spans drop all other ranges before anything is shuffled.
+        kept = null_safe_join(keyed, spans, span_keys)
+        per_value = kept.groupBy(*span_keys, "__o", "__n", value).agg(one)
+    else:
+        per_value = null_safe_join(keyed.groupBy(*span_keys, value).agg(one), spans, span_keys)
     inside = (
         Window.partitionBy(*group, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )

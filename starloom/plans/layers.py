@@ -147,7 +147,11 @@ def build_bronze(spark: SparkSession, settings: Settings) -> dict[str, DataFrame
         "protohalo_shapes": read_shapes(spark, shapes),
         "wdm_cdm_matches": read_matches(spark, matches),
     }
-    return {k: replace_table(df, f"{bronze}.{k}") for k, df in tables.items()}
+    keyed = {"ahf_halos", "protohalo_shapes"}
+    return {
+        k: replace_table(df, f"{bronze}.{k}", KEY, settings.buckets if k in keyed else 0)
+        for k, df in tables.items()
+    }
 
 
 def clean_catalogue(halos: DataFrame, simulations: DataFrame) -> DataFrame:
@@ -189,12 +193,12 @@ def build_silver(spark: SparkSession, settings: Settings) -> dict[str, dict[str,
     create_layers(spark, [silver])
     simulations = spark.table(f"{bronze}.simulations")
     halos = replace_table(
-        clean_catalogue(spark.table(f"{bronze}.ahf_halos"), simulations), f"{silver}.halos"
+        clean_catalogue(spark.table(f"{bronze}.ahf_halos"), simulations), f"{silver}.halos", KEY, settings.buckets
     )
     covered, seen_shapes = observe_rate(
         with_shapes(halos, spark.table(f"{bronze}.protohalo_shapes")), "shape_coverage", F.col("has_protohalo_data")
     )
-    replace_table(covered, f"{silver}.protohalos")
+    replace_table(covered, f"{silver}.protohalos", KEY, settings.buckets)
     reduced, seen_matches = observe_rate(
         reduce_matches(spark.table(f"{bronze}.wdm_cdm_matches"), settings.merit_threshold),
         "match_rate",
@@ -283,12 +287,14 @@ def build_gold(spark: SparkSession, settings: Settings) -> dict[str, float]:
             settings.mass_threshold_log10,
         ),
         f"{gold}.labels",
+        KEY,
+        settings.buckets,
     )
     features, seen = observe_rate(
         feature_table(protohalos, settings.neighbour_radius_mpc_h), "null_shapes", F.col("sphericity_s").isNull()
     )
-    replace_table(features, f"{gold}.features")
-    replace_table(split_assignments(labels, settings), f"{gold}.train_test_splits")
+    replace_table(features, f"{gold}.features", KEY, settings.buckets)
+    replace_table(split_assignments(labels, settings), f"{gold}.train_test_splits", KEY, settings.buckets)
     return rate_of(seen)
 
 

@@ -56,6 +56,8 @@ class Settings:
     train_fraction: float = 0.6
     val_fraction: float = 0.2
     layers: tuple[str, str, str] = field(default=("bronze", "silver", "gold"))
+    # Buckets of the tables keyed by object; 0 leaves them unbucketed. At scale: total size / 128 MB.
+    buckets: int = 0
 
 
 WITHIN = "within_sim"

@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "starloom", shuffle_partitions: int = 8) -> SparkSession:
-    spark = (
+def local_session(
+    cores: int | str = 8, app: str = "starloom", shuffle_partitions: int = 8, warehouse: str | None = None
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -17,8 +19,10 @@ def local_session(cores: int | str = 8, app: str = "starloom", shuffle_partition
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if warehouse:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -33,31 +33,43 @@ def dimension_table(spark: SparkSession, records: Sequence[dict], schema: T.Stru
     return spark.createDataFrame(rows, schema)
 
 
-def create_layers(spark: SparkSession, layers: Sequence[str] = LAYERS) -> None:
+def create_layers(
+    spark: SparkSession, layers: Sequence[str] = LAYERS, folder: str | None = None
+) -> None:
+    """Create the layers that are not there yet, below a folder or in the session's warehouse."""
     for layer in layers:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{layer}`")
+        place = f" LOCATION '{folder}/{layer}'" if folder else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{layer}`{place}")
 
 
-def reset_layers(spark: SparkSession, layers: Sequence[str] = LAYERS) -> None:
+def reset_layers(
+    spark: SparkSession, layers: Sequence[str] = LAYERS, folder: str | None = None
+) -> None:
     """Drop the layers with all their tables and create them empty."""
     for layer in layers:
         spark.sql(f"DROP DATABASE IF EXISTS `{layer}` CASCADE")
-    create_layers(spark, layers)
+    create_layers(spark, layers, folder)
 
 
-def replace_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def replace_table(
+    df: DataFrame, name: str, bucket_by: Sequence[str] = (), buckets: int = 0
+) -> DataFrame:
     """Write a table as a whole and return it; running twice gives the same table.
 
     The new content is complete before the old table is dropped, so a plan that reads the table it
-    replaces works and a failed write leaves the old content.
+    replaces works and a failed write leaves the old content. With ``buckets`` the rows are stored
+    hashed and sorted by ``bucket_by``, so that later joins of such tables on these columns need no
+    shuffle; the rows are moved once here, one file per bucket.
     """
     spark = df.sparkSession
     staging = f"{name}__staging"
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    writer = df.write.format("parquet").mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(staging)
+    if buckets:
+        keys = list(bucket_by)
+        writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    else:
+        writer = df.write
+    writer.format("parquet").mode("overwrite").saveAsTable(staging)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
     return spark.table(name)

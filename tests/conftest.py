@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, "tests")
+    session = local_session(8, "tests", warehouse=str(tmp_path_factory.mktemp("warehouse")))
     ensure_checkpoint_dir(session)
     yield session
 

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from conftest import plan_of
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -151,6 +152,23 @@ def test_building_again_changes_nothing(spark, settings, built):
     assert sorted(map(str, before)) == sorted(map(str, spark.table("p_gold.labels").collect()))
 
 
+def test_bucketed_layers_join_without_a_shuffle(spark, settings):
+    bucketed = replace(settings, layers=("b_bronze", "b_silver", "b_gold"), buckets=4)
+    layers.build_bronze(spark, bucketed)
+    layers.build_silver(spark, bucketed)
+    layers.build_gold(spark, bucketed)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = assemble(*[spark.table(f"b_gold.{t}") for t in ("features", "labels", "train_test_splits")], "cross_z_ini")
+        text = plan_of(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert text.count("SortMergeJoin") == 2 and "Exchange" not in text
+    assert "EqualTo(split_name,cross_z_ini)" in text
+    assert rows.count() == 120
+
+
 @pytest.mark.parametrize(
     ("change", "message"),
     [
