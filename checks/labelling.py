@@ -17,6 +17,7 @@ from checks.base import (
     q_pct,
     query,
     shape_source,
+    stored,
     table,
 )
 from starloom.functions import as_column, log10_positive, quantise
@@ -183,16 +184,8 @@ def coverage_join_documents(spark, sf):
 SELECT count(*) AS n_total, {c('quality IS NOT NULL')} AS n_hit,
   {q_pct(c('quality IS NOT NULL'), 'count(*)', 6)} AS pct_hit FROM documents LEFT JOIN labels USING (doc_id)""")
 def observed_coverage(spark, sf):
-    from checks.base import scratch
-
-    joined, seen = quality.observe_rate(
-        coverage_join_documents(spark, sf), "documents_with_label", F.col("has_label")
-    )
-    joined.write.parquet(scratch(spark))
-    rate = quality.rate_of(seen)
-    row = [(int(rate["n_total"]), int(rate["n_hit"]), float(rate["pct_hit"]))]
-    out = spark.createDataFrame(row, "n_total bigint, n_hit bigint, pct_hit double")
-    return out.withColumn("pct_hit", quantise("pct_hit", 6))
+    written = stored(spark, coverage_join_documents(spark, sf))
+    return quality.hit_rate(written, F.col("has_label")).drop("n_miss").withColumn("pct_hit", quantise("pct_hit", 6))
 
 
 @query("records_with_population", f"""{WITH}

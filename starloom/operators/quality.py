@@ -1,11 +1,11 @@
-"""Row counts, rates observed during a write, and table rules."""
+"""Row counts, rates of written tables, and table rules."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,22 +18,20 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
-def observe_rate(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, Observation]:
-    """Attach counters that are filled while the frame is written; no second pass over the data."""
-    seen = Observation(name)
-    watched = df.observe(seen, F.count(F.lit(1)).alias("n_total"), F.count_if(condition).alias("n_hit"))
-    return watched, seen
+def hit_rate(df: DataFrame, condition: Column) -> DataFrame:
+    """One row: rows, rows that meet a condition, rows that do not, and the percentage.
 
-
-def rate_of(seen: Observation) -> dict[str, float]:
-    got = seen.get
-    total, hit = got["n_total"], got["n_hit"]
-    return {
-        "n_total": total,
-        "n_hit": hit,
-        "n_miss": total - hit,
-        "pct_hit": 100.0 * hit / total if total else 0.0,
-    }
+    Meant for a table that was just written: only the columns of the condition are read, and unlike
+    an observation attached to the write it leaves no state in the session (a session that has
+    observed once can no longer ship fitted models that hold a training summary).
+    """
+    total, hit = F.count(F.lit(1)), F.count_if(condition)
+    return df.agg(
+        total.alias("n_total"),
+        hit.alias("n_hit"),
+        (total - hit).alias("n_miss"),
+        F.coalesce(F.try_divide(F.lit(100.0) * hit, total), F.lit(0.0)).alias("pct_hit"),
+    )
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from starloom.operators.labels import (
     join_through_bridge,
     relation_label,
 )
-from starloom.operators.quality import observe_rate, rate_of, row_counts
+from starloom.operators.quality import hit_rate, row_counts
 from starloom.operators.sampling import cross_population_split, stratified_three_way
 from starloom.operators.spatial import periodic_neighbours
 from starloom.plans.settings import WITHIN, Settings, pair_table, population_table, validate
@@ -188,25 +188,25 @@ def simulation_pairs(simulations: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def build_silver(spark: SparkSession, settings: Settings) -> dict[str, dict[str, float]]:
-    """Clean tables; returns the coverage and match rates seen while writing."""
+    """Clean tables; returns the shape coverage and the match rate."""
     bronze, silver, _ = settings.layers
     create_layers(spark, [silver])
     simulations = spark.table(f"{bronze}.simulations")
     halos = replace_table(
         clean_catalogue(spark.table(f"{bronze}.ahf_halos"), simulations), f"{silver}.halos", KEY, settings.buckets
     )
-    covered, seen_shapes = observe_rate(
-        with_shapes(halos, spark.table(f"{bronze}.protohalo_shapes")), "shape_coverage", F.col("has_protohalo_data")
+    covered = replace_table(
+        with_shapes(halos, spark.table(f"{bronze}.protohalo_shapes")), f"{silver}.protohalos", KEY, settings.buckets
     )
-    replace_table(covered, f"{silver}.protohalos", KEY, settings.buckets)
-    reduced, seen_matches = observe_rate(
+    matched = replace_table(
         reduce_matches(spark.table(f"{bronze}.wdm_cdm_matches"), settings.merit_threshold),
-        "match_rate",
-        F.col("has_cdm_counterpart"),
+        f"{silver}.wdm_cdm_matches",
     )
-    replace_table(reduced, f"{silver}.wdm_cdm_matches")
     replace_table(simulation_pairs(simulations, pair_table(spark, settings)), f"{silver}.simulation_pairs")
-    return {"shape_coverage": rate_of(seen_shapes), "match_rate": rate_of(seen_matches)}
+    return {
+        "shape_coverage": hit_rate(covered, F.col("has_protohalo_data")).first().asDict(),
+        "match_rate": hit_rate(matched, F.col("has_cdm_counterpart")).first().asDict(),
+    }
 
 
 def label_table(
@@ -290,12 +290,13 @@ def build_gold(spark: SparkSession, settings: Settings) -> dict[str, float]:
         KEY,
         settings.buckets,
     )
-    features, seen = observe_rate(
-        feature_table(protohalos, settings.neighbour_radius_mpc_h), "null_shapes", F.col("sphericity_s").isNull()
+    features = replace_table(
+        feature_table(protohalos, settings.neighbour_radius_mpc_h), f"{gold}.features", KEY, settings.buckets
+    )
+    replace_table(
+        split_assignments(labels, settings), f"{gold}.train_test_splits", KEY, settings.buckets
     )
-    replace_table(features, f"{gold}.features", KEY, settings.buckets)
-    replace_table(split_assignments(labels, settings), f"{gold}.train_test_splits", KEY, settings.buckets)
-    return rate_of(seen)
+    return hit_rate(features, F.col("sphericity_s").isNull()).first().asDict()
 
 
 def layer_row_counts(spark: SparkSession, settings: Settings) -> DataFrame:

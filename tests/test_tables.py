@@ -118,10 +118,9 @@ def test_rules(spark):
         quality.assert_no_violations(*checks)
 
 
-def test_observed_rate_of_empty_output(spark):
-    df, seen = quality.observe_rate(spark.range(0), "nothing", F.col("id") > 0)
-    df.collect()
-    assert quality.rate_of(seen) == {"n_total": 0, "n_hit": 0, "n_miss": 0, "pct_hit": 0.0}
+def test_rate_of_an_empty_table(spark):
+    got = quality.hit_rate(spark.range(0), F.col("id") > 0).first().asDict()
+    assert got == {"n_total": 0, "n_hit": 0, "n_miss": 0, "pct_hit": 0.0}
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
