@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -103,50 +104,42 @@ def imputing_stages(features: Sequence[str], scale: bool) -> list:
     return stages
 
 
-def logistic_regression(features: Sequence[str], params: dict, n_rows: int) -> Pipeline:
+def logistic_regression(params: dict, n_rows: int) -> LogisticRegression:
     """Elastic-net logistic regression; C is the inverse total penalty, so regParam = 1 / (C * n)."""
-    return Pipeline(stages=[
-        *imputing_stages(features, scale=True),
-        LogisticRegression(
-            featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, maxIter=2000, standardization=False,
-            regParam=1.0 / (params["C"] * n_rows), elasticNetParam=params["l1_ratio"],
-        ),
-    ])
+    return LogisticRegression(
+        featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, maxIter=2000, standardization=False,
+        regParam=1.0 / (params["C"] * n_rows), elasticNetParam=params["l1_ratio"],
+    )
 
 
-def random_forest(features: Sequence[str], params: dict, n_rows: int) -> Pipeline:
+def random_forest(params: dict, n_rows: int) -> RandomForestClassifier:
     share = params["max_features"]
-    return Pipeline(stages=[
-        *imputing_stages(features, scale=False),
-        RandomForestClassifier(
-            featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, seed=MODEL_SEED,
-            numTrees=params["n_estimators"],
-            maxDepth=params["max_depth"] or UNLIMITED_FOREST_DEPTH,
-            minInstancesPerNode=params["min_samples_leaf"],
-            featureSubsetStrategy=share if isinstance(share, str) else str(float(share)),
-            minInfoGain=params["ccp_alpha"],
-        ),
-    ])
-
-
-def boosted_trees(features: Sequence[str], params: dict, n_rows: int) -> Pipeline:
-    return Pipeline(stages=[
-        *imputing_stages(features, scale=False),
-        GBTClassifier(
-            featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, seed=MODEL_SEED,
-            maxIter=params["max_iter"],
-            maxDepth=params["max_depth"] or UNLIMITED_BOOST_DEPTH,
-            stepSize=params["learning_rate"],
-            minInstancesPerNode=params["min_samples_leaf"],
-        ),
-    ])
-
-
-BUILDERS: dict[str, Callable[[Sequence[str], dict, int], Pipeline]] = {
+    return RandomForestClassifier(
+        featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, seed=MODEL_SEED,
+        numTrees=params["n_estimators"],
+        maxDepth=params["max_depth"] or UNLIMITED_FOREST_DEPTH,
+        minInstancesPerNode=params["min_samples_leaf"],
+        featureSubsetStrategy=share if isinstance(share, str) else str(float(share)),
+        minInfoGain=params["ccp_alpha"],
+    )
+
+
+def boosted_trees(params: dict, n_rows: int) -> GBTClassifier:
+    return GBTClassifier(
+        featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, seed=MODEL_SEED,
+        maxIter=params["max_iter"],
+        maxDepth=params["max_depth"] or UNLIMITED_BOOST_DEPTH,
+        stepSize=params["learning_rate"],
+        minInstancesPerNode=params["min_samples_leaf"],
+    )
+
+
+BUILDERS: dict[str, Callable[[dict, int], Estimator]] = {
     "lr": logistic_regression,
     "rf": random_forest,
     "gbm": boosted_trees,
 }
+SCALED_MODELS = {"lr"}
 
 
 def select_names(wanted: str | Sequence[str], known: Sequence[str]) -> list[str]:
@@ -164,7 +157,7 @@ def grid_points(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
 
-def positive_probability(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
+def positive_probability(model: Model, df: DataFrame, name: str = "score") -> DataFrame:
     """Add the predicted probability of class 1."""
     scored = model.transform(df)
     return scored.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
@@ -193,13 +186,33 @@ class Fitted:
     history: list[tuple[dict, float]] = field(default_factory=list)
 
 
+def fit_prepared(name: str, vectors: DataFrame, params: dict) -> Model:
+    """Fit one classifier on assembled vectors."""
+    sizes = class_sizes(vectors)
+    weighted = _weighted(vectors, params.get("class_weight"), sizes)
+    return BUILDERS[name](params, sum(sizes.values())).fit(weighted)
+
+
 def fit_one(name: str, train: DataFrame, features: Sequence[str], params: dict) -> PipelineModel:
-    sizes = class_sizes(train)
-    weighted = _weighted(train, params.get("class_weight"), sizes)
-    return BUILDERS[name](features, params, sum(sizes.values())).fit(weighted)
+    """Preparation and classifier fitted on the same rows."""
+    with prepared_vectors(train, features, name in SCALED_MODELS) as (prep, vectors):
+        return PipelineModel([*prep.stages, fit_prepared(name, vectors, params)])
+
+
+@contextmanager
+def prepared_vectors(
+    train: DataFrame, features: Sequence[str], scale: bool
+) -> Iterator[tuple[PipelineModel, DataFrame]]:
+    """The fitted preparation and the cached label and vector columns of its rows."""
+    prep = Pipeline(stages=imputing_stages(features, scale)).fit(train)
+    vectors = prep.transform(train).select(LABEL, VECTOR).persist()
+    try:
+        yield prep, vectors
+    finally:
+        vectors.unpersist()
 
 
-def average_precision(model: PipelineModel, df: DataFrame) -> float:
+def average_precision(model: Model, df: DataFrame) -> float:
     scored = positive_probability(model, df).select(LABEL, "score").persist()
     try:
         return ranking_metrics(scored, LABEL, "score").first()["average_precision"]
@@ -212,18 +225,24 @@ def tune(
 ) -> Fitted:
     """Try every grid point on train, rank by average precision on val, refit the best on both.
 
-    Ties keep the first grid point. ``parallelism`` fits several points at once.
+    No grid point changes the preparation, so the training rows are imputed and assembled once for
+    the whole grid. Ties keep the first grid point. ``parallelism`` fits several points at once.
     """
     points = grid_points(grid or GRIDS[name])
-
-    def trial(params: dict) -> float:
-        return average_precision(fit_one(name, roles.train, features, params), roles.val)
-
-    if parallelism > 1:
-        with ThreadPool(parallelism) as pool:
-            scores = pool.map(trial, points)
-    else:
-        scores = [trial(p) for p in points]
+    with prepared_vectors(roles.train, features, name in SCALED_MODELS) as (prep, vectors):
+        val = prep.transform(roles.val).select(LABEL, VECTOR).persist()
+
+        def trial(params: dict) -> float:
+            return average_precision(fit_prepared(name, vectors, params), val)
+
+        try:
+            if parallelism > 1:
+                with ThreadPool(parallelism) as pool:
+                    scores = pool.map(trial, points)
+            else:
+                scores = [trial(p) for p in points]
+        finally:
+            val.unpersist()
     best = max(range(len(points)), key=lambda i: scores[i])
     model = fit_one(name, roles.trainval, features, points[best])
     return Fitted(name, model, points[best], list(zip(points, scores, strict=True)))
@@ -264,17 +283,14 @@ def network_inputs(
     return with_missing_flags(df, nullable, features), [*features, *[f"{c}_missing" for c in nullable]]
 
 
-def network(features: Sequence[str], iterations: int) -> Pipeline:
-    return Pipeline(stages=[
-        *imputing_stages(features, scale=True),
-        MultilayerPerceptronClassifier(
-            featuresCol=VECTOR, labelCol=LABEL, layers=[len(features), *HIDDEN_LAYERS, 2],
-            maxIter=iterations, seed=MODEL_SEED,
-        ),
-    ])
+def network(width: int, iterations: int) -> MultilayerPerceptronClassifier:
+    return MultilayerPerceptronClassifier(
+        featuresCol=VECTOR, labelCol=LABEL, layers=[width, *HIDDEN_LAYERS, 2],
+        maxIter=iterations, seed=MODEL_SEED,
+    )
 
 
-def log_loss(model: PipelineModel, df: DataFrame) -> float:
+def log_loss(model: Model, df: DataFrame) -> float:
     """Class-weighted binary cross-entropy: positives weigh negatives / positives."""
     p = F.least(F.greatest(F.col("score"), F.lit(1e-12)), F.lit(1 - 1e-12))
     scored = positive_probability(model, df).select(LABEL, p.alias("p"))
@@ -303,16 +319,20 @@ def train_network(
     mask = NETWORKS[name]
     view = lambda df: network_inputs(df, features, nullable, mask)
     train, columns = view(oversampled(roles.train, key))
-    val, _ = view(roles.val)
     history: list[tuple[dict, float]] = []
-    for step in steps:
-        loss = log_loss(network(columns, step).fit(train), val)
-        history.append(({"iterations": step}, loss))
-        if len(history) > 1 and loss >= history[-2][1]:
-            break
+    with prepared_vectors(train, columns, scale=True) as (prep, vectors):
+        val = prep.transform(view(roles.val)[0]).select(LABEL, VECTOR).persist()
+        try:
+            for step in steps:
+                loss = log_loss(network(len(columns), step).fit(vectors), val)
+                history.append(({"iterations": step}, loss))
+                if len(history) > 1 and loss >= history[-2][1]:
+                    break
+        finally:
+            val.unpersist()
     best = min(history, key=lambda h: h[1])[0]
-    final, _ = view(oversampled(roles.trainval, key))
-    model = network(columns, best["iterations"]).fit(final)
+    with prepared_vectors(view(oversampled(roles.trainval, key))[0], columns, scale=True) as (prep, vectors):
+        model = PipelineModel([*prep.stages, network(len(columns), best["iterations"]).fit(vectors)])
     return Fitted(name, model, {**best, "use_mask": mask, "input_dim": len(columns)}, history)
 
 
