@@ -203,17 +203,11 @@ def forward_fill(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    last_in_block = (
-        marked.where(F.col("__src").isNotNull())
-        .groupBy(*group, *block)
-        .agg(F.max_by("__src", F.struct(*order)).alias("__last"))
-    )
-    blocks = marked.select(*group, *block).distinct()
+    source_order = F.when(F.col("__src").isNotNull(), F.struct(*order))
+    last_in_block = marked.groupBy(*group, *block).agg(F.max_by("__src", source_order).alias("__last"))
     before = Window.partitionBy(*group).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        null_safe_join(blocks, last_in_block, [*group, *block], "left")
-        .withColumn("__carry", F.last("__last", ignorenulls=True).over(before))
-        .select(*group, *block, "__carry")
+    carried = last_in_block.select(
+        *group, *block, F.last("__last", ignorenulls=True).over(before).alias("__carry")
     )
     carried, _ = materialise_small(carried)
     filled = null_safe_join(marked, carried, [*group, *block], "left").withColumn(

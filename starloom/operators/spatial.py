@@ -257,11 +257,18 @@ def _nearest(places: DataFrame, dims: int, crowded_cell: int) -> DataFrame:
         queries = grid.spread(
             pending.withColumns(grid.cells(n)), n, ["g", "box", *pos, "m", "lvl"]
         )
-        reached = F.when(grid.differs(b_pos), grid.distance2(b_pos))
+        # An inner join, so that a crowded cell on either side can be split at run time; places
+        # that reach nothing come back through the union.
+        place = ["g", "box", *pos, "m", "lvl"]
+        reached = (
+            queries.join(others, ["g", "lvl", *cell])
+            .where(grid.differs(b_pos))
+            .select(*place, grid.distance2(b_pos).alias("d2"))
+        )
         round_ = (
-            queries.join(others, ["g", "lvl", *cell], "left")
-            .groupBy("g", "box", *pos, "m", "lvl")
-            .agg(F.min(reached).alias("d2"))
+            reached.unionByName(pending.select(*place, F.lit(None).cast("double").alias("d2")))
+            .groupBy(*place)
+            .agg(F.min("d2").alias("d2"))
             .checkpoint()
         )
         width = F.col("box") / n * F.lit(1 - MARGIN)
