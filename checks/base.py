@@ -56,6 +56,16 @@ def q(expression: str, digits: int = 4) -> str:
     return f"floor(({expression}) * 1e{digits} + 0.5) / 1e{digits}"
 
 
+def bin_sql(v: str, lo: str, hi: str, bins: int) -> str:
+    """SQL twin of ``bin_index`` for values below ``hi``, with ``hi`` itself in the last bin."""
+    step = f"(({hi} - {lo}) / {bins}.0::DOUBLE)"
+    guess = f"floor(({v} - {lo}) * {bins}.0::DOUBLE / ({hi} - {lo}))"
+    return (
+        f"least({guess} - ({v} < {lo} + {guess} * {step})::INTEGER"
+        f" + ({v} >= {lo} + ({guess} + 1.0::DOUBLE) * {step})::INTEGER, {bins - 1})::INTEGER"
+    )
+
+
 def q_pct(part: str, whole: str, digits: int = 1) -> str:
     return q(f"100.0::DOUBLE * ({part}) / ({whole})", digits)
 

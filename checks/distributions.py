@@ -4,29 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import q, query, table
+from checks.base import bin_sql, q, query, table
 from starloom.functions import quantise
 from starloom.operators import distributions as D
 from starloom.operators import ordered
 
 
-@query("histogram_fixed_edges", """
-SELECT l_returnflag, least(floor((l_extendedprice - 8000.0) / (95000.0 - 8000.0) * 69)::INTEGER, 68) AS bin, count(*) AS n
+@query("histogram_fixed_edges", f"""
+SELECT l_returnflag, {bin_sql('l_extendedprice', '8000.0::DOUBLE', '95000.0::DOUBLE', 69)} AS bin, count(*) AS n
 FROM (SELECT l_returnflag, l_extendedprice::DOUBLE AS l_extendedprice FROM lineitem)
 WHERE l_extendedprice >= 8000 AND l_extendedprice <= 95000 GROUP BY ALL""")
 def histogram_fixed_edges(spark, sf):
     return D.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 69, 8000.0, 95000.0, ["l_returnflag"])
 
 
-@query("histogram_data_range", """
+@query("histogram_data_range", f"""
 WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events)
-SELECT least(floor((value - lo) / (hi - lo) * 60)::INTEGER, 59) AS bin, count(*) AS n FROM events, r GROUP BY ALL""")
+SELECT {bin_sql('value', 'lo', 'hi', 60)} AS bin, count(*) AS n FROM events, r GROUP BY ALL""")
 def histogram_data_range(spark, sf):
     return D.histogram(table(spark, sf, "events"), "value", 60)
 
 
+@query("histogram_of_counts", f"""
+WITH n AS (SELECT user_id, count(*)::DOUBLE AS n_events, user_id < 75 AS near FROM events GROUP BY user_id),
+b AS (SELECT near, {bin_sql('n_events', '0.0::DOUBLE', '100.0::DOUBLE', 100)} AS bin, count(*) AS n
+  FROM n WHERE n_events >= 0 AND n_events <= 100 GROUP BY ALL)
+SELECT near, bin, n, {q('n / sum(n) OVER (PARTITION BY near)', 9)} AS density FROM b""")
+def histogram_of_counts(spark, sf):
+    """Whole-number values on whole-number edges."""
+    counts = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("n_events"))
+    rows = counts.withColumn("near", F.col("user_id") < 75)
+    out = D.histogram(rows, "n_events", 100, 0.0, 100.0, ["near"], density=True)
+    return out.withColumn("density", quantise("density", 9))
+
+
 @query("histogram_density", f"""
-WITH b AS (SELECT event_type, least(floor((value - 0.0) / (200.0 - 0.0) * 59)::INTEGER, 58) AS bin, count(*) AS n
+WITH b AS (SELECT event_type, {bin_sql('value', '0.0::DOUBLE', '200.0::DOUBLE', 59)} AS bin, count(*) AS n
   FROM events WHERE value >= 0 AND value <= 200 GROUP BY ALL)
 SELECT event_type, bin, n, {q('n / (sum(n) OVER (PARTITION BY event_type) * (200.0::DOUBLE / 59))', 9)} AS density FROM b""")
 def histogram_density(spark, sf):
@@ -114,8 +127,8 @@ def _grid_sql(bins: int, sigma: float) -> str:
     return f"""
 d AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem),
 lim AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM d),
-cells AS (SELECT g, least(floor((x - x0) / (x1 - x0) * {bins})::INTEGER, {bins - 1}) AS bx,
-   least(floor((y - y0) / (y1 - y0) * {bins})::INTEGER, {bins - 1}) AS by_, count(*)::DOUBLE AS v FROM d, lim GROUP BY ALL),
+cells AS (SELECT g, {bin_sql('x', 'x0', 'x1', bins)} AS bx,
+   {bin_sql('y', 'y0', 'y1', bins)} AS by_, count(*)::DOUBLE AS v FROM d, lim GROUP BY ALL),
 taps AS ({taps}),
 ax AS (SELECT i.i::INTEGER AS i, k, w, {mirror.format('(i.i + k)')} AS src FROM range({bins}) AS i(i), taps),
 sx AS (SELECT g, ax.i AS bx, by_, sum(v * w) AS v FROM cells JOIN ax ON ax.src = bx GROUP BY ALL),
@@ -149,8 +162,8 @@ def containment_levels(spark, sf):
 
 @query("outside_contour", GRID_SQL + f"""
 SELECT d.g, count(*) AS n, count(*) FILTER (WHERE sm.v < level_95) AS n_outside FROM d, lim
-JOIN sm ON sm.g = d.g AND sm.bx = least(floor((x - x0) / (x1 - x0) * {D.GRID_BINS}), {D.GRID_BINS - 1})
-       AND sm.by_ = least(floor((y - y0) / (y1 - y0) * {D.GRID_BINS}), {D.GRID_BINS - 1})
+JOIN sm ON sm.g = d.g AND sm.bx = {bin_sql('x', 'x0', 'x1', D.GRID_BINS)}
+       AND sm.by_ = {bin_sql('y', 'y0', 'y1', D.GRID_BINS)}
 JOIN lev ON lev.g = d.g GROUP BY d.g""")
 def outside_contour(spark, sf):
     out = D.outside_contour(_plane(spark, sf), "x", "y", 0.95, ["g"])

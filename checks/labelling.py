@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import (
     MATCH_LIMIT,
     OBJECTS_SQL,
+    bin_sql,
     bridge,
     covered_objects,
     labelled_objects,
@@ -109,7 +110,7 @@ def null_rate_by_mass_floor(spark, sf):
 @query("disagreement_rate_by_bin", f"""{WITH},
 d AS (SELECT log10(rec_mass) AS v, NOT agree AS f FROM lab WHERE agree IS NOT NULL),
 r AS (SELECT min(v) AS lo, max(v) AS hi FROM d)
-SELECT floor((v - lo) / (hi - lo) * 11)::INTEGER AS bin, count(*) AS n, {q('avg(f::INTEGER::DOUBLE)', 6)} AS rate
+SELECT {bin_sql('v', 'lo', 'hi', 11)} AS bin, count(*) AS n, {q('avg(f::INTEGER::DOUBLE)', 6)} AS rate
 FROM d, r WHERE v < hi GROUP BY 1""")
 def disagreement_rate_by_bin(spark, sf):
     rows = labelled_objects(spark, sf).where(F.col("agree").isNotNull()).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import OBJECTS_SQL, labelled_objects, orders_as_objects, populations, q, q_pct, query, table
+from checks.base import OBJECTS_SQL, bin_sql, labelled_objects, orders_as_objects, populations, q, q_pct, query, table
 from starloom import functions as S
 from starloom.operators import profile, quality
 from starloom.operators.clean import below_limit, drop_present, enrich, host_flags, rename_present
@@ -260,7 +260,7 @@ def prediction_rows(spark, sf):
 
 @query("binned_error_rates", f"""
 WITH p AS (SELECT l_extendedprice AS v, (l_returnflag = 'R')::INTEGER AS y, (l_quantity >= 25)::INTEGER AS pred FROM lineitem),
-b AS (SELECT least(floor((v - 1000.0::DOUBLE) / ((90000.0::DOUBLE - 1000.0::DOUBLE) / 15))::INTEGER, 14) AS bin, y, pred
+b AS (SELECT {bin_sql('v', '1000.0::DOUBLE', '90000.0::DOUBLE', 15)} AS bin, y, pred
   FROM p WHERE v >= 1000 AND v < 90000)
 SELECT bin, count(*) AS n,
   CASE WHEN count(*) >= 5 THEN {q('avg((pred = 0)::INTEGER::DOUBLE) FILTER (WHERE y = 1)', 6)} END AS fn_rate,

@@ -1,5 +1,6 @@
 from starloom.functions.scalars import (  # noqa: F401
     as_column,
+    bin_index,
     box_fraction,
     linear_relation,
     log10_positive,

@@ -32,6 +32,20 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return quantise(F.try_divide(F.lit(100.0) * part, whole), digits)
 
 
+def bin_index(value: Column, low: Column, high: Column, bins: int) -> Column:
+    """0-based index of the half-open bin between the even edges low + i * (high - low) / bins.
+
+    The quotient is only a guess; the edges decide, so a value on an edge always falls to the right
+    of it. Values at or above ``high`` give ``bins``, values below ``low`` are negative.
+    """
+    step = (high - low) / F.lit(float(bins))
+    guess = F.floor((value - low) * F.lit(float(bins)) / (high - low)).cast("double")
+    down = (value < low + guess * step).cast("int")
+    up = (value >= low + (guess + F.lit(1.0)) * step).cast("int")
+    inner = F.least(guess.cast("int") - down + up, F.lit(bins - 1))
+    return F.when(value >= high, F.lit(bins)).otherwise(inner)
+
+
 def box_fraction(position_kpc: Column | str, box_mpc: Column | str) -> Column:
     """Position in kpc as a fraction of a box given in Mpc."""
     return as_column(position_kpc).cast("double") / (as_column(box_mpc).cast("double") * F.lit(1000.0))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.functions import bin_index
 from starloom.operators.joins import materialise_small, null_safe_join
 from starloom.operators.ordered import exact_quantiles, usable
 from starloom.operators.profile import wide_to_long
@@ -18,8 +19,8 @@ def closed_bin(value: Column, low: Column | float, high: Column | float, bins: i
     """0-based bin of [low, high] with the last bin closed; NULL outside."""
     lo = low if isinstance(low, Column) else F.lit(float(low))
     hi = high if isinstance(high, Column) else F.lit(float(high))
-    spot = F.least(F.floor((value - lo) / (hi - lo) * F.lit(bins)).cast("int"), F.lit(bins - 1))
-    return F.when((value >= lo) & (value <= hi), spot)
+    v, lo, hi = value.cast("double"), lo.cast("double"), hi.cast("double")
+    return F.when((v >= lo) & (v <= hi), F.least(bin_index(v, lo, hi, bins), F.lit(bins - 1)))
 
 
 def histogram(
@@ -259,8 +260,8 @@ def outside_contour(
     cells, _ = materialise_small(marked.select(*group, "bx", "by", (F.col("v") < F.col("__level")).alias(flag)))
 
     def clipped(value: str, lo: float, hi: float) -> Column:
-        spot = F.floor((F.col(value) - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins))
-        return F.greatest(F.lit(0), F.least(spot, F.lit(bins - 1))).cast("int")
+        spot = bin_index(F.col(value).cast("double"), F.lit(lo), F.lit(hi), bins)
+        return F.greatest(F.lit(0), F.least(spot, F.lit(bins - 1)))
 
     rows = df.where(usable(x) & usable(y)).withColumns(
         {"bx": clipped(x, x0, x1), "by": clipped(y, y0, y1)}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.functions import percent, quantise
+from starloom.functions import bin_index, percent, quantise
 from starloom.operators.ordered import usable
 
 
@@ -189,11 +189,6 @@ def null_rate_by_floor(df: DataFrame, group: Sequence[str], value: str, tested:
     )
 
 
-def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """0-based half-open bin between low and high; the maximum itself falls into bin ``bins``."""
-    return F.floor((value - low) / (high - low) * F.lit(bins)).cast("int")
-
-
 def rate_per_bin(df: DataFrame, value: str, flag: str, bins: int) -> DataFrame:
     """Share of a flag per equal-width bin between the data's minimum and maximum.
 
@@ -203,7 +198,8 @@ def rate_per_bin(df: DataFrame, value: str, flag: str, bins: int) -> DataFrame:
     low, high = clean.agg(F.min(value)).scalar(), clean.agg(F.max(value)).scalar()
     return (
         clean.select(
-            equal_width_bin(F.col(value), low, high, bins).alias("bin"), F.col(flag).cast("double").alias("f")
+            bin_index(F.col(value).cast("double"), low.cast("double"), high.cast("double"), bins).alias("bin"),
+            F.col(flag).cast("double").alias("f")
         )
         .where(F.col("bin").between(0, bins - 1))
         .groupBy("bin")
@@ -226,14 +222,13 @@ def binned_error_rates(
 
     Both rates are NULL in a bin with fewer than ``min_rows`` rows or without rows of the class.
     """
-    width = (high - low) / bins
     inside = df.where((F.col(value) >= low) & (F.col(value) < high))
-    spot = F.floor((F.col(value) - F.lit(low)) / F.lit(width)).cast("int")
+    spot = bin_index(F.col(value).cast("double"), F.lit(float(low)), F.lit(float(high)), bins)
     n = F.count(F.lit(1))
     enough = n >= F.lit(min_rows)
     miss = F.avg(F.when(F.col(truth) == 1, (F.col(predicted) == 0).cast("double")))
     alarm = F.avg(F.when(F.col(truth) == 0, (F.col(predicted) == 1).cast("double")))
-    return inside.groupBy(*group, F.least(spot, F.lit(bins - 1)).alias("bin")).agg(
+    return inside.groupBy(*group, spot.alias("bin")).agg(
         n.alias("n"), F.when(enough, miss).alias("fn_rate"), F.when(enough, alarm).alias("fp_rate")
     )
 

@@ -48,6 +48,23 @@ def test_histogram_closes_the_last_bin(spark):
     assert dense.agg(F.sum("density") * 0.5).first()[0] == pytest.approx(1.0)
 
 
+def test_whole_numbers_fall_right_of_their_edge(spark):
+    """Counts on edges 0, 1, .. 50, as numpy bins them; 29 / 50 * 50 is below 29 in doubles."""
+    df = spark.createDataFrame([(float(v),) for v in range(51)], "v double")
+    got = {r["bin"]: r["n"] for r in D.histogram(df, "v", 50, 0.0, 50.0).collect()}
+    want, _ = np.histogram(np.arange(51.0), bins=np.arange(0, 51))
+    assert got == dict(enumerate(want))
+
+
+def test_bins_agree_with_numpy_on_and_next_to_edges(spark):
+    edges = np.linspace(8.1, 13.5, 70)
+    values = np.concatenate([edges, np.nextafter(edges, 0), np.nextafter(edges, 20)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = {r["bin"]: r["n"] for r in D.histogram(df, "v", 69, 8.1, 13.5).collect()}
+    want, _ = np.histogram(values, bins=edges)
+    assert got == {i: n for i, n in enumerate(want) if n}
+
+
 def test_box_plot_against_pandas(spark):
     rng = np.random.default_rng(0)
     frame = pd.DataFrame({"g": np.where(rng.random(900) < 0.9, "hot", "cold"), "v": rng.standard_t(2, 900)})
