@@ -323,6 +323,25 @@ def sampled_contributions(spark, sf):
     )
 
 
+@query("sampled_contributions_linear", f"""
+WITH mu AS (SELECT avg(value) AS mv, avg(user_id) AS mu FROM events)
+SELECT event_id, event_type = 'view' AS is_host, 'value' AS feature, {q('value', 4)} AS value, {q('0.05::DOUBLE * (value - mv)', 6)} AS contribution FROM events, mu
+UNION ALL SELECT event_id, event_type = 'view', 'user_id', user_id::DOUBLE, {q('-0.01::DOUBLE * (user_id - mu)', 6)} FROM events, mu""")
+def sampled_contributions_linear(spark, sf):
+    """Against the mean row as background, the sampled values of a linear score are its exact ones."""
+    ev = table(spark, sf, "events").select("event_id", (F.col("event_type") == "view").alias("is_host"), "value", "user_id")
+    features = list(EVENT_COEFFICIENTS)
+
+    def score(df: DataFrame) -> DataFrame:
+        v = vector_to_array("features")
+        return df.withColumn("score", v[0] * EVENT_COEFFICIENTS["value"] + v[1] * EVENT_COEFFICIENTS["user_id"])
+
+    out = E.sampled_contributions(
+        ev, profile.column_means(ev, features), ["event_id"], features, score, n_orders=2, carry=["is_host"]
+    )
+    return out.withColumns({"value": quantise("value", 4), "contribution": quantise("contribution", 6)})
+
+
 @query("sampled_importance_of_subsample")
 def sampled_importance_of_subsample(spark, sf):
     """Importance of a logistic model from a stratified subsample of the test role."""

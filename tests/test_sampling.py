@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from starloom.operators import sampling
@@ -55,6 +57,15 @@ def test_largest_remainder():
     assert sampling.largest_remainder({"a": 3}, 0) == {"a": 0}
 
 
+@given(st.dictionaries(st.integers(0, 9), st.integers(1, 10**9), min_size=1), st.floats(0, 1))
+def test_largest_remainder_is_proportional(counts, share):
+    total = sum(counts.values())
+    wanted = int(share * total)
+    got = sampling.largest_remainder(counts, wanted)
+    assert sum(got.values()) == wanted
+    assert all(wanted * n // total <= got[k] <= min(n, -(-wanted * n // total)) for k, n in counts.items())
+
+
 def test_stratified_sample(rows):
     out = sampling.stratified_sample(rows, "y", ["id"], 100, 42)
     assert counts(out, "y") == {(True,): 80, (False,): 20}
