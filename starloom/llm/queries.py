@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.llm import packing, token_file
+from starloom.llm import line_rules, packing, token_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_file.token_file_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *line_rules.COUNTS, "base_failed", "kept")
