@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.llm import line_rules, packing, token_file
+from starloom.llm import decontaminate, line_rules, packing, token_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +57,24 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *line_rules.COUNTS, "base_failed", "kept")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op10_decontamination"] = f"""
+WITH dw AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+iw AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+qs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+n AS (SELECT item_id, count(*) AS item_shingles FROM qs GROUP BY item_id),
+hit AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN qs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles::DOUBLE AS containment
+FROM hit JOIN n USING (item_id) WHERE shared / item_shingles::DOUBLE >= {decontaminate.CONTAINMENT}
+"""
