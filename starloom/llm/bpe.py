@@ -11,13 +11,22 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
 CACHED_PIECES = 1_000_000
 END_ID = 2
 _CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
-_UNCLEAN = -1
+_LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
+_MARKS = "([.,!?;:|*&%$#]*)"
+BLANK = "\u0120"  # how byte-level files write a blank
+#: Byte-level files write bytes as letters; those of the letters above (ASCII stands for itself).
+_BYTES = {
+    c: "".join(chr(b if 0xA1 <= b != 0xAD else 0x100 + b - 0x7F + 33 if b < 0xA1 else 0x143) for b in chr(c).encode())
+    for c in range(0xC0, 0x100)
+}
+_UNCLEAN, _NEW = -1, -2
 _loaded: dict[tuple, CachedBpe] = {}
 
 
@@ -40,36 +49,94 @@ class CachedBpe:
         self.drops_space = "ByteLevel" != (spec["pre_tokenizer"] or {}).get("type")
         self.known = self.drops_space is False or spec["model"].get("end_of_word_suffix") == "</w>"
         self.end_id, self.cached = end_id, cached
+        bare = spec | {"normalizer": None, "post_processor": None, "added_tokens": []}
+        bare["pre_tokenizer"] = {"type": "CharDelimiterSplit", "delimiter": " "}
+        self.model = Tokenizer.from_str(json.dumps(bare))
+        self.word = re.compile(f"({'' if self.drops_space else ' '}{_LETTERS}){_MARKS}").fullmatch
+        edge = (lambda t: t.endswith("</w>")) if self.drops_space else (lambda t: t.startswith(BLANK))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if edge(t)]] = True
         self.reset()
 
     def reset(self) -> None:
         self.inner: dict[str, int] = {}
         self.whole: dict[str, int] = {}
+        self.words: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.used, self.count = 0, 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         if self.end_id is not None:
-            self._keep([[self.end_id]])
+            self._keep(np.array([self.end_id], np.uint32), np.array([1]))
 
-    def _keep(self, lists: list[list[int]]) -> range:
-        first = self.count
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(sizes.sum())
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces with these ids."""
+        first, total = self.count, len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(lists) > len(self.starts):
+        while first + len(sizes) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.flat[self.used : self.used + total] = [x for ids in lists for x in ids]
-        self.sizes[first : first + len(lists)] = sizes
-        self.starts[first : first + len(lists)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = ids
+        self.sizes[first : first + len(sizes)] = sizes
+        self.starts[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.count += len(lists)
-        return range(first, self.count)
+        self.count += len(sizes)
+        return np.arange(first, self.count)
+
+    def _expand(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and where each piece ends."""
+        sizes = self.sizes[index]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(total)], ends
 
-    def _encode(self, pieces: list[str]) -> range:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return self._keep([e.ids for e in encoded])
+    def _batch(self, texts: list[str]) -> np.ndarray:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return self._keep(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
+
+    def _joined(self, words: list[str]) -> np.ndarray:
+        """As ``_batch`` for words of letters, in one call of the bare model: it works on the letters that
+        stand for bytes, and its tokens show where a word ends (or begins, with its blank)."""
+        letters = [w if w.isascii() else w.translate(_BYTES) for w in words]
+        text = " ".join(letters) if self.drops_space else BLANK + (" " + BLANK).join([w[1:] for w in letters])
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        mark = np.flatnonzero(self.edge[ids])
+        if len(mark) != len(words):
+            return self._batch(words)
+        return self._keep(ids, np.diff(mark, prepend=-1) if self.drops_space else np.diff(mark, append=len(ids)))
+
+    def _encode(self, pieces: list[str]) -> np.ndarray:
+        """Pieces of a word and closing marks share the ids of the word: marks begin a new token."""
+        words, plain, other, heads, tails = self.words, {}, {}, [], []
+        for p in pieces:
+            m = self.word(p)
+            if m:
+                head, tail = m.groups()
+                if self.drops_space:  # this kind of file lowers letters as well
+                    head = head.lower()
+                if head not in words:
+                    plain[head] = None
+                if tail and tail not in words:
+                    other[tail] = None
+            else:
+                head, tail = p, ""
+                if p not in words:
+                    other[p] = None
+            heads.append(head)
+            tails.append(tail)
+        if plain:
+            words.update(zip(plain, self._joined(list(plain)).tolist(), strict=True))
+        if other:
+            words.update(zip(other, self._batch(list(other)).tolist(), strict=True))
+        number = np.array([words[h] for h in heads], np.int64)
+        marked = np.array([i for i, t in enumerate(tails) if t], np.int64)
+        if len(marked):
+            pairs = np.stack([number[marked], np.array([words[t] for t in tails if t], np.int64)], 1)
+            ids, ends = self._expand(pairs.ravel())
+            number[marked] = self._keep(ids, np.diff(ends[1::2], prepend=0))
+        return number
 
     def _parts(self, text: str) -> list[str] | None:
         """The text cut at blanks; None if it has to be cut in another way."""
@@ -85,17 +152,17 @@ class CachedBpe:
     def _lookup(self, table: dict[str, int], parts: list[str]) -> np.ndarray:
         """Numbers of the cached pieces. Pieces of ``inner`` stand behind a blank, unless blanks are dropped
         or the piece begins with the line break itself; one that ends in white space is no piece."""
-        got = list(map(table.get, parts))
-        if None in got:
-            missing = list(dict.fromkeys(p for p, i in zip(parts, got, strict=True) if i is None))
-            if table is self.inner and not self.drops_space:
+        got = np.fromiter(map(table.get, parts, repeat(_NEW)), np.int64, len(parts))
+        new = np.flatnonzero(got == _NEW).tolist()
+        if new:
+            missing = list(dict.fromkeys([parts[i] for i in new]))
+            lead = " " if table is self.inner and not self.drops_space else ""
+            if lead:
                 table.update((p, _UNCLEAN) for p in missing if not p or p[-1].isspace())
                 missing = [p for p in missing if p not in table]
-                table.update(zip(missing, self._encode([p if p[0] == "\n" else " " + p for p in missing]), strict=True))
-            else:
-                table.update(zip(missing, self._encode(missing), strict=True))
-            got = list(map(table.get, parts))
-        return np.array(got, np.int64)
+            table.update(zip(missing, self._encode([p if p[:1] == "\n" else lead + p for p in missing]).tolist(), strict=True))
+            got[new] = [table[parts[i]] for i in new]
+        return got
 
     def pieces(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the cached pieces of all texts in a row, each text with its end id, and its bounds."""
@@ -103,7 +170,7 @@ class CachedBpe:
             self.reset()
         parts = [self._parts(t or "") for t in texts]
         size = np.array([len(p) if p else 0 for p in parts], np.int64)
-        flat = self._lookup(self.inner, [x for p in parts if p for x in p])
+        flat = self._lookup(self.inner, list(chain.from_iterable(p for p in parts if p)))
         at = np.cumsum(size) - size
         plain = size > 0
         if not self.drops_space and plain.any():  # the first part of a text has no blank before it
@@ -123,18 +190,11 @@ class CachedBpe:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each text."""
         index, bounds = self.pieces(texts)
-        sizes = self.sizes[index]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(total)]
+        ids, ends = self._expand(index)
         return ids, np.diff(np.concatenate([[0], ends])[bounds])
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """How often each id occurs in the texts."""
         index, _ = self.pieces(texts)
         number, times = np.unique(index, return_counts=True)
-        sizes = self.sizes[number]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[number] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        weights = np.repeat(times, sizes)
-        return np.bincount(ids, weights=weights, minlength=0).astype(np.int64)
+        return np.bincount(self._expand(number)[0], weights=np.repeat(times, self.sizes[number])).astype(np.int64)

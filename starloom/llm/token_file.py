@@ -64,15 +64,16 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _segment(part: int, number: int, ids: np.ndarray, doc_ids: list, sizes: list) -> dict:
-    distinct, inverse, times = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -times))
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    control, data = encode_ranks(rank[inverse])
+    times = np.bincount(ids)
+    table = np.flatnonzero(times)
+    table = table[np.argsort(-times[table], kind="stable")]
+    rank = np.zeros(len(times), np.uint32)
+    rank[table] = np.arange(len(table), dtype=np.uint32)
+    control, data = encode_ranks(rank[ids])
     return {
         "part": part, "segment": number, "n_ids": len(ids),
         "doc_ids": np.array(doc_ids, "<i8").tobytes(), "doc_sizes": np.array(sizes, "<u8").tobytes(),
-        "table": distinct[order].astype("<u4").tobytes(), "control": control, "data": data,
+        "table": table.astype("<u4").tobytes(), "control": control, "data": data,
     }
 
 
