@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.llm import decontaminate, line_rules, packing, token_file
+from starloom.llm import dart_minhash, decontaminate, line_rules, packing, token_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +64,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = dart_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size")
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op10_decontamination"] = f"""
