@@ -19,7 +19,7 @@ CACHED_PIECES = 1_000_000
 END_ID = 2
 _CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
-_MARKS = "([.,!?;:|*&%$#]*)"
+_WORD_AND_MARKS = re.compile(f"({_LETTERS})([.,!?;:|*&%$#]*)").fullmatch
 BLANK = "\u0120"  # how byte-level files write a blank
 #: Byte-level files write bytes as letters; those of the letters above (ASCII stands for itself).
 _BYTES = {
@@ -52,7 +52,6 @@ class CachedBpe:
         bare = spec | {"normalizer": None, "post_processor": None, "added_tokens": []}
         bare["pre_tokenizer"] = {"type": "CharDelimiterSplit", "delimiter": " "}
         self.model = Tokenizer.from_str(json.dumps(bare))
-        self.word = re.compile(f"({'' if self.drops_space else ' '}{_LETTERS}){_MARKS}").fullmatch
         edge = (lambda t: t.endswith("</w>")) if self.drops_space else (lambda t: t.startswith(BLANK))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -89,7 +88,9 @@ class CachedBpe:
         sizes = self.sizes[index]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(total)], ends
+        kind = np.int32 if max(total, self.used) < 1 << 30 else np.int64
+        shift = (self.starts[index] - ends + sizes).astype(kind)
+        return self.flat[np.repeat(shift, sizes) + np.arange(total, dtype=kind)], ends
 
     def _batch(self, texts: list[str]) -> np.ndarray:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,18 +101,20 @@ class CachedBpe:
         """As ``_batch`` for words of letters, in one call of the bare model: it works on the letters that
         stand for bytes, and its tokens show where a word ends (or begins, with its blank)."""
         letters = [w if w.isascii() else w.translate(_BYTES) for w in words]
-        text = " ".join(letters) if self.drops_space else BLANK + (" " + BLANK).join([w[1:] for w in letters])
+        text = " ".join(letters) if self.drops_space else BLANK + (" " + BLANK).join(letters)
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         mark = np.flatnonzero(self.edge[ids])
         if len(mark) != len(words):
-            return self._batch(words)
+            return self._batch(words if self.drops_space else [" " + w for w in words])
         return self._keep(ids, np.diff(mark, prepend=-1) if self.drops_space else np.diff(mark, append=len(ids)))
 
-    def _encode(self, pieces: list[str]) -> np.ndarray:
-        """Pieces of a word and closing marks share the ids of the word: marks begin a new token."""
+    def _encode(self, pieces: list[str], behind_blank: bool = False) -> np.ndarray:
+        """Pieces of a word and closing marks share the ids of the word: marks begin a new token. Plain words
+        are kept without the blank that belongs to them in files of the second kind."""
         words, plain, other, heads, tails = self.words, {}, {}, [], []
+        alike = behind_blank or self.drops_space
         for p in pieces:
-            m = self.word(p)
+            m = _WORD_AND_MARKS(p) if alike else None
             if m:
                 head, tail = m.groups()
                 if self.drops_space:  # this kind of file lowers letters as well
@@ -121,15 +124,17 @@ class CachedBpe:
                 if tail and tail not in words:
                     other[tail] = None
             else:
-                head, tail = p, ""
-                if p not in words:
-                    other[p] = None
+                head, tail = " " + p if behind_blank and p[0] != "\n" else p, ""
+                head = "\0" + head  # a word behind a blank has the same letters and other ids
+                if head not in words:
+                    other[head] = None
             heads.append(head)
             tails.append(tail)
         if plain:
             words.update(zip(plain, self._joined(list(plain)).tolist(), strict=True))
         if other:
-            words.update(zip(other, self._batch(list(other)).tolist(), strict=True))
+            texts = [k[1:] if k[0] == "\0" else k for k in other]
+            words.update(zip(other, self._batch(texts).tolist(), strict=True))
         number = np.array([words[h] for h in heads], np.int64)
         marked = np.array([i for i, t in enumerate(tails) if t], np.int64)
         if len(marked):
@@ -156,11 +161,13 @@ class CachedBpe:
         new = np.flatnonzero(got == _NEW).tolist()
         if new:
             missing = list(dict.fromkeys([parts[i] for i in new]))
-            lead = " " if table is self.inner and not self.drops_space else ""
-            if lead:
-                table.update((p, _UNCLEAN) for p in missing if not p or p[-1].isspace())
-                missing = [p for p in missing if p not in table]
-            table.update(zip(missing, self._encode([p if p[:1] == "\n" else lead + p for p in missing]).tolist(), strict=True))
+            behind_blank = table is self.inner and not self.drops_space
+            if behind_blank:
+                clean = [p for p in missing if p and not p[-1].isspace()]
+                if len(clean) < len(missing):
+                    table.update((p, _UNCLEAN) for p in missing if not p or p[-1].isspace())
+                    missing = clean
+            table.update(zip(missing, self._encode(missing, behind_blank).tolist(), strict=True))
             got[new] = [table[parts[i]] for i in new]
         return got
 

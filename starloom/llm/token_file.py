@@ -30,11 +30,11 @@ FILE_SCHEMA = (
 )
 DOC_SCHEMA = "doc_id long, part int, segment int, local_start long, n_tokens long, ids_crc32 long"
 
-# Lookup tables by control byte: bytes of each of its four ranks, where they begin, and all bytes together.
-_SIZE = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
-_BEGIN = np.cumsum(_SIZE, axis=1) - _SIZE
-_TOTAL = _SIZE.sum(1)
-_MASK = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+# Lookup tables by control byte: bytes of each of its four ranks less one, where they begin, all bytes together.
+_CODE = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8)
+_WIDTH = _CODE.astype(np.int64) + 1
+_BEGIN = np.cumsum(_WIDTH, axis=1) - _WIDTH
+_TOTAL = _WIDTH.sum(1)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -45,8 +45,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(ranks)] = code
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    used = np.arange(4)[None, :] <= code[:, None]
-    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[used]
+    width = int(code.max()) + 1 if len(code) else 1  # the vocabulary bounds it: two bytes as a rule
+    used = np.arange(width, dtype=np.uint8)[None, :] <= code[:, None]
+    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width][used]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
@@ -55,12 +56,12 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     c = np.frombuffer(control, np.uint8)
     total = _TOTAL[c]
     at = ((np.cumsum(total) - total)[:, None] + _BEGIN[c]).ravel()[:n]
-    code = (_SIZE[c] - 1).ravel()[:n]
+    code = _CODE[c].ravel()[:n]
     held = np.frombuffer(data + b"\0\0\0\0", np.uint8)
     word = held[at].astype(np.uint32)
-    for j in (1, 2, 3):
-        word |= held[at + np.minimum(j, code)].astype(np.uint32) << np.uint32(8 * j)
-    return word & _MASK[code]
+    for j in range(1, int(code.max()) + 1 if n else 1):
+        word |= np.where(code >= j, held[at + j], 0).astype(np.uint32) << np.uint32(8 * j)
+    return word
 
 
 def _segment(part: int, number: int, ids: np.ndarray, doc_ids: list, sizes: list) -> dict:
