@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.llm import dart_minhash, decontaminate, line_rules, packing, skip_chain_pii, token_file
+from starloom.llm import dart_minhash, decontaminate, line_rules, packing, ppm_language, skip_chain_pii, token_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +76,13 @@ def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skip_chain_pii.digests(skip_chain_pii.find_pii(docs))
 
 
+@query
+def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", ppm_language.held_out("doc_id", 4, 2))
+    model = ppm_language.train(docs.where("not held_out").select("lang", "text"))
+    return ppm_language.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op10_decontamination"] = f"""
