@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starloom.session import ensure_checkpoint_dir
 
@@ -39,6 +40,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def held_out(id_col: str, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text falls into this fold; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that their texts hold about ``limit`` bytes, one row at least; skips empty ones."""
     for batch in batches:

@@ -184,6 +184,3 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(apply, schema)
 
-
-def held_out(id_col: str, folds: int, fold: int):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))

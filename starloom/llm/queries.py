@@ -9,7 +9,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.llm import dart_minhash, decontaminate, line_rules, packing, ppm_language, skip_chain_pii, token_file
+from starloom.llm import compression_quality, dart_minhash, decontaminate, line_rules, packing, ppm_language, skip_chain_pii, token_file
+from starloom.llm.batches import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +48,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where(~held_out("doc_id", 5, 0))
+    model = compression_quality.train(docs.select("doc_id", "text"), known, "quality")
+    scored = compression_quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -78,7 +88,7 @@ def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", ppm_language.held_out("doc_id", 4, 2))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
     model = ppm_language.train(docs.where("not held_out").select("lang", "text"))
     return ppm_language.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
