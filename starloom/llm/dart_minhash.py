@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm.batches import SHINGLE_WORDS, mix, partitions, sliced, store, text_shingles
 from starloom.llm.components import components
+from starloom.llm.decontaminate import FILTER_BITS, bit_filter, passes
 
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 agrees in none of 36 bands of 6 with a probability of 2e-5; one of 0.3, in any
@@ -116,22 +117,23 @@ def fingerprint(text_col: str = "text"):
 
 def _texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     """One text of each node. A filter of 8 MB at most lets only its share of the texts reach the join."""
-    from starloom.llm.decontaminate import FILTER_BITS, _filter, _passes
+
 
     low = F.conv(F.substring(F.hex("fp"), 1, 8), 16, 10).cast("long")
-    held = docs.sparkSession.sparkContext.broadcast(_filter(nodes.select(low.alias("h")), FILTER_BITS))
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes.select(low.alias("h")), FILTER_BITS))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 0):
             fp = [hashlib.md5(t.as_buffer() if t.is_valid else b"").digest() for t in part.column(0)]
             h = np.array([int.from_bytes(x[:4], "big") for x in fp], np.uint64)
-            passed = np.flatnonzero(_passes(held.value, h, FILTER_BITS))
+            passed = np.flatnonzero(passes(held.value, h, FILTER_BITS))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([fp[i] for i in passed], pa.binary()), part.column(0).take(pa.array(passed))], ["fp", "text"]
             )
 
     picked = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(pick, "fp binary, text string")
-    return picked.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    # copies are collapsed before the shuffle, so a text with many copies is one row of each task
+    return picked.groupBy("fp").agg(F.first("text").alias("text")).join(nodes, "fp", "left_semi")
 
 
 def spanning_links(h: np.ndarray, row: np.ndarray, n: int, threshold: float) -> np.ndarray:

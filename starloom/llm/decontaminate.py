@@ -55,7 +55,7 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, coordinates: int
     return rows.mapInArrow(explode, schema).dropDuplicates(["item_id", "h"])
 
 
-def _filter(shingles: DataFrame, bits: int) -> np.ndarray:
+def bit_filter(shingles: DataFrame, bits: int) -> np.ndarray:
     """Bits of the shingles' hashes; what is fetched has at most one row for each 64 bits of the filter."""
     slot = F.pmod(F.col("h"), F.lit(1 << bits))
     words = shingles.groupBy(F.shiftright(slot, 6).alias("w")).agg(
@@ -67,7 +67,7 @@ def _filter(shingles: DataFrame, bits: int) -> np.ndarray:
     return held
 
 
-def _passes(held: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+def passes(held: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     slot = h & np.uint64((1 << bits) - 1)
     return (held[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
@@ -85,18 +85,18 @@ def contained_items(
     """
     spark = docs.sparkSession
     shingles = store(item_shingles(items, item_id, item_text, coordinates, size), "item_shingles")
-    filters = spark.sparkContext.broadcast((_filter(shingles.where("probe"), bits), _filter(shingles, bits)))
+    filters = spark.sparkContext.broadcast((bit_filter(shingles.where("probe"), bits), bit_filter(shingles, bits)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes, every = filters.value
         for part in sliced(batches):
             h, row = text_shingles(part.column(1), size)
             found = np.zeros(part.num_rows, bool)
-            found[row[_passes(probes, h, bits)]] = True
+            found[row[passes(probes, h, bits)]] = True
             sizes = np.bincount(row, minlength=part.num_rows)
             near = found[row]
             h, row = h[near], row[near]
-            near = _passes(every, h, bits)
+            near = passes(every, h, bits)
             pairs = np.unique(np.stack([row[near].astype(np.uint64), h[near]]), axis=1)
             row, h = pairs[0].astype(np.int64), pairs[1]
             yield pa.RecordBatch.from_arrays(
