@@ -89,12 +89,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word ``[^\\x20\\x09-\\x0D]+``."""
+def word_bounds(
+    data: np.ndarray, at: np.ndarray, inside: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word ``[^\\x20\\x09-\\x0D]+``, or of every run of bytes marked ``inside``."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_IS_SPACE[data]
+    inside = ~_IS_SPACE[data] if inside is None else inside
     first = np.zeros(len(data) + 1, bool)
     first[at[:-1]] = True
     begins = inside.copy()

@@ -81,7 +81,7 @@ def features(sizes: np.ndarray) -> np.ndarray:
     return np.stack([difference, ratio, *gain, length, difference * length, ratio * length, ratio**2], 1)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression by Newton steps."""
     centre, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
@@ -99,19 +99,19 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) ->
 def sample_labelled(
     docs: DataFrame, labels: DataFrame, label: str, sample: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """About ``sample`` labelled texts of each value 0 and 1: text, y. Rows of a null label or text are left out.
+    """About ``sample`` labelled texts of each value 0 and 1: text, y, id. Rows of a null label or text are left out.
 
     Documents are chosen by a hash of their id, so the chosen ids are bounded and sent to all tasks.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("y"))
     per = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not per:
-        return docs.select(F.col(text_col).cast("string").alias("text"), F.lit(0).alias("y")).limit(0)
+        return docs.select(F.col(text_col).cast("string").alias("text"), F.lit(0).alias("y"), F.col(id_col).alias("id")).limit(0)
     share = F.create_map(*(F.lit(x) for y, n in per.items() for x in (y, min(1.0, sample / n))))
     chance = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.broadcast(known.where(chance < share[F.col("y")]))  # about two samples of (id, y)
     return docs.join(chosen, docs[id_col] == chosen["__id"]).where(F.col(text_col).isNotNull()).select(
-        F.col(text_col).cast("string").alias("text"), "y"
+        F.col(text_col).cast("string").alias("text"), "y", F.col("__id").alias("id")
     )
 
 
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     if len({r["y"] for r in rows}) < 2:
         return None
     sizes, y = np.array([r[1:] for r in rows]), np.array([r["y"] for r in rows], float)
-    return Model(dictionaries, *_fit(features(sizes), y))
+    return Model(dictionaries, *fit_logistic(features(sizes), y))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.llm import compression_quality, dart_minhash, decontaminate, line_rules, packing, ppm_language, skip_chain_pii, token_file
+from starloom.llm import compression_quality, dart_minhash, decontaminate, line_rules, packing, ppm_language, skip_chain_pii, token_file, toxicity_neighbours
 from starloom.llm.batches import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,14 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *line_rules.COUNTS, "base_failed", "kept")
 
 
+@query
+def op9_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = toxicity_neighbours.train(docs.select("doc_id", "text"), labels.where(~held_out("doc_id", 5, 0)))
+    scored = toxicity_neighbours.score(docs.select("doc_id", "text"), index)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted", "neighbours")
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
