@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from starloom.llm.batches import sliced, span_hashes, store, utf8, word_bounds
+from starloom.llm.batches import mix, sliced, span_hashes, store, utf8, word_bounds
 from starloom.llm.compression_quality import fit_logistic, sample_labelled
 
 SAMPLE = 3_000  # labelled texts of each label, about
-TERMS, MIN_DOCS, MIN_ASSOCIATION = 1_024, 4, 20.0  # most terms, least texts of a term, least G statistic
+TERMS, MIN_ASSOCIATION = 1_024, 20.0  # most terms, least G statistic
+#: A term needs so many examples, and such a share of the smaller label: fewer tell groups of copies, not labels.
+MIN_DOCS, MIN_SHARE = 8, 0.01
+BEGINNINGS = (4, 5, 6)  # bytes
 NEIGHBOURS, BLOCK = 16, 64
 CACHED = 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -32,15 +35,21 @@ _PART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lowered bytes of the texts with start, end, row and hash of each term."""
+    """Lowered bytes of the texts with start, end, row and hash of each term: words, and the beginnings of
+    longer words, which inflected and compound words share."""
     data, at = utf8(column)
     data = _LOWER[data]
     starts, ends, row = word_bounds(data, at, _PART[data])
-    return data, starts, ends, row, span_hashes(data, starts, ends)
+    longer = [np.flatnonzero(ends - starts > n) for n in BEGINNINGS]
+    all_starts = np.concatenate([starts, *(starts[i] for i in longer)])
+    all_ends = np.concatenate([ends, *(starts[i] + n for i, n in zip(longer, BEGINNINGS, strict=True))])
+    h = span_hashes(data, all_starts, all_ends)
+    h[len(starts) :] = mix(h[len(starts) :])  # a beginning is another term than the word of the same letters
+    return data, all_starts, all_ends, np.concatenate([row, *(row[i] for i in longer)]), h
 
 
 def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[tuple[str, int, float]]:
-    """(term, hash, idf) of the terms whose presence depends most on the label, by the G statistic."""
+    """(term, hash, idf) of the terms that go most with label 1, by the G statistic of their presence."""
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 0):
@@ -68,7 +77,8 @@ def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[tuple[str, int, flo
     g = " + ".join(
         f"if(({x}) > 0, ({x}) * ln(({x}) * {n0 + n1}D / (greatest({r}, 1) * {c}D)), 0D)" for (x, c), r in zip(cells, rows, strict=True)
     )
-    best = counted.where(F.col("n") >= MIN_DOCS).withColumn("g", F.expr(f"2 * ({g})")).where(F.col("g") >= MIN_ASSOCIATION)
+    best = counted.where(F.col("n") >= max(MIN_DOCS, MIN_SHARE * min(n0, n1))).withColumn("g", F.expr(f"2 * ({g})")).where(F.col("g") >= MIN_ASSOCIATION)
+    best = best.where(F.col("a") * n0 > (F.col("n") - F.col("a")) * n1)  # those that speak for the label
     top = best.orderBy(F.desc("g"), "term").limit(most).collect()
     return [(r["term"], r["h"], float(np.log((n0 + n1) / r["n"]) + 0.1)) for r in top]
 
@@ -102,7 +112,7 @@ class Index:
         for t, (d, v) in enumerate(zip(self.docs, self.values, strict=True)):
             np.maximum.at(self.most[t], d // BLOCK, v)
         self.cache: dict[bytes, tuple] = {}
-        self.calibration = (0.0, 0.0, 0.0, 0.0)
+        self.calibration = (1.0, 0.0)
         self.base = 0.5
 
     def weights(self, vector: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +141,12 @@ class Index:
             worst = score[-1] if len(score) == k else 0.0
         return found, score
 
-    def vote(self, vector: list[tuple[int, int]], without: int = -1) -> tuple[float, float, np.ndarray, np.ndarray]:
+    def vote(self, vector: list[tuple[int, int]], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log odds of the vote, shrunk where all neighbours are far, with the neighbours."""
         found, cosine = self.nearest(vector, without=without)
         near = 1 / (1.05 - np.minimum(cosine, 1.0))  # the weight falls with the distance
         share = ((near * self.labels[found]).sum() + 0.5) / (near.sum() + 1.0)
-        return float(np.log(share / (1 - share))), float(cosine.max()) if len(cosine) else 0.0, found, cosine
+        return float(np.log(share / (1 - share))), found, cosine
 
     def score(self, vector: list[tuple[int, int]]) -> tuple[float, list, list[float]]:
         """Calibrated score with the ids and cosines of the neighbours."""
@@ -145,9 +156,8 @@ class Index:
         if key not in self.cache:
             if len(self.cache) >= CACHED:
                 self.cache.clear()
-            logit, top, found, cosine = self.vote(vector)
-            a, b, c, d = self.calibration
-            z = a * logit + b * top + c * logit * top + d
+            logit, found, cosine = self.vote(vector)
+            z = self.calibration[0] * logit + self.calibration[1]
             self.cache[key] = (1 / (1 + np.exp(-np.clip(z, -30, 30))), [self.ids[i] for i in found], cosine.tolist())
         return self.cache[key]
 
@@ -204,18 +214,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         if not of[example]:
             none[c] += weight[c]
             continue
-        logit, top, _, _ = index.vote(of[example], without=i)
-        x.append((logit, top, logit * top))
+        x.append((index.vote(of[example], without=i)[0],))
         y.append(c)
         times.append(weight[c])
     index.base = float((none[1] + 0.5) / (none.sum() + 1.0)) if none.sum() else float(share[1] / (share[0] + share[1]))
     if len(set(y)) == 2:
         times = np.maximum(1, np.round(np.array(times))).astype(int)
         centre, scale, w = fit_logistic(np.repeat(np.array(x), times, 0), np.repeat(np.array(y, float), times))
-        a, b, c = w[:3] / scale
-        index.calibration = (a, b, c, w[3] - (w[:3] / scale * centre).sum())
-    elif y:
-        index.calibration = (1.0, 0.0, 0.0, 0.0)
+        index.calibration = (w[0] / scale[0], w[1] - w[0] * centre[0] / scale[0])
     return index
 
 
