@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import functools
 import os
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from starloom.llm import compression_quality, dart_minhash, decontaminate, line_rules, packing, ppm_language, skip_chain_pii, token_file, toxicity_neighbours
-from starloom.llm.batches import held_out
+from starloom.llm import compression_quality, dart_minhash, decontaminate, line_rules, packing, ppm_language, skip_chain_pii, token_file, token_rollup, toxicity_neighbours
+from starloom.llm.batches import held_out, store
+from starloom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +72,42 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *line_rules.COUNTS, "base_failed", "kept")
 
 
+@query
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; a third moves to another tokenizer, a fifth is cleaned of symbols and a seventh
+    is deleted, each as a batch of changes; one batch is sent twice, one after a snapshot."""
+    docs, clean = table(spark, sf_dir, "documents"), F.regexp_replace("text", r"[#*$%&|<>]+", " ")
+    words, runs = token_rollup.WORDS, token_rollup.RUNS
+    moved = F.col("doc_id") % 3 == 0
+    counted = store(docs.select(
+        "doc_id", "source", "lang",
+        token_rollup.count_tokens("text", words).alias("words"), token_rollup.count_tokens("text", runs).alias("runs"),
+        F.when(F.col("doc_id") % 5 == 1, F.when(moved, token_rollup.count_tokens(clean, runs)).otherwise(
+            token_rollup.count_tokens(clean, words))).alias("cleaned"),
+    ), "token_counts")
+    now = F.when(moved, F.col("runs")).otherwise(F.col("words"))
+    of = F.when(moved, runs).otherwise(words)
+
+    def change(rows: DataFrame, op: str, tokenizer, n, old=None) -> DataFrame:
+        tokenizer = F.lit(tokenizer) if isinstance(tokenizer, str) else tokenizer
+        return rows.select(
+            F.lit(op).alias("op"), "source", "lang", tokenizer.alias("tokenizer"), n.alias("n_tokens"),
+            (F.lit(None).cast("long") if old is None else old).alias("old_n_tokens"),
+        )
+
+    rollup = token_rollup.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/rollup")
+    rollup.commit("1-load", change(counted, "insert", words, F.col("words")))
+    move = change(counted.where(moved), "delete", words, F.col("words")).union(
+        change(counted.where(moved), "insert", runs, F.col("runs"))
+    )
+    rollup.commit("2-move", move)
+    rollup.compact()
+    rollup.commit("2-move", move)
+    rollup.commit("3-clean", change(counted.where("doc_id % 5 = 1"), "revise", of, F.col("cleaned"), now))
+    rollup.commit("4-delete", change(counted.where("doc_id % 7 = 2"), "delete", of, F.coalesce("cleaned", now)))
+    return rollup.totals()
+
+
 @query
 def op9_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -115,3 +154,14 @@ hit AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN qs USING (s) GRO
 SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles::DOUBLE AS containment
 FROM hit JOIN n USING (item_id) WHERE shared / item_shingles::DOUBLE >= {decontaminate.CONTAINMENT}
 """
+
+ORACLES["op8_token_rollup"] = rf"""
+WITH d AS (SELECT source, lang, CASE WHEN doc_id % 3 = 0 THEN '{token_rollup.RUNS}' ELSE '{token_rollup.WORDS}' END AS tokenizer,
+                  CASE WHEN doc_id % 5 = 1 THEN regexp_replace(coalesce(text, ''), '[#*$%&|<>]+', ' ', 'g')
+                       ELSE coalesce(text, '') END AS t
+           FROM documents WHERE doc_id % 7 != 2 OR doc_id IS NULL)
+SELECT source, lang, tokenizer, count(*) AS n_docs,
+       sum(CASE WHEN tokenizer = '{token_rollup.RUNS}' THEN len(regexp_extract_all(t, '{token_rollup.PATTERNS[token_rollup.RUNS]}'))
+                ELSE len(regexp_extract_all(t, '{token_rollup.PATTERNS[token_rollup.WORDS]}')) END)::BIGINT AS n_tokens
+FROM d GROUP BY source, lang, tokenizer
+"""
