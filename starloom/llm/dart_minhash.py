@@ -233,6 +233,7 @@ def _links(docs: DataFrame, members: DataFrame, threshold: float, size: int, tex
     blocks = sized.groupBy("centre").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
+    blocks = store(blocks, "blocks")  # as a table of known size, so that a star of many texts can be split in the join
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     units = star.join(blocks, "centre").select("centre", "fp", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     unit = F.concat_ws(":", F.hex("centre"), F.least("i", "j"), F.greatest("i", "j"))

@@ -125,4 +125,5 @@ def contained_items(
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that contain an item; rows with a null id stay."""
     hit = contained_items(docs, items, **options).select(F.col("doc_id").alias("__hit")).distinct()
+    hit = store(hit, "contaminated")  # as a table of known size: a short list needs no shuffle of the texts
     return docs.join(hit, docs[options.get("doc_id", "doc_id")] == hit["__hit"], "left_anti")
