@@ -26,7 +26,7 @@ TERMS, MIN_ASSOCIATION = 1_024, 20.0  # most terms, least G statistic
 #: A term needs so many examples, and such a share of the smaller label: fewer tell groups of copies, not labels.
 MIN_DOCS, MIN_SHARE = 8, 0.01
 BEGINNINGS = (4, 5, 6)  # bytes
-NEIGHBOURS, BLOCK = 16, 64
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 16, 64, 3
 CACHED = 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -99,18 +99,13 @@ class Index:
         self.labels = labels[place].astype(float)
         self.empty = np.array([not vectors[i] for i in place], bool)
         self.blocks = -(-len(ids) // BLOCK) or 1
-        posting: list[list[tuple[int, float]]] = [[] for _ in words]
+        # the postings of a term, block by block, and the largest one of each block
+        self.posting = np.zeros((len(words), self.blocks, BLOCK), np.float32)
         for doc, i in enumerate(place):
             if vectors[i]:
                 t, w = self.weights(vectors[i])
-                for a, b in zip(t.tolist(), w.tolist(), strict=True):
-                    posting[a].append((doc, b))
-        self.docs = [np.array([d for d, _ in p], np.int64) for p in posting]
-        self.values = [np.array([w for _, w in p]) for p in posting]
-        self.cut = [np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK) for d in self.docs]
-        self.most = np.zeros((len(words), self.blocks))
-        for t, (d, v) in enumerate(zip(self.docs, self.values, strict=True)):
-            np.maximum.at(self.most[t], d // BLOCK, v)
+                self.posting[t, doc // BLOCK, doc % BLOCK] = w
+        self.most = self.posting.max(2) if len(words) else np.zeros((0, self.blocks), np.float32)
         self.cache: dict[bytes, tuple] = {}
         self.calibration = (1.0, 0.0)
         self.base = 0.5
@@ -123,23 +118,26 @@ class Index:
     def nearest(self, vector: list[tuple[int, int]], k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (ties: the first ones) and their cosines, all above zero."""
         t, w = self.weights(vector)
+        w = w.astype(np.float32)
         bound = w @ self.most[t]
-        found, score, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(found) == k and bound[b] < worst - 1e-12):
-                break
-            dots = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                low, high = self.cut[term][b], self.cut[term][b + 1]
-                dots[self.docs[term][low:high] - b * BLOCK] += weight * self.values[term][low:high]
-            if 0 <= without - b * BLOCK < BLOCK:
-                dots[without - b * BLOCK] = 0
-            hit = np.flatnonzero(dots > 0)
-            found, score = np.concatenate([found, hit + b * BLOCK]), np.concatenate([score, dots[hit]])
-            order = np.lexsort((found, -score.round(12)))[:k]
-            found, score = found[order], score[order]
-            worst = score[-1] if len(score) == k else 0.0
-        return found, score
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
+        found, score = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        while len(order):
+            # the first blocks give a k-th best; all blocks that can still beat it follow at once
+            now, order = order[:FIRST_BLOCKS] if not len(found) else order, order[FIRST_BLOCKS:] if not len(found) else order[:0]
+            dots = np.einsum("t,tbk->bk", w, self.posting[t[:, None], now[None, :]])
+            docs = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = (dots.ravel() > 0) & (docs != without)
+            found, score = np.concatenate([found, docs[hit]]), np.concatenate([score, dots.ravel()[hit]])
+            best = np.lexsort((found, -score.round(5)))[:k]
+            found, score = found[best], score[best]
+            if len(score) == k:
+                order = order[bound[order] >= score[-1] - 1e-4]
+            elif not len(found):
+                found, score = np.array([-1]), np.array([-1.0], np.float32)
+        known = found >= 0
+        return found[known], score[known].astype(float)
 
     def vote(self, vector: list[tuple[int, int]], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Log odds of the vote, shrunk where all neighbours are far, with the neighbours."""
