@@ -23,8 +23,15 @@ ORACLES: dict[str, str] = {}
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Texts reach Python workers in batches of this size unless the session says otherwise: memory of a worker and of
+#: Arrow buffers follows it, not the number of rows.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def with_library(spark: SparkSession) -> None:
-    """Lets Python workers of this session import the library where it is not installed."""
+    """Lets Python workers import the library where it is not installed, and bounds the batches they get."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     environment = spark.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, environment.get("PYTHONPATH")]))
