@@ -20,7 +20,7 @@ def _files(spark, folder: str) -> list[str]:
 @query("catalogue_text_scan", """
 SELECT o_orderstatus AS simulation_id, o_orderkey AS halo_id, o_custkey AS npart, o_totalprice AS Mhalo FROM orders""")
 def catalogue_text_scan(spark, sf):
-    folder = scratch(spark)
+    folder = f"{scratch(spark)}/with blank 100%41"
     orders = table(spark, sf, "orders")
     rows = orders.select(
         "o_orderstatus",
@@ -47,7 +47,7 @@ def catalogue_text_scan(spark, sf):
 SELECT l_orderkey AS wdm_halo_id, n AS wdm_npart, l_suppkey AS cdm_halo_id, l_partkey AS cdm_npart, l_linenumber::BIGINT AS n_shared,
   l_quantity AS merit FROM lineitem JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) USING (l_orderkey)""")
 def two_level_text_scan(spark, sf):
-    folder = scratch(spark)
+    folder = f"{scratch(spark)}/with blank 100%41"
     lines = table(spark, sf, "lineitem")
     parents = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).select(
         "l_orderkey", F.lit(0).alias("level"), F.concat_ws("  ", "l_orderkey", "n", "n").alias("value")

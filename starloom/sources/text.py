@@ -41,6 +41,19 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def metadata_path() -> Column:
+    """Path of the file of a row as it is written, without the URL encoding of the metadata column."""
+    return plain_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
+def strict(cell: Column, kind: str, what: str) -> Column:
+    """A trimmed cell as a number; blank cells are NULL, and what is no number raises."""
+    text = F.trim(cell)
+    value = text.try_cast(kind)
+    wrong = F.raise_error(F.concat(F.lit(f"{what} is no {kind}: "), text)).cast(kind)
+    return F.when(text == "", F.lit(None).cast(kind)).when(text.isNotNull() & value.isNull(), wrong).otherwise(value)
+
+
 def one_file_each(spark: SparkSession, directories: dict[str, str], glob: str) -> dict[str, str]:
     """The single file matching the pattern in every directory.
 
@@ -68,12 +81,14 @@ def one_file_each(spark: SparkSession, directories: dict[str, str], glob: str) -
 
 
 def tag_by_path(df: DataFrame, files: dict[str, str], path: str, name: str) -> DataFrame:
-    """Replace a file path column by the population id that owns the file, as first column."""
-    owners = df.sparkSession.createDataFrame(
-        [(p, k) for k, p in files.items()], f"__owned string, `{name}` string"
-    )
-    tagged = df.join(F.broadcast(owners), plain_path(F.col(path)) == F.col("__owned"))
-    return tagged.select(name, *[c for c in df.columns if c != path])
+    """Replace a file path column by the population id that owns the file, as first column.
+
+    A row of a file without an owner raises. The owners are as many as the configured populations.
+    """
+    owners = F.create_map(*(x for k, p in files.items() for x in (plain_path(F.lit(p)), F.lit(k))))
+    owner = owners[plain_path(F.col(path))]
+    unknown = F.raise_error(F.concat(F.lit("no population owns the file "), F.col(path))).cast("string")
+    return df.select(F.when(owner.isNull(), unknown).otherwise(owner).alias(name), *[c for c in df.columns if c != path])
 
 
 def clean_header_name(token: Column) -> Column:
@@ -106,45 +121,35 @@ def schema_of(names: Sequence[str], integers: frozenset[str] = INTEGER_COLUMNS)
     ])
 
 
-def check_widths(spark: SparkSession, files: dict[str, str], names: Sequence[str]) -> None:
-    """One pass over the text: every file has this header and no row is shorter than it."""
-    lines = spark.read.text(list(files.values())).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-        "value",
-    )
-    comment = F.col("value").startswith("#")
-    data = ~comment & (F.trim("value") != "")
-    expected = F.array(*[F.lit(n) for n in names])
-    checked = lines.groupBy("path").agg(
-        F.min(F.when(data, F.size(F.split("value", "\t")))).alias("narrowest"),
-        F.min_by(F.when(comment, F.col("value")), F.when(comment, F.col("at"))).alias("header"),
-    )
-    bad = checked.where(
-        F.col("header").isNull()
-        | (header_names(F.col("header")) != expected)
-        | (F.col("narrowest") < len(names))
-    ).limit(20).collect()
-    if bad:
-        shown = "; ".join(f"{r['path']} (narrowest row {r['narrowest']})" for r in bad)
-        raise ValueError(f"expected a header and rows of {len(names)} columns in: {shown}")
-
-
-def read_catalogue(
-    spark: SparkSession, files: dict[str, str], id_column: str = "simulation_id", check: bool = True
-) -> DataFrame:
+def check_headers(spark: SparkSession, files: dict[str, str]) -> list[str]:
+    """The header that all files share. Each file is read up to its first header line only."""
+    names: list[str] = []
+    for path in files.values():
+        own = read_header(spark, path)
+        if names and own != names:
+            raise ValueError(f"expected a header of {names} in {path}, found {own}")
+        names = own
+    return names
+
+
+def read_catalogue(spark: SparkSession, files: dict[str, str], id_column: str = "simulation_id") -> DataFrame:
     """All catalogue files in one typed scan, tagged by population.
 
-    Blank-padded numbers are trimmed and a trailing tab is ignored; short rows raise if ``check``.
+    Lines are split, checked and cast in one pass. Blank-padded numbers are trimmed, a trailing tab is
+    ignored and a blank cell is NULL; a short row, a cell that is no number, and a row of a file without
+    an owner raise.
     """
-    names = read_header(spark, next(iter(files.values())))
-    if check:
-        check_widths(spark, files, names)
-    rows = (
-        spark.read.schema(schema_of(names))
-        .options(sep="\t", comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-        .csv(list(files.values()))
-        .select(F.col("_metadata.file_path").alias("__path"), "*")
+    names = check_headers(spark, files)
+    lines = spark.read.text(list(files.values())).select(metadata_path().alias("__path"), "value")
+    data = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    cells = data.select("__path", F.split("value", "\t").alias("__cells"))
+    short = F.raise_error(F.concat(
+        F.lit(f"expected rows of {len(names)} columns, found "), F.size("__cells").cast("string"), F.lit(" in "), F.col("__path")
+    )).cast("array<string>")
+    cells = cells.withColumn("__cells", F.when(F.size("__cells") >= len(names), F.col("__cells")).otherwise(short))
+    kinds = {f.name: f.dataType.simpleString() for f in schema_of(names)}
+    rows = cells.select(
+        "__path", *[strict(F.get("__cells", F.lit(i)), kinds[n], n).alias(n) for i, n in enumerate(names)]
     )
     return tag_by_path(rows, files, "__path", id_column)
 
@@ -161,7 +166,7 @@ def read_matches(spark: SparkSession, files: dict[str, str], id_column: str = "s
     lines = (
         spark.read.text(list(files.values()))
         .select(
-            F.col("_metadata.file_path").alias("__path"),
+            metadata_path().alias("__path"),
             F.col("_metadata.file_block_start").alias("__block"),
             F.monotonically_increasing_id().alias("__line"),
             "value",
@@ -170,7 +175,7 @@ def read_matches(spark: SparkSession, files: dict[str, str], id_column: str = "s
         .withColumn("__child", F.col("value").startswith("  "))
         .withColumn("__t", F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"))
     )
-    token = lambda i, kind: F.get(F.col("__t"), F.lit(i)).cast(kind)
+    token = lambda i, kind: strict(F.get(F.col("__t"), F.lit(i)), kind, f"token {i}")
     parent = ~F.col("__child")
     filled = forward_fill(
         lines,

@@ -71,8 +71,50 @@ def test_catalogue_with_blanks_and_trailing_tabs(spark, tmp_path):
 
 def test_short_row_raises(spark, tmp_path):
     path = write(tmp_path / "a.AHF_halos", HEADER, "0\t0\t1")
-    with pytest.raises(ValueError, match="narrowest row 3"):
-        text.read_catalogue(spark, {"s": path})
+    with pytest.raises(Exception, match="expected rows of 6 columns, found 3"):
+        text.read_catalogue(spark, {"s": path}).collect()
+
+
+def test_bad_cell_raises(spark, tmp_path):
+    path = write(tmp_path / "a.AHF_halos", HEADER, "0\t0\t1\t500\tabc\t1.0")
+    with pytest.raises(Exception, match="Mhalo is no double: abc"):
+        text.read_catalogue(spark, {"s": path}).collect()
+    path = write(tmp_path / "b.AHF_halos", HEADER, "0\t0\t1\t5.5\t1.0\t1.0")
+    with pytest.raises(Exception, match="npart is no bigint: 5.5"):
+        text.read_catalogue(spark, {"s": path}).collect()
+    path = write(tmp_path / "c_croco", "1 2 1", "  3 x 5 0.5")
+    with pytest.raises(Exception, match="is no bigint: x"):
+        text.read_matches(spark, {"p": path}).collect()
+
+
+def test_blank_cells_are_null(spark, tmp_path):
+    path = write(tmp_path / "a.AHF_halos", HEADER, "0\t\t1\t500\t \t1.0")
+    row = text.read_catalogue(spark, {"s": path}).first()
+    assert row["hostHalo"] is None and row["Mhalo"] is None and row["npart"] == 500
+
+
+@pytest.mark.parametrize("name", ["with blank", "pct%41", "a+b", "ünï"])
+def test_paths_that_need_encoding_lose_no_row(spark, tmp_path, name):
+    folder = tmp_path / name
+    folder.mkdir()
+    a = write(folder / "x.AHF_halos", HEADER, "0\t0\t1\t500\t7e12\t1.0", "1\t0\t1\t500\t7e12\t1.0")
+    assert [r["simulation_id"] for r in text.read_catalogue(spark, {"s": a}).collect()] == ["s", "s"]
+    m = write(folder / "x_croco", *MATCH_LINES)
+    assert text.read_matches(spark, {"p": m}).count() == 3
+    found = text.one_file_each(spark, {"s": str(folder)}, text.CATALOGUE_GLOB)
+    assert text.read_catalogue(spark, found).count() == 2
+
+
+def test_rows_without_an_owner_raise(spark):
+    rows = spark.createDataFrame([("/x/a", 1), ("/x/b", 2)], "path string, v long")
+    with pytest.raises(Exception, match="no population owns the file /x/b"):
+        text.tag_by_path(rows, {"s": "/x/a"}, "path", "id").collect()
+
+
+def test_catalogue_text_is_scanned_once(spark, tmp_path):
+    a = write(tmp_path / "a.AHF_halos", HEADER, "0\t0\t1\t500\t7e12\t1.0")
+    plan = text.read_catalogue(spark, {"s": a})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
 
 
 def test_headers_must_agree(spark, tmp_path):
