@@ -95,11 +95,14 @@ def distribution_curve_all(spark, sf):
 def _violin_sql(source: str, points: int, factor: str) -> str:
     return f"""
 WITH d AS ({source}),
-s AS (SELECT g, count(*)::DOUBLE AS n, min(v) AS lo, max(v) AS hi, {factor} * stddev_samp(v) AS bw FROM d GROUP BY g),
-k AS (SELECT g, n, lo, hi, bw, p.p::INTEGER AS point, lo + p.p * (hi - lo) / {points - 1}.0::DOUBLE AS x FROM s, range({points}) AS p(p))
-SELECT k.g, point, {q('any_value(x)', 6)} AS x,
+s AS (SELECT g, count(*)::DOUBLE AS n, min(v) AS lo, max(v) AS hi, {factor} * stddev_samp(v) AS bw,
+       quantile_cont(v, 0.5) AS median FROM d GROUP BY g),
+k AS (SELECT g, n, lo, hi, bw, median, p.p::INTEGER AS point, lo + p.p * (hi - lo) / {points - 1}.0::DOUBLE AS x
+      FROM s, range({points}) AS p(p) WHERE bw > 0)
+SELECT k.g, point, {q('any_value(median)', 6)} AS median, {q('any_value(x)', 6)} AS x,
   {q("sum(exp(-0.5::DOUBLE * ((x - v) / bw) * ((x - v) / bw))) / (any_value(n) * any_value(bw) * sqrt(2.0::DOUBLE * pi()))", 8)} AS density
-FROM k JOIN d USING (g) GROUP BY k.g, point"""
+FROM k JOIN d USING (g) GROUP BY k.g, point
+UNION ALL SELECT g, 0, {q('median', 6)}, {q('lo', 6)}, NULL FROM s WHERE bw IS NULL OR NOT bw > 0"""
 
 
 @query("violin_sizes", _violin_sql(
@@ -107,7 +110,7 @@ FROM k JOIN d USING (g) GROUP BY k.g, point"""
 def violin_sizes(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_type").alias("g"), F.col("p_retailprice").alias("v"))
     out = D.violin(rows, "v", ["g"], points=100)
-    return out.withColumns({"x": quantise("x", 6), "density": quantise("density", 8)})
+    return out.withColumns({c: quantise(c, n) for c, n in (("x", 6), ("density", 8), ("median", 6))})
 
 
 @query("violin_log_values", _violin_sql(
@@ -117,7 +120,7 @@ def violin_log_values(spark, sf):
         F.col("event_type").alias("g"), F.log10("value").alias("v")
     )
     out = D.violin(rows, "v", ["g"], points=300, bandwidth=0.35)
-    return out.withColumns({"x": quantise("x", 6), "density": quantise("density", 8)})
+    return out.withColumns({c: quantise(c, n) for c, n in (("x", 6), ("density", 8), ("median", 6))})
 
 
 def _grid_sql(bins: int, sigma: float) -> str:

@@ -92,7 +92,9 @@ VIOLIN_GROUPS_HELD = 4096
 def violin(
     df: DataFrame, value: str, group: Sequence[str], points: int = 100, bandwidth: float | None = None
 ) -> DataFrame:
-    """Gaussian kernel density of each group on an even grid between its minimum and maximum.
+    """Gaussian kernel density of each group on an even grid between its minimum and maximum, and its median.
+
+    Groups of one row or one value have no density: one row at point 0 with a NULL density.
 
     ``bandwidth`` is the factor on the sample standard deviation; by default n ** (-1/5). Every task
     adds up the kernel sums of its own rows on the grid, so a group of any size leaves a task as
@@ -108,6 +110,8 @@ def violin(
         F.max("__v").alias("__hi"),
         (factor * F.stddev_samp("__v")).alias("__bw"),
     )
+    single = stats.where(~F.coalesce(F.col("__bw") > 0, F.lit(False)) & (F.col("__n") > 0))
+    single = single.select(*group, F.lit(0).alias("point"), F.col("__lo").alias("x"), F.lit(None).cast("double").alias("density"))
     stats, _ = materialise_small(stats.where(F.col("__bw") > 0))
     if group:
         rows = null_safe_join(clean, stats, group)
@@ -125,7 +129,8 @@ def violin(
         for key, total in totals.items():
             frame = pd.DataFrame({"point": np.arange(points, dtype="int32"), "__sum": total})
             for name, item in zip(keys, key, strict=True):
-                frame[name] = item
+                item = None if pd.isna(item) else item
+                frame[name] = pd.Series([item] * points, dtype=object) if name in group else item
             yield frame[[*keys, "point", "__sum"]]
 
     def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +150,11 @@ def violin(
     sums = rows.select(*group, "__n", "__lo", "__hi", "__bw", "__v").mapInPandas(partial_sums, out_schema)
     x = F.max("__lo") + F.col("point") * (F.max("__hi") - F.max("__lo")) / F.lit(float(points - 1))
     norm = F.max("__n") * F.max("__bw") * F.lit(float(np.sqrt(2.0 * np.pi)))
-    return sums.groupBy(*group, "point").agg(x.alias("x"), (F.sum("__sum") / norm).alias("density"))
+    curve = sums.groupBy(*group, "point").agg(x.alias("x"), (F.sum("__sum") / norm).alias("density"))
+    median = exact_quantiles(clean.withColumnRenamed("__v", "value"), "value", {"median": 0.5}, group)
+    median = median.select(*group, "median")
+    curve = curve.unionByName(single)
+    return null_safe_join(curve, median, group) if group else curve.crossJoin(median)
 
 
 # Smoothing of the 2-D histogram.
@@ -186,9 +195,9 @@ def _smooth_axis(cells: DataFrame, axis: str, others: Sequence[str], bins: int,
 
 
 def data_limits(df: DataFrame, x: str, y: str) -> tuple[float, float, float, float]:
-    """Common axis limits of a 2-D histogram: four numbers from one aggregate."""
+    """Common axis limits of a 2-D histogram: four numbers from one aggregate; zeros without usable rows."""
     row = df.where(usable(x) & usable(y)).agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    return tuple(float(v) for v in row)
+    return tuple(0.0 if v is None else float(v) for v in row)
 
 
 def density_grid(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SMALL_SIDE_ROWS = 100_000
 
@@ -21,12 +20,6 @@ def materialise_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> tuple[D
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Broadcast hint behind a row-count check; beyond the bound the planner chooses."""
-    small, bounded = materialise_small(df, max_rows)
-    return F.broadcast(small) if bounded else df
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys where NULL matches NULL; the key columns of the left side are kept."""
     if not keys:

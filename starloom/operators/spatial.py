@@ -72,6 +72,11 @@ class _Grid:
         )
 
 
+def _group_key(group: str) -> Column:
+    """The group as a value that joins where it is NULL: a struct is never NULL itself."""
+    return F.struct(F.col(group).alias("v")).alias("g")
+
+
 def distinct_places(df: DataFrame, group: str, coords: Sequence[str], box: str) -> DataFrame:
     """Distinct positions per group with their multiplicity; positions outside [0, box) raise."""
     columns = []
@@ -82,7 +87,7 @@ def distinct_places(df: DataFrame, group: str, coords: Sequence[str], box: str)
         columns.append(F.when(inside, v).otherwise(F.raise_error(bad).cast("double")).alias(f"p{i}"))
     pos = [f"p{i}" for i in range(len(coords))]
     return (
-        df.select(F.col(group).alias("g"), F.col(box).cast("double").alias("box"), *columns)
+        df.select(_group_key(group), F.col(box).cast("double").alias("box"), *columns)
         .groupBy("g", "box", *pos)
         .agg(F.count(F.lit(1)).alias("m"))
     )
@@ -285,7 +290,7 @@ def _back_to_objects(
     pos = [f"p{i}" for i in range(len(coords))]
     objects = df.select(
         *key,
-        F.col(group).alias("g"),
+        _group_key(group),
         *[(F.col(c).cast("double") + F.lit(0.0)).alias(p) for c, p in zip(coords, pos, strict=True)],
     )
     return objects.join(found, ["g", *pos])
@@ -306,7 +311,7 @@ def radius_count(
     places = distinct_places(df, group, coords, box).checkpoint()
     counts = _radius_counts(places, len(coords), radius, crowded_pair)
     joined = _back_to_objects(df, group, key, coords, counts)
-    return joined.select(*key, F.col("g").alias(group), (F.col("n_within") - 1).alias(name))
+    return joined.select(*key, F.col("g.v").alias(group), (F.col("n_within") - 1).alias(name))
 
 
 def nearest_distance(
@@ -324,7 +329,7 @@ def nearest_distance(
     nearest = _nearest(places, len(coords), crowded_cell)
     joined = _back_to_objects(df, group, key, coords, nearest)
     distance = F.coalesce(F.sqrt("d2"), F.lit(float("inf")))
-    return joined.select(*key, F.col("g").alias(group), distance.alias(name))
+    return joined.select(*key, F.col("g.v").alias(group), distance.alias(name))
 
 
 def periodic_neighbours(
@@ -350,7 +355,7 @@ def periodic_neighbours(
     joined = _back_to_objects(df, group, key, coords, both)
     return joined.select(
         *key,
-        F.col("g").alias(group),
+        F.col("g.v").alias(group),
         F.coalesce(F.sqrt("d2"), F.lit(float("inf"))).alias(nearest_name),
         (F.col("n_within") - 1).alias(count_name),
     )

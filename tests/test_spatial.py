@@ -80,3 +80,11 @@ def test_lone_object_is_infinitely_far(spark):
 def test_position_outside_the_box_raises(spark, x):
     with pytest.raises(PySparkException, match="outside"):
         neighbours(spark, [(1, "a", x, 0.0, 0.0, 25.0)], 1.0)
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(1, None, 1.0, 1.0, 10.0), (2, None, 1.5, 1.0, 10.0), (3, "a", 1.2, 1.0, 10.0)]
+    df = spark.createDataFrame(rows, "k long, g string, x double, y double, box double")
+    near = {r["k"]: r for r in spatial.radius_count(df, "g", ["k"], ["x", "y"], "box", 1.0).collect()}
+    assert sorted(near) == [1, 2, 3]
+    assert sorted(spatial.nearest_distance(df, "g", ["k"], ["x", "y"], "box").select("k").toPandas()["k"]) == [1, 2, 3]

@@ -156,3 +156,15 @@ def test_no_join_without_keys(spark, sf, name):
 
     text = plan_of(QUERIES[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_violin_keeps_groups_without_a_density(spark):
+    rows = [("one", 4.0), ("same", 2.0), ("same", 2.0), (None, 1.0), (None, 3.0), (None, 8.0)]
+    out = D.violin(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], points=5).collect()
+    by = {g: [r for r in out if r["g"] == g] for g in ("one", "same", None)}
+    assert [(r["point"], r["x"], r["density"], r["median"]) for r in by["one"] + by["same"]] == [(0, 4.0, None, 4.0), (0, 2.0, None, 2.0)]
+    assert len(by[None]) == 5 and {r["median"] for r in by[None]} == {3.0}
+
+
+def test_limits_of_an_empty_grid(spark):
+    assert D.data_limits(spark.createDataFrame([], "x double, y double"), "x", "y") == (0.0, 0.0, 0.0, 0.0)
