@@ -14,7 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    # a table of its own: a join of two plain inputs can split the links of a node that has very many
+    least = store(both.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = both.join(least, "a").withColumn("m", F.least("a", "m"))
     if large:
         moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
