@@ -9,7 +9,9 @@ from starloom import functions as S
 from starloom.operators import profile, quality
 from starloom.operators.clean import below_limit, drop_present, enrich, host_flags, rename_present
 from starloom.operators.metrics import is_correct, predicted_class
+from starloom.operators.models import LABEL
 from starloom.operators.ordered import forward_fill
+from starloom.plans.training import assemble
 
 
 def c(cond: str) -> str:
@@ -380,13 +382,19 @@ def roles_by_date(spark, sf):
 SELECT object_id, {q('lab.mass', 2)} AS mass, by_match, split_role, c_mktsegment = 'BUILDING' AS flag
 FROM lab JOIN role USING (object_id) JOIN orders ON object_id = o_orderkey JOIN customer ON o_custkey = c_custkey""")
 def training_rows(spark, sf):
-    labelled = labelled_objects(spark, sf).select("object_id", "mass", "by_match")
+    labelled = labelled_objects(spark, sf)
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("object_id"), "o_custkey")
     flags = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), (F.col("c_mktsegment") == "BUILDING").alias("flag")
     )
-    joined = labelled.join(roles_by_date(spark, sf), "object_id").join(orders, "object_id").join(flags, "o_custkey")
-    return joined.select("object_id", S.quantise("mass", 2).alias("mass"), "by_match", "split_role", "flag")
+    rows = assemble(
+        labelled.select("object_id", "mass"), labelled.select("object_id", "by_match"),
+        roles_by_date(spark, sf).withColumn("split_name", F.lit("by_date")), "by_date",
+        key=["object_id"], label="by_match", columns=["mass"], extra=orders.join(flags, "o_custkey").drop("o_custkey"),
+    )
+    return rows.select(
+        "object_id", S.quantise("mass", 2).alias("mass"), (F.col(LABEL) == 1).alias("by_match"), "split_role", "flag"
+    )
 
 
 @query("split_balance", f"""WITH {OBJECTS_SQL}, {ROLE_SQL}

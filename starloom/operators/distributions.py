@@ -41,6 +41,9 @@ def histogram(
     clean = df.where(usable(value))
     lo = clean.agg(F.min(value)).scalar() if low is None else F.lit(float(low))
     hi = clean.agg(F.max(value)).scalar() if high is None else F.lit(float(high))
+    if low is None and high is None:  # a column of one value lies in the middle of a range of one
+        flat = F.when(lo == hi, F.lit(0.5)).otherwise(F.lit(0.0))
+        lo, hi = lo - flat, hi + flat
     counts = (
         clean.select(*group, closed_bin(F.col(value), lo, hi, bins).alias("bin"))
         .where(F.col("bin").isNotNull())

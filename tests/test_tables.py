@@ -168,3 +168,9 @@ def test_violin_keeps_groups_without_a_density(spark):
 
 def test_limits_of_an_empty_grid(spark):
     assert D.data_limits(spark.createDataFrame([], "x double, y double"), "x", "y") == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_histogram_of_one_value(spark):
+    df = spark.createDataFrame([(3.0,), (3.0,)], "v double")
+    assert [tuple(r) for r in D.histogram(df, "v", 5).collect()] == [(2, 2)]
+    assert D.histogram(df, "v", 5, density=True).first()["density"] == 5.0
