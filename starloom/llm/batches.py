@@ -40,6 +40,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def beside_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The text, and all other columns as one: their names can't clash with those that an operator adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*rest, F.lit(0).alias("__none")).alias("__row"), F.col(text_col))
+
+
+def as_before(rows: DataFrame, docs: DataFrame, text: Column, text_col: str = "text") -> DataFrame:
+    """Rows of ``beside_text`` in the columns of ``docs``, with this text; ``n_chars`` follows it."""
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(text.alias(c))
+        elif c == "n_chars":
+            columns.append(F.coalesce(F.length(text), F.lit(0)).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("__row")[c].alias(c))
+    return rows.select(*columns)
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into this fold; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -247,13 +247,13 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     classes = near_duplicate_classes(docs, **options)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = store(kept.groupBy("class_fp", "doc_id").agg(F.min("fp").alias("fp"), F.count("*").alias("rows")), "kept")
+    kept = store(kept.groupBy("class_fp", "doc_id").agg(F.min("fp").alias("fp"), F.count("*").alias("__rows")), "kept")
     marked = docs.withColumn("__fp", fingerprint(text_col))
-    mine = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__kept"), "rows")
+    mine = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__kept"), "__rows")
     on = (marked["__fp"] == mine["__kept"]) & marked[id_col].eqNullSafe(mine["__id"])
     left = marked.join(mine, on)
-    once = left.where("rows = 1")
-    if kept.where("rows > 1").isEmpty():  # ids are unique as a rule: nothing to collapse
+    once = left.where("__rows = 1")
+    if kept.where("__rows > 1").isEmpty():  # ids are unique as a rule: nothing to collapse
         return once.select(*docs.columns)
-    again = left.where("rows > 1").dropDuplicates(["__id", "__kept"])
+    again = left.where("__rows > 1").dropDuplicates(["__id", "__kept"])
     return once.union(again).select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from starloom.llm.batches import mix, shingles, sliced, span_hashes, utf8, word_bounds
+from starloom.llm.batches import as_before, beside_text, mix, shingles, sliced, span_hashes, utf8, word_bounds
 
 #: Limits of the base rules and their character class (fixed by the contract of the query).
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, b"#*$%&|<>"
@@ -198,7 +198,5 @@ def clean_lines(docs: DataFrame, limits: LineLimits = LineLimits(), text_col: st
 
 def cleaned_documents(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The kept documents with their clean text, in the columns of ``docs``; ``n_chars`` follows the text."""
-    kept = clean_lines(docs, limits).where("kept").withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    kept = clean_lines(beside_text(docs), limits).where("kept")
+    return as_before(kept, docs, F.col("clean_text"))

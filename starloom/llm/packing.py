@@ -129,12 +129,11 @@ def pattern_slots(patterns: list[tuple[int, list[int]]]) -> dict[str, np.ndarray
 def place(pieces: DataFrame, key: list[str], length_col: str = "length", max_len: int = MAX_LEN) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a length of 1 to ``max_len``; ``key`` orders equal lengths.
 
-    ``pieces`` is read twice, so it should be a table. All its columns are kept; a clash with the two new
-    names raises. An empty table gives an empty one.
+    ``pieces`` is read twice, so it should be a table. All its columns are kept, but those of the two new
+    names are replaced. An empty table gives an empty one.
     """
     spark = pieces.sparkSession
-    if clash := {"sequence_id", "offset"} & set(pieces.columns):
-        raise ValueError(f"columns {sorted(clash)} are already there")
+    pieces = pieces.drop("sequence_id", "offset")
     counted = pieces.groupBy(F.col(length_col).cast("long").alias("len")).count().collect()  # max_len rows at most
     slots = pattern_slots(packing_patterns({r["len"]: r["count"] for r in counted}, max_len))
     shared = spark.sparkContext.broadcast(slots)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from starloom.llm.batches import sliced, utf8, word_bounds
+from starloom.llm.batches import as_before, beside_text, sliced, utf8, word_bounds
 
 KINDS = ("email", "ip", "card", "phone")
 PHONE = KINDS.index("phone")
@@ -311,7 +311,4 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
     """The documents with every span redacted, in their columns; ``n_chars`` follows the text."""
-    out = find_pii(docs, redact=True)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return as_before(find_pii(beside_text(docs), redact=True), docs, F.col("text"))

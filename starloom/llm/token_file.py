@@ -26,7 +26,7 @@ from starloom.session import ensure_checkpoint_dir
 
 SEGMENT_IDS = 1 << 21
 FILE_SCHEMA = (
-    "part int, segment int, n_ids long, doc_ids binary, doc_sizes binary, table binary, control binary, data binary"
+    "part int, segment int, n_ids long, n_null int, doc_ids binary, doc_sizes binary, table binary, control binary, data binary"
 )
 DOC_SCHEMA = "doc_id long, part int, segment int, local_start long, n_tokens long, ids_crc32 long"
 
@@ -72,8 +72,8 @@ def _segment(part: int, number: int, ids: np.ndarray, doc_ids: list, sizes: list
     rank[table] = np.arange(len(table), dtype=np.uint32)
     control, data = encode_ranks(rank[ids])
     return {
-        "part": part, "segment": number, "n_ids": len(ids),
-        "doc_ids": np.array(doc_ids, "<i8").tobytes(), "doc_sizes": np.array(sizes, "<u8").tobytes(),
+        "part": part, "segment": number, "n_ids": len(ids), "n_null": doc_ids.count(None),
+        "doc_ids": np.array([i or 0 for i in doc_ids], "<i8").tobytes(), "doc_sizes": np.array(sizes, "<u8").tobytes(),
         "table": table.astype("<u4").tobytes(), "control": control, "data": data,
     }
 
@@ -84,18 +84,16 @@ def write_token_file(
 ) -> None:
     """Writes the token file of all documents in ascending order of their id.
 
-    A null or empty text has the end id alone. Rows with a null id are an error, as the file is ordered by
-    it; repeated ids are kept side by side. Other columns are not read.
+    A null or empty text has the end id alone. Null ids come first, and each segment says how many of its
+    documents have none; repeated ids are kept side by side. Other columns are not read.
     """
-    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()),
+    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("n_null", pa.int32()),
                         *((c, pa.binary()) for c in ("doc_ids", "doc_sizes", "table", "control", "data"))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = cached_bpe(tokenizer_path)
         part, number, held, doc_ids, sizes, n = TaskContext.get().partitionId(), 0, [], [], [], 0
         for cut in sliced(batches):
-            if cut.column(0).null_count:
-                raise ValueError("a document without an id can't be put in order")
             ids, size = bpe.encode(cut.column(1).to_pylist())
             held.append(ids.astype(np.uint32))
             doc_ids += cut.column(0).to_pylist()
@@ -117,10 +115,11 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).parquet(path)
 
 
-def _decoded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _decoded(row: dict) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     table = np.frombuffer(row["table"], "<u4")
     ids = table[decode_ranks(row["control"], row["data"], row["n_ids"])]
-    return ids, np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_sizes"], "<u8").astype(np.int64)
+    doc_ids = np.frombuffer(row["doc_ids"], "<i8")
+    return ids, pa.array(doc_ids, mask=np.arange(len(doc_ids)) < row["n_null"]), np.frombuffer(row["doc_sizes"], "<u8").astype(np.int64)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -132,7 +131,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
                 ids, doc_ids, sizes = _decoded(row)
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids, lists], ["doc_id", "ids"])
 
     return segments(spark, path).mapInArrow(decode, "doc_id long, ids array<long>")
 
@@ -154,7 +153,7 @@ def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 n = len(doc_ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids), pa.array([row["part"]] * n, pa.int32()),
+                    [doc_ids, pa.array([row["part"]] * n, pa.int32()),
                      pa.array([row["segment"]] * n, pa.int32()), pa.array(at[:-1]), pa.array(sizes), pa.array(crc, pa.int64())],
                     ["doc_id", "part", "segment", "local_start", "n_tokens", "ids_crc32"],
                 )

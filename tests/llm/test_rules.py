@@ -68,6 +68,7 @@ def test_documents_that_lose_too_much_go(spark, odd_docs, prose):
     assert [r["doc_id"] for r in kept] == [2] and kept[0]["n_chars"] == len(kept[0]["text"])
     odd = line_rules.cleaned_documents(odd_docs)
     assert odd.columns == odd_docs.columns and {r["doc_id"] for r in odd.collect()} == {4, 5, None, 9}
+    assert {r["kept"] for r in odd.collect()} == {"x"}
     assert line_rules.clean_lines(odd_docs.limit(0)).count() == 0
 
 
@@ -140,10 +141,10 @@ def test_message_passing_is_exact_on_a_tree():
 
 
 def test_odd_documents_have_their_data_found(odd_docs):
-    out = skip_chain_pii.redacted_documents(odd_docs.drop("pii"))
+    out = skip_chain_pii.redacted_documents(odd_docs)
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[11]["text"] == "mail <EMAIL>" and rows[1]["text"] is None and rows[1]["n_chars"] == 0
-    assert out.count() == odd_docs.count()
+    assert out.count() == odd_docs.count() and out.columns == odd_docs.columns and rows[11]["pii"] == [1]
     assert skip_chain_pii.find_pii(odd_docs.limit(0)).count() == 0
 
 
