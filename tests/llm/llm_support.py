@@ -1,3 +1,5 @@
+"""Tables and fixtures of these tests; test modules import the fixtures they use."""
+
 from __future__ import annotations
 
 import random
@@ -7,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from starloom.llm.queries import with_library
 
-SF_SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
+SF, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from llm_support import library, odd_docs, prose  # noqa: F401
 from starloom.llm import batches, dart_minhash, decontaminate
 from starloom.llm.components import components
 

@@ -7,7 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from conftest import SF
+from llm_support import SF, library  # noqa: F401
 from test_duplicates import bag, classes
 
 import corpus_pipeline

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from llm_support import library, odd_docs, prose  # noqa: F401
 from starloom.llm import line_rules, skip_chain_pii, token_rollup
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from llm_support import library, odd_docs, prose  # noqa: F401
 from starloom.llm import packing, token_file
 from starloom.llm.bpe import CachedBpe
 

@@ -10,13 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
-from conftest import SF
 
+from llm_support import LARGE, library, odd_docs, prose  # noqa: F401
 from starloom.llm import compression_quality, ppm_language, toxicity_neighbours
 from starloom.llm.batches import utf8
 from starloom.llm.queries import QUERIES
 
-LARGE = SF.replace("sf0.001", "sf0.1")
 needs_tables = pytest.mark.skipif(not os.path.isdir(LARGE), reason="test tables are not there")
 
 
