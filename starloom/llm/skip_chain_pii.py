@@ -8,13 +8,17 @@ base matches are observed. Loopy belief propagation gives the marginals of the o
 likelier inside an entity than outside become spans. Base spans always stay.
 
 Weights are trained here, piece by piece (each factor by maximum likelihood on its own counts), on the base
-matches in a bounded sample of documents. Messages of all documents of a batch are passed at once; skip
-edges join consecutive occurrences only, so their number is linear in the tokens.
+matches in a bounded sample of documents. Skip edges join consecutive occurrences, so their number is linear
+in the tokens; an occurrence without a base match also has an edge to the nearest one with a base match, as
+evidence fades from repeat to repeat. Edges are dealt out to families of disjoint paths. A sweep passes
+messages along whole paths, forward and back, for all documents of a batch at once, and sweeps go on until
+the messages of a document stand still.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +41,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 
 TRAINING_DOCS = 20_000
-ROUNDS = 8
+#: A document is done when no message (a logarithm) changes by more in a sweep.
+TOLERANCE = 1e-4
+#: Sweeps without damping, and when messages that go round in circles are given up.
+UNDAMPED, ROUNDS = 20, 1_000
 #: Strength of the prior (the overall share of the labels) against counts of a factor.
 PRIOR = 2.0
 #: A token is in an entity if its marginal says so with this probability.
@@ -120,12 +127,14 @@ class Graph:
         self.base: dict[int, list] = {}
         self.spans: list[tuple[int, int]] = []
         self.node_row, self.shapes, self.label = row, [], []
-        chain, skip = [], []
+        chain, skip, anchor = [], [], []
         first = np.searchsorted(row, self.rows).tolist() + [len(row)]
         for r, low, high in zip(self.rows, first, first[1:], strict=False):
             text = column[r].as_py()
             found = self.base[r] = base_spans(text)
             seen: dict[str, int] = {}
+            marked: dict[str, list[int]] = {}
+            others: list[tuple[str, int]] = []
             p = 0
             for i in range(low, high):
                 a, b = begin[i], end[i]
@@ -146,8 +155,20 @@ class Graph:
                     if key in seen:
                         skip.append((seen[key], i))
                     seen[key] = i
+                    if hit:
+                        marked.setdefault(key, []).append(i)
+                    else:
+                        others.append((key, i))
+            for key, i in others:
+                if key in marked:
+                    place = bisect(marked[key], i)
+                    anchor.append((min(marked[key][max(0, place - 1) : place + 1], key=lambda j: abs(i - j)), i))
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.unique(np.array(skip, np.int64).reshape(-1, 2), axis=0)
+        # (base match, occurrence) where no skip edge joins them yet; they do not count in the training
+        anchor = np.unique(np.array(anchor, np.int64).reshape(-1, 2), axis=0)
+        pair = lambda e: e.min(1) * len(row) + e.max(1)
+        self.anchor = anchor[~np.isin(pair(anchor), pair(self.skip))] if len(anchor) else anchor
         self.label = np.array(self.label, np.int64)
 
 
@@ -206,27 +227,70 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def marginals(unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product over pairs (edges, potential); every round sends both messages of all edges, damped."""
-    source = np.concatenate([e[:, [0, 1]].ravel("F") for e, _ in edges])
-    target = np.concatenate([e[:, [1, 0]].ravel("F") for e, _ in edges])
-    if not len(source):
-        belief = unary
-    else:
-        kind = np.repeat(np.arange(len(edges)), [2 * len(e) for e, _ in edges])
-        potential = np.stack([p for _, p in edges])  # symmetric
-        back = np.concatenate([o + np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
-                               for o, (e, _) in zip(np.cumsum([0] + [2 * len(e) for e, _ in edges]), edges, strict=False)])
-        message = np.zeros((len(source), unary.shape[1]))
-        for _ in range(rounds):
-            belief = unary.copy()
-            np.add.at(belief, target, message)
-            out = belief[source] - message[back]
-            new = _log_sum(out[:, :, None] + potential[kind], 1)
-            new -= _log_sum(new, 1)[:, None]
-            message = 0.5 * message + 0.5 * new
-        belief = unary.copy()
-        np.add.at(belief, target, message)
+def _families(edges: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Edges dealt out so that each family is a set of disjoint paths: lower node, upper node, place on the path."""
+
+    def rank(x: np.ndarray) -> np.ndarray:
+        order = np.argsort(x, kind="stable")
+        out = np.empty(len(x), np.int64)
+        out[order] = np.arange(len(x)) - np.searchsorted(x[order], x[order])
+        return out
+
+    low, high = edges.min(1), edges.max(1)
+    family = rank(low) * (len(edges) + 1) + rank(high)
+    for f in np.unique(family):
+        a, b = low[family == f], high[family == f]
+        up, place = np.arange(n), np.zeros(n, np.int64)
+        up[b], place[b] = a, 1
+        while (up[up] != up).any():
+            place += place[up]
+            up = up[up]
+        order = np.argsort(place[b], kind="stable")
+        yield a[order], b[order], place[b][order]
+
+
+def _along(field: np.ndarray, a: np.ndarray, b: np.ndarray, place: np.ndarray, potential: np.ndarray) -> np.ndarray:
+    """Sum of the messages to each node along the paths from both ends, exact for these paths."""
+
+    def send(x: np.ndarray) -> np.ndarray:
+        y = np.log(np.exp(x - x.max(1, keepdims=True)) @ potential)
+        return y - y.max(1, keepdims=True)
+
+    onward, back = np.zeros_like(field), np.zeros_like(field)
+    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(a)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        onward[b[i:j]] = send(field[a[i:j]] + onward[a[i:j]])
+    for i, j in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+        back[a[i:j]] = send(field[b[i:j]] + back[b[i:j]])
+    return onward + back
+
+
+def marginals(
+    unary: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS, group: np.ndarray | None = None
+) -> np.ndarray:
+    """Loopy sum-product over pairs (edges, symmetric potential), in sweeps over families of paths until messages
+    stand still; nodes of a ``group`` (no edge leaves one) that is done are left out of further sweeps."""
+    group = np.zeros(len(unary), np.int64) if group is None else group
+    families = [(*f, np.exp(p)) for e, p in edges for f in _families(e, len(unary))]
+    held = [np.zeros_like(unary) for _ in families]
+    belief = unary.copy()
+    for sweep in range(rounds):
+        change = np.zeros(len(unary))
+        for f, (a, b, place, potential) in enumerate(families):
+            if not len(a):
+                continue
+            nodes = np.union1d(a, b)
+            local = np.zeros(len(unary), np.int64)
+            local[nodes] = np.arange(len(nodes))
+            new = _along(belief[nodes] - held[f][nodes], local[a], local[b], place, potential)
+            step = (new - held[f][nodes]) * (1.0 if sweep < UNDAMPED else 0.5)
+            held[f][nodes] += step
+            belief[nodes] += step
+            change[nodes] = np.maximum(change[nodes], np.abs(step).max(1))
+        moving = np.unique(group[change > TOLERANCE])
+        if not len(moving):
+            break
+        families = [(a[k], b[k], place[k], p) for a, b, place, p in families for k in [np.isin(group[a], moving)]]
     return np.exp(belief - _log_sum(belief, 1)[:, None])
 
 
@@ -239,7 +303,9 @@ def _spans(column: pa.Array, weights: dict) -> dict[int, list[tuple[int, int, in
     seen = g.label > 0
     unary[seen] = -40.0
     unary[seen, g.label[seen]] = 0.0
-    p = marginals(unary, [(g.chain, weights["chain"]), (g.skip, weights["skip"])])
+    base, other = g.anchor.T
+    np.add.at(unary, other, weights["skip"][g.label[base]])  # the message of an observed node is fixed
+    p = marginals(unary, [(g.chain, weights["chain"]), (g.skip, weights["skip"])], group=g.node_row)
     best = p.argmax(1)
     added = np.flatnonzero(~seen & (best > 0) & (p.max(1) > MIN_PROBABILITY))
     out = {r: [(a, k, b, True) for a, k, b in found] for r, found in g.base.items() if found}

@@ -124,6 +124,28 @@ def test_repeats_of_found_data_become_spans(spark, prose):
     assert "555-6503" not in text and text.count("<PHONE>") == 2
 
 
+@pytest.mark.parametrize("repeats", [20, 300])
+def test_all_repeats_in_a_long_document_become_spans(spark, prose, repeats):
+    words = prose[0].replace("\n", " ")
+    text = "Call +1 (499) 555-6503 for help.\n" + f"{words} 555-6503 {words}\n" * repeats
+    docs = spark.createDataFrame([(1, text), (2, prose[1])], "doc_id long, text string")
+    out = skip_chain_pii.find_pii(docs, redact=True).where("doc_id = 1").first()["text"]
+    assert "555-6503" not in out and out.count("<PHONE>") == repeats + 1
+
+
+def test_messages_reach_the_end_of_a_chain():
+    import numpy as np
+
+    n, share, agreement = 40, np.array([0.95, 0.05]), 0.99
+    step = agreement * np.eye(2) + (1 - agreement) * share  # stationary at the share
+    unary = np.tile(np.log(share), (n, 1))
+    unary[0] = [-40.0, 0.0]
+    edges = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+    got = skip_chain_pii.marginals(unary, [(edges, np.log(step / share))])[:, 1]
+    want = [np.linalg.matrix_power(step, i)[1, 1] for i in range(n)]
+    assert np.abs(got - want).max() < 1e-6
+
+
 def test_message_passing_is_exact_on_a_tree():
     import numpy as np
 
