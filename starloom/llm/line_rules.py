@@ -19,6 +19,9 @@ from starloom.llm.batches import as_before, beside_text, mix, shingles, sliced,
 
 #: Limits of the base rules and their character class (fixed by the contract of the query).
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, b"#*$%&|<>"
+#: The distinct share of clean text falls with its length, so lines are cut into windows of so many words or up to
+#: twice as many, all of the same length but for one word.
+WINDOW = 50
 #: Phrases of site furniture; a short line that holds one is boilerplate.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
@@ -34,7 +37,7 @@ class LineLimits:
     odd_marks: float = 0.4  # symbols and exclamation or question marks, beyond one
     separators: float = 0.15  # words that begin with a menu separator, two at least
     capitals: float = 0.6  # with ten letters at least
-    distinct: float = 0.3  # fewer distinct words than this, with ten words at least
+    distinct: float = 0.3  # fewer distinct words than this in most windows, with ten words at least
     fragment: int = 4  # so few words without closing punctuation
     boilerplate: int = 25  # so many words at most in a line with a boilerplate phrase
     lost: float = 0.5  # a document that loses a larger share of its words is rejected
@@ -67,6 +70,32 @@ def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, rows
 
 
+def _distinct(hashes: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Number of distinct hashes in each group."""
+    first = np.unique(mix(hashes ^ mix(group.astype(np.uint64))), return_index=True)[1]
+    return np.bincount(group[first], minlength=groups)
+
+
+def degenerate(hashes: np.ndarray, line: np.ndarray, count: np.ndarray, share: float) -> np.ndarray:
+    """Lines that repeat few words in most of their windows, or long passages over and over.
+
+    ``hashes`` are those of the words, in the order of their ``line``; ``count`` has the words of each line.
+    """
+    windows = np.maximum(1, count // WINDOW)
+    first = np.concatenate([[0], np.cumsum(windows)])
+    place = np.arange(len(line)) - (np.cumsum(count) - count)[line]
+    window = first[line] + place * windows[line] // np.maximum(count, 1)[line]
+    size = np.bincount(window, minlength=first[-1])
+    few = _distinct(hashes, window, first[-1]) < share * size
+    found = 2 * np.bincount(np.repeat(np.arange(len(count)), windows), weights=few, minlength=len(count)) > windows
+    # a passage longer than a window: few distinct words in the line, and few distinct runs of five words
+    known = _distinct(hashes, line, len(count)) < share * count
+    chosen = known[line]
+    run, run_line = shingles(hashes[chosen], line[chosen])
+    runs = np.bincount(run_line, minlength=len(count))
+    return (count >= 10) & (found | (known & (_distinct(run, run_line, len(count)) < share * runs)))
+
+
 def judge(column: pa.Array, limits: LineLimits) -> dict[str, np.ndarray]:
     """Base counts and verdicts of each text, and which lines of which text go."""
     data, at = utf8(column)
@@ -122,9 +151,6 @@ def judge(column: pa.Array, limits: LineLimits) -> dict[str, np.ndarray]:
         opens |= same
     marks[words[opens]] = True
     separators = per(marks, starts, ends)
-    distinct = np.bincount(
-        line[np.unique(mix(hashes ^ mix(line.astype(np.uint64))), return_index=True)[1]], minlength=len(starts)
-    )
     last_word = np.zeros(len(starts), np.int64)
     np.maximum.at(last_word, line, word_ends)
     closed = _CLOSING[data[np.maximum(last_word - 1, 0)]] if len(data) else np.zeros(len(starts), bool)
@@ -140,7 +166,7 @@ def judge(column: pa.Array, limits: LineLimits) -> dict[str, np.ndarray]:
         (odd > np.maximum(1, limits.odd_marks * count))
         | ((separators >= 2) & (separators > limits.separators * count))
         | ((upper + lower >= 10) & (upper > limits.capitals * (upper + lower)))
-        | ((count >= 10) & (distinct < limits.distinct * count))
+        | degenerate(hashes, line, count, limits.distinct)
         | ((count < limits.fragment) & ~closed)
         | (phrase & (count <= limits.boilerplate))
         | duplicate

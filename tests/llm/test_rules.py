@@ -62,6 +62,31 @@ def test_line_rules(spark, prose, line):
     assert row["kept"]
 
 
+def long_prose(n: int) -> str:
+    """One clean line of n words whose distinct share falls with its length, as that of natural text does."""
+    import random
+
+    draw = random.Random(11)
+    names = [f"w{i:x}" for i in range(12_000)]
+    return " ".join(draw.choices(names, [1 / (i + 3) for i in range(len(names))], k=n)) + "."
+
+
+def test_clean_text_without_line_breaks_stays(spark):
+    text = long_prose(20_000)
+    assert len(set(text.split())) < 0.3 * 20_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = line_rules.clean_lines(docs).first()
+    assert row["kept"] and row["lost_words"] == 0 and row["clean_text"] == text
+
+
+def test_degenerate_lines_of_any_length_fail(spark, prose):
+    passage = " ".join(f"p{i}" for i in range(60))
+    bad = ["buy cheap now " * 4, "buy cheap now " * 2_000, f"{passage} " * 5, f"{passage} " * 60]
+    rows = [(i, long_prose(20_000) + "\n" + b) for i, b in enumerate(bad)]
+    for r in line_rules.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["kept"] and r["clean_text"] == long_prose(20_000), r["doc_id"]
+
+
 def test_documents_that_lose_too_much_go(spark, odd_docs, prose):
     menu = "\n".join(f"a{i} | b{i} | c{i} | d{i}" for i in range(60))
     docs = spark.createDataFrame([(1, prose[0] + "\n" + menu, "en", "s", 1), (2, prose[0] + "\n" + menu[:60], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
