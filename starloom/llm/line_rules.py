@@ -159,8 +159,10 @@ def judge(column: pa.Array, limits: LineLimits) -> dict[str, np.ndarray]:
     for text in BOILERPLATE:
         raw, found = text.encode(), lowered.find(text.encode())
         while found >= 0:
-            phrase[np.searchsorted(starts, found, "right") - 1] = True
-            found = lowered.find(raw, found + len(raw))
+            at_line = np.searchsorted(starts, found, "right") - 1
+            whole = found + len(raw) <= ends[at_line]  # texts of a batch follow one another without a mark
+            phrase[at_line] |= whole
+            found = lowered.find(raw, found + (len(raw) if whole else 1))
 
     failed = (count > 0) & (
         (odd > np.maximum(1, limits.odd_marks * count))

@@ -87,6 +87,15 @@ def test_degenerate_lines_of_any_length_fail(spark, prose):
         assert r["kept"] and r["clean_text"] == long_prose(20_000), r["doc_id"]
 
 
+def test_phrases_do_not_run_over_the_border_of_documents(prose):
+    import pyarrow as pa
+
+    texts = [prose[0] + "\nThen she heard the door click ", "here " + prose[1], prose[2] + "\nPlease click here now."]
+    together = line_rules.judge(pa.array(texts), line_rules.LineLimits())
+    assert together["lost_words"].tolist() == [0, 0, 4]
+    assert [int(line_rules.judge(pa.array([t]), line_rules.LineLimits())["lost_words"][0]) for t in texts] == [0, 0, 4]
+
+
 def test_documents_that_lose_too_much_go(spark, odd_docs, prose):
     menu = "\n".join(f"a{i} | b{i} | c{i} | d{i}" for i in range(60))
     docs = spark.createDataFrame([(1, prose[0] + "\n" + menu, "en", "s", 1), (2, prose[0] + "\n" + menu[:60], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
