@@ -23,8 +23,8 @@ from starloom.llm.compression_quality import fit_logistic, sample_labelled
 
 SAMPLE = 3_000  # labelled texts of each label, about
 TERMS, MIN_ASSOCIATION = 1_024, 20.0  # most terms, least G statistic
-#: A term needs so many examples, and such a share of the smaller label: fewer tell groups of copies, not labels.
-MIN_DOCS, MIN_SHARE = 8, 0.01
+#: A term needs so many examples, at any size of the sample.
+MIN_DOCS = 8
 BEGINNINGS = (4, 5, 6)  # bytes
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 16, 64, 3
 CACHED = 20_000
@@ -49,7 +49,7 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[tuple[str, int, float]]:
-    """(term, hash, idf) of the terms that go most with label 1, by the G statistic of their presence."""
+    """(term, hash, idf) of the terms that go most with either label, by the G statistic of their presence."""
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 0):
@@ -77,8 +77,7 @@ def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[tuple[str, int, flo
     g = " + ".join(
         f"if(({x}) > 0, ({x}) * ln(({x}) * {n0 + n1}D / (greatest({r}, 1) * {c}D)), 0D)" for (x, c), r in zip(cells, rows, strict=True)
     )
-    best = counted.where(F.col("n") >= max(MIN_DOCS, MIN_SHARE * min(n0, n1))).withColumn("g", F.expr(f"2 * ({g})")).where(F.col("g") >= MIN_ASSOCIATION)
-    best = best.where(F.col("a") * n0 > (F.col("n") - F.col("a")) * n1)  # those that speak for the label
+    best = counted.where(F.col("n") >= MIN_DOCS).withColumn("g", F.expr(f"2 * ({g})")).where(F.col("g") >= MIN_ASSOCIATION)
     top = best.orderBy(F.desc("g"), "term").limit(most).collect()
     return [(r["term"], r["h"], float(np.log((n0 + n1) / r["n"]) + 0.1)) for r in top]
 

@@ -179,3 +179,9 @@ def test_toxic_words_are_learned(spark, prose):
     assert [rows[i]["predicted"] for i in (1, 2, 3, 4)] == [1, 0, 0, 0]
     toxic_ids = {r["doc_id"] for r in labels.where("toxic = 1").collect()}
     assert set(rows[1]["neighbours"]) <= toxic_ids and len(rows[1]["neighbours"]) == 16 and not rows[3]["neighbours"]
+
+
+def test_rare_terms_and_terms_of_either_label_are_kept(spark):
+    rows = [(f"common{i % 7} " + ("vilword" if 0 < i <= 18 else "") + ("kindword" if i > 3_900 else ""), int(i < 2_000)) for i in range(4_000)]
+    words = toxicity_neighbours.vocabulary(spark.createDataFrame(rows, "text string, y int"))
+    assert {"vilword", "kindword"} <= {w for w, _, _ in words}
