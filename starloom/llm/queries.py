@@ -11,7 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import compression_quality, dart_minhash, decontaminate, line_rules, packing, ppm_language, skip_chain_pii, token_file, token_rollup, toxicity_neighbours
+from starloom.llm import (
+    collocations, compression_quality, dart_minhash, decontaminate, importance_resampling, line_rules, packing, ppm_language,
+    skip_chain_pii, threshold_search, token_file, token_rollup, toxicity_neighbours,
+)
 from starloom.llm.batches import held_out, store
 from starloom.session import ensure_checkpoint_dir
 
@@ -147,6 +150,23 @@ def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return threshold_search.top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op10_decontamination"] = f"""
@@ -172,3 +192,64 @@ SELECT source, lang, tokenizer, count(*) AS n_docs,
                 ELSE len(regexp_extract_all(t, '{token_rollup.PATTERNS[token_rollup.WORDS]}')) END)::BIGINT AS n_tokens
 FROM d GROUP BY source, lang, tokenizer
 """
+
+ORACLES["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w[i:i + m - 1] AS g, count(*) AS f
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m)) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM g WHERE len(g) > 1 AND f >= 100),
+cut AS (SELECT c.lang, c.g, c.a, n.n, k, x.f AS l, y.f AS r,
+               ((1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+        FROM (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c) c JOIN n USING (lang)
+        JOIN g x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN g y ON y.lang = c.lang AND y.g = c.g[k + 1:len(c.g)]),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+held AS (SELECT DISTINCT lang, g[i:i + m - 1] AS g, max(a) AS longest
+         FROM (SELECT lang, g, a, m, unnest(range(1, len(g) - m + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS m) WHERE m < len(g))
+         GROUP BY ALL)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, encode(array_to_string(low.g, ' '))) AS rank,
+       array_to_string(low.g, ' ') AS phrase, a, l, r, n, score
+FROM low LEFT JOIN held ON held.lang = low.lang AND held.g = low.g
+WHERE longest IS NULL OR 100 * longest < 100 * a
+QUALIFY row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, encode(array_to_string(low.g, ' '))) <= 2000
+"""
+
+ORACLES["op12_threshold_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id != c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER w::INTEGER AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+#: crc32 by the table of its byte steps; every distinct feature is hashed once.
+ORACLES["op13_importance_resampling"] = r"""
+WITH bytes AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, j:
+                 CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i))),
+texts AS (SELECT 'd' AS side, doc_id, sha256('7:' || doc_id) AS h, coalesce(text, '') AS text FROM documents
+          UNION ALL SELECT 't', NULL, NULL, coalesce(text, '') FROM benchmark),
+words AS (SELECT row_number() OVER () AS id, side, doc_id, h, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feature AS (SELECT id, side, f, count(*) AS c FROM (SELECT id, side, array_to_string(w[i:i + m - 1], ' ') AS f
+              FROM (SELECT id, side, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest([1, 2]) AS m))) GROUP BY ALL),
+coded AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM feature)),
+hashed AS (SELECT f, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT),
+                       lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM coded, bytes),
+counted AS (SELECT bucket, coalesce(sum(c) FILTER (side = 'd'), 0) AS s, coalesce(sum(c) FILTER (side = 't'), 0) AS t
+            FROM feature JOIN hashed USING (f) GROUP BY bucket),
+total AS (SELECT sum(s) AS s, sum(t) AS t FROM counted),
+gain AS (SELECT bucket, floor(1000 * ln(((counted.t + 1) * (total.s + 10000))::DOUBLE / ((counted.s + 1) * (total.t + 10000))::DOUBLE))::BIGINT AS g
+         FROM counted, total),
+weighed AS (SELECT id, sum(c)::BIGINT AS n_features, floor(sum(c * g)::DOUBLE / sum(c)::DOUBLE)::BIGINT AS weight
+            FROM feature JOIN hashed USING (f) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS may,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || h[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+           FROM words LEFT JOIN weighed USING (id) WHERE side = 'd'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id) AS pos, sum(may::INT) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND pos <= 25 * n // 100 THEN pos END AS rank FROM ranked
+"""
