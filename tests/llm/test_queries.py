@@ -25,7 +25,7 @@ def documents() -> list[tuple]:
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, SF)
@@ -37,9 +37,9 @@ def test_query_agrees_with_sql(spark, name):
 def test_every_query_covers_all_documents(spark):
     ids = sorted(d for d, _ in documents())
     for name in ("op2_compression_quality", "op3_token_file", "op4_line_rules", "op6_ppm_language", "op7_skip_chain_pii",
-                 "op9_toxicity_neighbours"):
+                 "op9_toxicity_neighbours", "op13_importance_resampling"):
         assert sorted(r["doc_id"] for r in QUERIES[name](spark, SF).select("doc_id").collect()) == ids, name
-    assert len(QUERIES) == 10 and len({n.split("_")[0] for n in QUERIES}) == 10
+    assert len(QUERIES) == 13 and len({n.split("_")[0] for n in QUERIES}) == 13
 
 
 @needs_tables
