@@ -1,4 +1,4 @@
 """Imports every check module so that its queries are registered."""
 
-from checks import distributions, files, labelling, modelling, relational, scoring  # noqa: F401
+from checks import distributions, files, labelling, modelling, relational, scoring, trees  # noqa: F401
 from checks.base import ORACLES, QUERIES  # noqa: F401

@@ -117,14 +117,14 @@ def oversampled_rows(spark, sf):
 
 # ---- classifiers (rows only: iterative fits have no SQL form) --------------------------------
 
-# Reduced grids so that a check stays short; the full grids are the library default.
+# Smaller grids than the library's, so that a check stays short.
 SHORT_GRIDS = {
     "lr": {"C": [0.1, 1.0], "l1_ratio": [0.0, 0.5], "class_weight": [None, "balanced"]},
     "rf": {"n_estimators": [20], "max_depth": [5, 8], "min_samples_leaf": [5], "max_features": ["sqrt"],
            "class_weight": [None], "ccp_alpha": [0.0]},
     "gbm": {"max_iter": [10], "max_depth": [3, 5], "learning_rate": [0.1], "min_samples_leaf": [20], "class_weight": [None]},
 }
-SHORT_STEPS = [20, 40]
+SHORT_ITERATIONS = {"max_iterations": 60, "every": 10, "patience": 2}
 
 
 def _results(spark, split, results) -> DataFrame:
@@ -135,7 +135,7 @@ def _results(spark, split, results) -> DataFrame:
 def _sweep(spark, sf, models, networks) -> DataFrame:
     results = train_split(
         split_rows(spark, sf), "within", models, networks, columns=FEATURES, nullable=NULLABLE, key=KEY,
-        grids=SHORT_GRIDS, steps=SHORT_STEPS, parallelism=4,
+        grids=SHORT_GRIDS, iterations=SHORT_ITERATIONS, parallelism=4,
     )
     log = _results(spark, "within", results)
     return log.select("model", "split_name", *[F.col("metrics")[m].alias(m) for m in METRIC_NAMES])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -10,18 +11,20 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import DenseVector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions import missing_flag, stable_hash
+from starloom.operators.boosting import HistogramBoosting
 from starloom.operators.metrics import METRIC_NAMES, compute_metrics, ranking_metrics
+from starloom.operators.trees import Tree, TreeModel, forest_model, forest_trees, pruned
 
 # Model seed, grids and network layout.
 MODEL_SEED = 55667788
@@ -49,11 +52,12 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 HIDDEN_LAYERS = [64, 32, 16]
 NETWORKS = {"mlp_impute": False, "mlp_mask": True}
-EPOCH_STEPS = [25, 50, 100, 200]
-# Spark trees stop at depth 30, so an unlimited depth becomes 30; boosting with unlimited depth is
-# limited by leaf size in practice and takes a depth that a boosted tree of 31 leaves reaches.
+# Iterations of the network: at most, between two looks at the validation loss, and looks without a better one.
+MAX_ITERATIONS = 400
+CHECK_EVERY = 10
+PATIENCE = 5
+# Spark trees stop at depth 30, so an unlimited depth becomes 30.
 UNLIMITED_FOREST_DEPTH = 30
-UNLIMITED_BOOST_DEPTH = 8
 
 LABEL, WEIGHT, VECTOR = "label", "weight", "features"
 
@@ -120,17 +124,49 @@ def random_forest(params: dict, n_rows: int) -> RandomForestClassifier:
         maxDepth=params["max_depth"] or UNLIMITED_FOREST_DEPTH,
         minInstancesPerNode=params["min_samples_leaf"],
         featureSubsetStrategy=share if isinstance(share, str) else str(float(share)),
-        minInfoGain=params["ccp_alpha"],
     )
 
 
-def boosted_trees(params: dict, n_rows: int) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, seed=MODEL_SEED,
-        maxIter=params["max_iter"],
-        maxDepth=params["max_depth"] or UNLIMITED_BOOST_DEPTH,
-        stepSize=params["learning_rate"],
-        minInstancesPerNode=params["min_samples_leaf"],
+def bootstrap_draws(tree: int, seed: int = MODEL_SEED) -> Column:
+    """How often a row is drawn for a tree: Poisson with mean 1, from a hash of the row and the tree."""
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(tree), vector_to_array(VECTOR), F.col(LABEL)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    below, draws = 0.0, F.lit(0)
+    for n in range(16):
+        below += math.exp(-1) / math.factorial(n)
+        draws = draws + (u >= F.lit(below)).cast("int")
+    return draws
+
+
+def subsample_forest(vectors: DataFrame, params: dict, parallelism: int = 8) -> list[Tree]:
+    """Trees on bootstrap samples of their own, each balanced by the class sizes of its sample.
+
+    Rows with the same features and label are drawn together.
+    """
+    numbers = list(range(params["n_estimators"]))
+    sizes: dict[float, list[int]] = {}
+    for start in range(0, len(numbers), 100):  # a hundred sums a job
+        part = numbers[start : start + 100]
+        for r in vectors.groupBy(LABEL).agg(*[F.sum(bootstrap_draws(t)).alias(f"n{t}") for t in part]).collect():
+            sizes.setdefault(r[LABEL], []).extend(r[f"n{t}"] for t in part)
+
+    def fit(tree: int) -> Tree:
+        total = sum(n[tree] for n in sizes.values())
+        weight = F.lit(0.0)
+        for value, n in sizes.items():
+            weight = F.when(F.col(LABEL) == value, F.lit(total / (2.0 * max(n[tree], 1)))).otherwise(weight)
+        sample = vectors.withColumn("__n", bootstrap_draws(tree)).where("__n > 0").withColumn(WEIGHT, F.col("__n") * weight)
+        one = random_forest({**params, "n_estimators": 1}, total).setBootstrap(False).setSeed(MODEL_SEED + tree)
+        return forest_trees(one.fit(sample))[0]
+
+    with ThreadPool(parallelism) as pool:
+        return pool.map(fit, numbers)
+
+
+def boosted_trees(params: dict, n_rows: int) -> HistogramBoosting:
+    """Missing values go to the side of each split that suits them; no depth means no limit but that of the leaves."""
+    return HistogramBoosting(
+        params["max_iter"], params["max_depth"], params["learning_rate"], params["min_samples_leaf"],
+        label=LABEL, weight=WEIGHT, vector=VECTOR,
     )
 
 
@@ -140,6 +176,8 @@ BUILDERS: dict[str, Callable[[dict, int], Estimator]] = {
     "gbm": boosted_trees,
 }
 SCALED_MODELS = {"lr"}
+#: Models that see missing values as they are.
+UNFILLED_MODELS = {"gbm"}
 
 
 def select_names(wanted: str | Sequence[str], known: Sequence[str]) -> list[str]:
@@ -187,24 +225,34 @@ class Fitted:
 
 
 def fit_prepared(name: str, vectors: DataFrame, params: dict) -> Model:
-    """Fit one classifier on assembled vectors."""
+    """Fit one classifier on assembled vectors; the trees of a forest are pruned where ``ccp_alpha`` asks for it."""
+    mode, alpha = params.get("class_weight"), params.get("ccp_alpha")
+    if mode == "balanced_subsample":
+        trees = subsample_forest(vectors, params)
+        return forest_model([pruned(t, alpha) if alpha else t for t in trees])
     sizes = class_sizes(vectors)
-    weighted = _weighted(vectors, params.get("class_weight"), sizes)
-    return BUILDERS[name](params, sum(sizes.values())).fit(weighted)
+    model = BUILDERS[name](params, sum(sizes.values())).fit(_weighted(vectors, mode, sizes))
+    return forest_model([pruned(t, alpha) for t in forest_trees(model)]) if alpha else model
+
+
+def as_trees(model: Model) -> TreeModel:
+    """A fitted forest or boosted model by its node tables."""
+    return model if isinstance(model, TreeModel) else forest_model(forest_trees(model))
 
 
 def fit_one(name: str, train: DataFrame, features: Sequence[str], params: dict) -> PipelineModel:
     """Preparation and classifier fitted on the same rows."""
-    with prepared_vectors(train, features, name in SCALED_MODELS) as (prep, vectors):
+    with prepared_vectors(train, features, name in SCALED_MODELS, name not in UNFILLED_MODELS) as (prep, vectors):
         return PipelineModel([*prep.stages, fit_prepared(name, vectors, params)])
 
 
 @contextmanager
 def prepared_vectors(
-    train: DataFrame, features: Sequence[str], scale: bool
+    train: DataFrame, features: Sequence[str], scale: bool, fill: bool = True
 ) -> Iterator[tuple[PipelineModel, DataFrame]]:
-    """The fitted preparation and the cached label and vector columns of its rows."""
-    prep = Pipeline(stages=imputing_stages(features, scale)).fit(train)
+    """The fitted preparation and the cached label and vector columns of its rows; not filled, NULL becomes NaN."""
+    unfilled = [VectorAssembler(inputCols=list(features), outputCol=VECTOR, handleInvalid="keep")]
+    prep = Pipeline(stages=imputing_stages(features, scale) if fill else unfilled).fit(train)
     vectors = prep.transform(train).select(LABEL, VECTOR).persist()
     try:
         yield prep, vectors
@@ -229,7 +277,7 @@ def tune(
     the whole grid. Ties keep the first grid point. ``parallelism`` fits several points at once.
     """
     points = grid_points(grid or GRIDS[name])
-    with prepared_vectors(roles.train, features, name in SCALED_MODELS) as (prep, vectors):
+    with prepared_vectors(roles.train, features, name in SCALED_MODELS, name not in UNFILLED_MODELS) as (prep, vectors):
         val = prep.transform(roles.val).select(LABEL, VECTOR).persist()
 
         def trial(params: dict) -> float:
@@ -304,17 +352,34 @@ def log_loss(model: Model, df: DataFrame) -> float:
     return ((row["pos"] or 0.0) * weight + (row["neg"] or 0.0)) / total if total else float("inf")
 
 
+def resumed(vectors: DataFrame, width: int, iterations: int, weights: DenseVector | None) -> Model:
+    """The network after further iterations from these weights, or from its seeded ones."""
+    step = network(width, iterations)
+    return (step.setInitialWeights(weights) if weights is not None else step).fit(vectors)
+
+
+def fit_network(vectors: DataFrame, width: int, iterations: int, every: int) -> Model:
+    """A network of this many iterations, resumed as often as in the search for their number."""
+    model = None
+    for done in range(0, iterations, every):
+        model = resumed(vectors, width, min(every, iterations - done), model.weights if model else None)
+    return model
+
+
 def train_network(
     name: str,
     roles: Roles,
     features: Sequence[str],
     nullable: Sequence[str],
     key: Sequence[str],
-    steps: Sequence[int] = EPOCH_STEPS,
+    max_iterations: int = MAX_ITERATIONS,
+    every: int = CHECK_EVERY,
+    patience: int = PATIENCE,
 ) -> Fitted:
-    """Pick the iteration count with the lowest validation loss, then refit on train and val.
+    """Pick the iteration count with the lowest validation loss, then refit on train and val for as many.
 
-    Steps are tried in order and the search stops at the first one that does not improve.
+    One fit goes on from look to look, ``every`` iterations apart, and stops after ``patience`` looks in a row
+    without a lower loss, or at ``max_iterations``. The history has every look.
     """
     mask = NETWORKS[name]
     view = lambda df: network_inputs(df, features, nullable, mask)
@@ -322,18 +387,20 @@ def train_network(
     history: list[tuple[dict, float]] = []
     with prepared_vectors(train, columns, scale=True) as (prep, vectors):
         val = prep.transform(view(roles.val)[0]).select(LABEL, VECTOR).persist()
+        model, best = None, 0
         try:
-            for step in steps:
-                loss = log_loss(network(len(columns), step).fit(vectors), val)
-                history.append(({"iterations": step}, loss))
-                if len(history) > 1 and loss >= history[-2][1]:
-                    break
+            while len(history) * every < max_iterations and len(history) - best <= patience:
+                done = len(history) * every
+                model = resumed(vectors, len(columns), min(every, max_iterations - done), model.weights if model else None)
+                history.append(({"iterations": min(done + every, max_iterations)}, log_loss(model, val)))
+                if history[-1][1] < history[best][1]:
+                    best = len(history) - 1
         finally:
             val.unpersist()
-    best = min(history, key=lambda h: h[1])[0]
+    chosen = history[best][0]
     with prepared_vectors(view(oversampled(roles.trainval, key))[0], columns, scale=True) as (prep, vectors):
-        model = PipelineModel([*prep.stages, network(len(columns), best["iterations"]).fit(vectors)])
-    return Fitted(name, model, {**best, "use_mask": mask, "input_dim": len(columns)}, history)
+        model = PipelineModel([*prep.stages, fit_network(vectors, len(columns), chosen["iterations"], every)])
+    return Fitted(name, model, {**chosen, "use_mask": mask, "input_dim": len(columns)}, history)
 
 
 def test_metrics(scored: DataFrame) -> dict[str, float]:

@@ -57,7 +57,7 @@ def train_split(
     nullable: Sequence[str] = NULLABLE_FEATURES,
     key: Sequence[str] = KEY,
     grids: dict[str, dict[str, list]] | None = None,
-    steps: Sequence[int] | None = None,
+    iterations: dict[str, int] | None = None,
     runs_table: str | None = None,
     model_dir: str | None = None,
     parallelism: int = 1,
@@ -66,7 +66,8 @@ def train_split(
 
     The soft-voting ensemble is scored when all three base models were trained. Returns parameters
     and test metrics per model; with ``runs_table`` each run is appended to the log as it finishes,
-    with ``model_dir`` the fitted models are saved.
+    with ``model_dir`` the fitted models are saved. ``iterations`` has other limits for the networks:
+    ``max_iterations``, ``every`` and ``patience``.
     """
     base_names = select_names(models, list(BUILDERS)) if models else []
     network_names = select_names(networks, list(NETWORKS)) if networks else []
@@ -91,8 +92,7 @@ def train_split(
             vote = soft_vote({k: f.model for k, f in fitted.items()}, roles.test)
             finish("ensemble", {"voting": "soft"}, vote, None)
         for name in network_names:
-            extra = {"steps": steps} if steps else {}
-            trained = train_network(name, roles, columns, nullable, key, **extra)
+            trained = train_network(name, roles, columns, nullable, key, **(iterations or {}))
             test, _ = network_inputs(roles.test, columns, nullable, NETWORKS[name])
             finish(name, trained.params, positive_probability(trained.model, test), trained)
         return out

@@ -42,7 +42,7 @@ def test_sweep_logs_and_saves(spark, rows, tmp_path):
 
     reset_layers(spark, ["t_sweep"])
     out = train_split(
-        rows, "s1", columns=FEATURES, nullable=NULLABLE, key=["id"], grids=GRIDS, steps=[10, 20],
+        rows, "s1", columns=FEATURES, nullable=NULLABLE, key=["id"], grids=GRIDS, iterations={"max_iterations": 30, "every": 10, "patience": 1},
         runs_table="t_sweep.log", model_dir=str(tmp_path), parallelism=2,
     )
     assert set(out) == {"lr", "rf", "gbm", "ensemble", "mlp_impute", "mlp_mask"}
