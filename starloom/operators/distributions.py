@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import bin_index
 from starloom.operators.joins import materialise_small, null_safe_join
-from starloom.operators.ordered import exact_quantiles, usable
+from starloom.operators.ordered import quantiles_by_value, usable, value_table
 from starloom.operators.profile import wide_to_long
 
 
@@ -65,8 +65,8 @@ def class_mean_lines(df: DataFrame, value: str, group: Sequence[str]) -> DataFra
 def box_plot(df: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per feature and group."""
     keys = [*group, "feature"]
-    tall = wide_to_long(df, group, columns).where(usable("value"))
-    quart = exact_quantiles(tall, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
+    tall = value_table(wide_to_long(df, group, columns), "value", {"__c": F.lit(1).cast("bigint")}, keys)
+    quart = quantiles_by_value(tall, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     fences = quart.withColumns({
         "__lo": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),
         "__hi": F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1")),
@@ -84,7 +84,7 @@ def box_plot(df: DataFrame, columns: Sequence[str], group: Sequence[str]) -> Dat
         F.max("q3").alias("q3"),
         low.alias("whisker_low"),
         high.alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.coalesce(F.sum(F.when(~inside, F.col("__c"))), F.lit(0)).alias("n_outliers"),
     )
 
 
@@ -100,18 +100,23 @@ def violin(
     Groups of one row or one value have no density: one row at point 0 with a NULL density.
 
     ``bandwidth`` is the factor on the sample standard deviation; by default n ** (-1/5). Every task
-    adds up the kernel sums of its own rows on the grid, so a group of any size leaves a task as
-    ``points`` rows and no (row, grid point) pairs are shuffled.
+    adds up the kernel sums of its own (value, count) pairs on the grid, so repeated values cost nothing, a
+    group of any size leaves a task as ``points`` rows and no (row, grid point) pairs are shuffled.
     """
     group = list(group)
-    clean = df.where(usable(value)).select(*group, F.col(value).cast("double").alias("__v"))
-    n = F.count(F.lit(1)).cast("double")
+    real = df.where(usable(value)).select(*group, F.col(value).cast("double").alias("__v"))
+    clean = value_table(real, "__v", {"__c": F.lit(1).cast("bigint")}, group)
+    n, total = F.sum("__c").cast("double"), F.sum(F.col("__v") * F.col("__c"))
+    centres, _ = materialise_small(clean.groupBy(*group).agg((total / n).alias("__mean")))
+    centred = null_safe_join(clean, centres, group) if group else clean.withColumn("__mean", centres.scalar())
     factor = F.lit(float(bandwidth)) if bandwidth is not None else F.pow(n, F.lit(-0.2))
-    stats = clean.groupBy(*group).agg(
+    apart = F.col("__v") - F.col("__mean")
+    spread = F.sqrt(F.try_divide(F.sum(F.col("__c") * apart * apart), n - F.lit(1.0)))
+    stats = centred.groupBy(*group).agg(
         n.alias("__n"),
         F.min("__v").alias("__lo"),
         F.max("__v").alias("__hi"),
-        (factor * F.stddev_samp("__v")).alias("__bw"),
+        F.when(F.min("__v") < F.max("__v"), factor * spread).alias("__bw"),
     )
     single = stats.where(~F.coalesce(F.col("__bw") > 0, F.lit(False)) & (F.col("__n") > 0))
     single = single.select(*group, F.lit(0).alias("point"), F.col("__lo").alias("x"), F.lit(None).cast("double").alias("density"))
@@ -142,19 +147,20 @@ def violin(
             for key, part in batch.groupby(keys, dropna=False, sort=False):
                 grid, bw = np.linspace(key[-3], key[-2], points), key[-1]
                 total = totals.setdefault(key, np.zeros(points))
-                for chunk in np.array_split(part["__v"].to_numpy(), max(1, len(part) // 4096)):
-                    z = (grid[:, None] - chunk[None, :]) / bw
-                    total += np.exp(-0.5 * z * z).sum(axis=1)
+                pieces = max(1, len(part) // 4096)
+                for v, c in zip(*(np.array_split(part[k].to_numpy(), pieces) for k in ("__v", "__c")), strict=True):
+                    z = (grid[:, None] - v[None, :]) / bw
+                    total += np.exp(-0.5 * z * z) @ c
             if len(totals) > VIOLIN_GROUPS_HELD:
                 yield from flush(totals)
                 totals = {}
         yield from flush(totals)
 
-    sums = rows.select(*group, "__n", "__lo", "__hi", "__bw", "__v").mapInPandas(partial_sums, out_schema)
+    sums = rows.select(*group, "__n", "__lo", "__hi", "__bw", "__v", "__c").mapInPandas(partial_sums, out_schema)
     x = F.max("__lo") + F.col("point") * (F.max("__hi") - F.max("__lo")) / F.lit(float(points - 1))
     norm = F.max("__n") * F.max("__bw") * F.lit(float(np.sqrt(2.0 * np.pi)))
     curve = sums.groupBy(*group, "point").agg(x.alias("x"), (F.sum("__sum") / norm).alias("density"))
-    median = exact_quantiles(clean.withColumnRenamed("__v", "value"), "value", {"median": 0.5}, group)
+    median = quantiles_by_value(clean.withColumnRenamed("__v", "__x"), "__x", {"median": 0.5}, group)
     median = median.select(*group, "median")
     curve = curve.unionByName(single)
     return null_safe_join(curve, median, group) if group else curve.crossJoin(median)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.joins import materialise_small, null_safe_join
-from starloom.operators.ordered import running_totals
+from starloom.operators.ordered import totals_by_value, value_table
 
+# Names of the run log.
 METRIC_NAMES = (
     "test_average_precision",
     "test_roc_auc",
@@ -33,14 +34,13 @@ def is_correct(truth: str, predicted: str) -> Column:
 
 def score_totals(df: DataFrame, truth: str, score: str, group: Sequence[str] = ()) -> DataFrame:
     """Per group and distinct score, highest first: positives, negatives and their running totals."""
+    return totals_by_value(class_counts(df, truth, score, group), score, ["tp", "fp"], group, descending=True)
+
+
+def class_counts(df: DataFrame, truth: str, score: str, group: Sequence[str] = ()) -> DataFrame:
+    """Stored positives and negatives per group and distinct score."""
     y = F.col(truth).cast("int")
-    return running_totals(
-        df,
-        score,
-        {"tp": (y == 1).cast("bigint"), "fp": (y == 0).cast("bigint")},
-        group,
-        descending=True,
-    )
+    return value_table(df, score, {"tp": (y == 1).cast("bigint"), "fp": (y == 0).cast("bigint")}, group)
 
 
 def ranking_metrics(df: DataFrame, truth: str, score: str, group: Sequence[str] = ()) -> DataFrame:
@@ -101,17 +101,12 @@ def compute_metrics(
     return totals.groupBy(*group).agg(*[v.alias(n) for v, n in zip(values, METRIC_NAMES, strict=True)])
 
 
-def class_totals(df: DataFrame, truth: str, group: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*group).agg(
-        F.count_if(F.col(truth) == 1).alias("__p"), F.count_if(F.col(truth) == 0).alias("__n")
-    )
-
-
 def pr_roc_curves(df: DataFrame, truth: str, score: str, group: Sequence[str] = ()) -> DataFrame:
     """One point per distinct score: precision, recall, false-positive rate, and the prevalence."""
     group = list(group)
-    totals = score_totals(df, truth, score, group)
-    sizes, _ = materialise_small(class_totals(df, truth, group))
+    counts = class_counts(df, truth, score, group)
+    totals = totals_by_value(counts, score, ["tp", "fp"], group, descending=True)
+    sizes, _ = materialise_small(counts.groupBy(*group).agg(F.sum("tp").alias("__p"), F.sum("fp").alias("__n")))
     if group:
         joined = null_safe_join(totals, sizes, group)
     else:

@@ -59,6 +59,9 @@ PATIENCE = 5
 # Spark trees stop at depth 30, so an unlimited depth becomes 30.
 UNLIMITED_FOREST_DEPTH = 30
 
+#: Fitted models that are held to be scored by the same jobs.
+SCORED_TOGETHER = 64
+
 LABEL, WEIGHT, VECTOR = "label", "weight", "features"
 
 
@@ -260,12 +263,15 @@ def prepared_vectors(
         vectors.unpersist()
 
 
-def average_precision(model: Model, df: DataFrame) -> float:
-    scored = positive_probability(model, df).select(LABEL, "score").persist()
-    try:
-        return ranking_metrics(scored, LABEL, "score").first()["average_precision"]
-    finally:
-        scored.unpersist()
+def average_precisions(models: Sequence[Model], df: DataFrame) -> list[float]:
+    """Average precision of every model, all by the same jobs: one chained transform, then metrics by model."""
+    out = df.select(LABEL, VECTOR)
+    for i, model in enumerate(models):
+        out = positive_probability(model, out, f"__p{i}")
+    scores = F.array(*[F.struct(F.lit(i).alias("point"), F.col(f"__p{i}").alias("score")) for i in range(len(models))])
+    found = ranking_metrics(out.select(LABEL, F.inline(scores)), LABEL, "score", ["point"])
+    by_point = {r["point"]: r["average_precision"] for r in found.collect()}
+    return [by_point.get(i, 0.0) for i in range(len(models))]
 
 
 def tune(
@@ -274,21 +280,26 @@ def tune(
     """Try every grid point on train, rank by average precision on val, refit the best on both.
 
     No grid point changes the preparation, so the training rows are imputed and assembled once for
-    the whole grid. Ties keep the first grid point. ``parallelism`` fits several points at once.
+    the whole grid. Ties keep the first grid point. ``parallelism`` fits several points at once; the fitted ones are
+    scored ``SCORED_TOGETHER`` at a time, by as many jobs as one would take.
     """
     points = grid_points(grid or GRIDS[name])
     with prepared_vectors(roles.train, features, name in SCALED_MODELS, name not in UNFILLED_MODELS) as (prep, vectors):
         val = prep.transform(roles.val).select(LABEL, VECTOR).persist()
 
-        def trial(params: dict) -> float:
-            return average_precision(fit_prepared(name, vectors, params), val)
+        def fit(params: dict) -> Model:
+            return fit_prepared(name, vectors, params)
 
         try:
-            if parallelism > 1:
-                with ThreadPool(parallelism) as pool:
-                    scores = pool.map(trial, points)
-            else:
-                scores = [trial(p) for p in points]
+            scores = []
+            for start in range(0, len(points), SCORED_TOGETHER):
+                part = points[start : start + SCORED_TOGETHER]
+                if parallelism > 1:
+                    with ThreadPool(parallelism) as pool:
+                        fitted = pool.map(fit, part)
+                else:
+                    fitted = [fit(p) for p in part]
+                scores += average_precisions(fitted, val)
         finally:
             val.unpersist()
     best = max(range(len(points)), key=lambda i: scores[i])

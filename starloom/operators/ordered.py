@@ -1,8 +1,9 @@
 """Order-dependent computations without a single-task sort.
 
-A window over a whole group puts that group into one task. Here the ordered axis is cut into value
-ranges first (cut points come from one quantile pass, a bounded list), each range is handled by its
-own window, and small per-range summaries carry the state from one range to the next.
+A window over a whole group puts that group into one task. Here the rows are first summed by (group, value)
+into a stored table, in one pass over the source; everything else reads that table. The ordered axis is cut into
+value ranges (cut points come from one quantile pass over it, a bounded list), each range is handled by its own
+window, and small per-range summaries carry the state from one range to the next.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.operators.joins import materialise_small, null_safe_join
+from starloom.session import stored_table
 
 RANGE = "__range"
 
@@ -76,16 +78,27 @@ def running_totals(
     The running total covers all values up to and including the row's, ascending or descending.
     Rows whose value is NULL or NaN are left out.
     """
+    return totals_by_value(value_table(df, value, weights, group), value, list(weights), group, descending, ranges)
+
+
+def value_table(df: DataFrame, value: str, weights: dict[str, Column], group: Sequence[str] = ()) -> DataFrame:
+    """Stored sums of the weights, one row per (group, distinct value) that is neither NULL nor NaN."""
+    rows = df.where(usable(value)).select(*group, value, *[w.alias(k) for k, w in weights.items()])
+    return stored_table(rows.groupBy(*group, value).agg(*[F.sum(k).alias(k) for k in weights]), "values")
+
+
+def totals_by_value(
+    table: DataFrame,
+    value: str,
+    weights: Sequence[str],
+    group: Sequence[str] = (),
+    descending: bool = False,
+    ranges: int | None = None,
+) -> DataFrame:
+    """``running_totals`` of a table that has one row per (group, value)."""
     group = list(group)
-    cuts = range_cuts(df.where(usable(value)), value, ranges)
-    keyed = with_range(
-        df.where(usable(value)).select(*group, value, *[w.alias(k) for k, w in weights.items()]),
-        value,
-        cuts,
-    )
-    sums = [F.sum(k).alias(k) for k in weights]
-    per_value = keyed.groupBy(*group, RANGE, value).agg(*sums)
-    per_range = keyed.groupBy(*group, RANGE).agg(*[F.sum(k).alias(f"__t_{k}") for k in weights])
+    per_value = with_range(table, value, range_cuts(table, value, ranges))
+    per_range = per_value.groupBy(*group, RANGE).agg(*[F.sum(k).alias(f"__t_{k}") for k in weights])
 
     direction = F.col(RANGE).desc() if descending else F.col(RANGE).asc()
     before = Window.partitionBy(*group).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
@@ -117,9 +130,9 @@ def distribution_curve(
 ) -> DataFrame:
     """Empirical distribution: per distinct value the share of rows at or below it."""
     group = list(group)
-    counts = running_totals(df, value, {"n": F.lit(1).cast("bigint")}, group)
-    totals = df.where(usable(value)).groupBy(*group).agg(F.count(F.lit(1)).alias("__total"))
-    totals, _ = materialise_small(totals)
+    table = value_table(df, value, {"n": F.lit(1).cast("bigint")}, group)
+    counts = totals_by_value(table, value, ["n"], group)
+    totals, _ = materialise_small(table.groupBy(*group).agg(F.sum("n").alias("__total")))
     if group:
         joined = null_safe_join(counts, totals, group)
         whole = F.col("__total")
@@ -135,12 +148,18 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, by rank, plus the row count ``n``.
 
-    Only the value ranges that hold a wanted rank are aggregated and sorted.
+    Only the value ranges that hold a wanted rank are sorted.
     """
+    return quantiles_by_value(value_table(df, value, {"__c": F.lit(1).cast("bigint")}, group), value, probs, group)
+
+
+def quantiles_by_value(
+    table: DataFrame, value: str, probs: dict[str, float], group: Sequence[str] = (), count: str = "__c"
+) -> DataFrame:
+    """``exact_quantiles`` of a table that has one row per (group, value) and the number of rows with it."""
     group = list(group)
-    clean = df.where(usable(value)).select(*group, value)
-    keyed = with_range(clean, value, range_cuts(clean, value))
-    per_range = keyed.groupBy(*group, RANGE).agg(F.count(F.lit(1)).alias("__t"))
+    keyed = with_range(table.select(*group, value, F.col(count).alias("__c")), value, range_cuts(table, value))
+    per_range = keyed.groupBy(*group, RANGE).agg(F.sum("__c").alias("__t"))
     before = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     spans = per_range.select(
@@ -158,15 +177,9 @@ def exact_quantiles(
     for lo, hi, _ in ranks.values():
         for rank in (lo, hi):
             wanted = wanted | ((rank >= F.col("__o")) & (rank < F.col("__o") + F.col("__t")))
-    spans, bounded = materialise_small(spans.where(wanted))
-
-    span_keys, one = [*group, RANGE], F.count(F.lit(1)).alias("__c")
-    if bounded:
-        # The broadcast spans drop all other ranges before anything is shuffled.
-        kept = null_safe_join(keyed, spans, span_keys)
-        per_value = kept.groupBy(*span_keys, "__o", "__n", value).agg(one)
-    else:
-        per_value = null_safe_join(keyed.groupBy(*span_keys, value).agg(one), spans, span_keys)
+    # Few spans are broadcast and drop all other ranges before anything is shuffled.
+    spans, _ = materialise_small(spans.where(wanted))
+    per_value = null_safe_join(keyed, spans, [*group, RANGE]).drop("__t")
     inside = (
         Window.partitionBy(*group, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )

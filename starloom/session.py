@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(
@@ -44,6 +45,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: evaluated once however often it is read, and safe from lost executors."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this library where it is not installed."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -74,3 +74,42 @@ def test_no_window_over_a_whole_group(skewed):
     text = plan_of(ordered.running_totals(df, "v", {"n": F.lit(1)}, ["g"]))
     assert "SinglePartition" not in text
     assert "windowspecdefinition(g" in text and ordered.RANGE in text
+
+
+def test_every_operator_reads_its_source_once(spark, skewed):
+    """Rows that pass a counting step, for each operator that needs several looks at the ordered values."""
+    from starloom.operators import distributions, metrics
+
+    frame, df = skewed
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    source = df.withColumn("y", (F.col("w") > 2).cast("int")).mapInPandas(counted, "g string, v double, w long, y int")
+    for run in (
+        lambda: ordered.running_totals(source, "v", {"s": F.col("w")}, ["g"]),
+        lambda: ordered.distribution_curve(source, "v", ["g"]),
+        lambda: ordered.exact_quantiles(source, "v", {"m": 0.5}, ["g"]),
+        lambda: metrics.pr_roc_curves(source, "y", "v", ["g"]),
+        lambda: metrics.compute_metrics(source, "y", "v"),
+        lambda: distributions.violin(source, "v", ["g"], 20),
+        lambda: distributions.box_plot(source, ["v"], ["g"]),
+    ):
+        before = read.value
+        run().collect()
+        assert read.value - before == len(frame)
+
+
+def test_repeated_values_cost_a_violin_nothing(spark):
+    """The densities of a million rows of fifty values are those of fifty weighted ones."""
+    from starloom.operators import distributions
+
+    rows = spark.range(200_000).select((F.col("id") % 50).cast("double").alias("v"), F.lit("x").alias("g"))
+    few = distributions.violin(rows, "v", ["g"], 10).orderBy("point").collect()
+    values, grid = np.repeat(np.arange(50.0), 4000), np.linspace(0, 49, 10)
+    bw = values.std(ddof=1) * len(values) ** -0.2
+    want = [np.exp(-0.5 * ((g - np.arange(50.0)) / bw) ** 2).sum() * 4000 / (len(values) * bw * np.sqrt(2 * np.pi)) for g in grid]
+    assert [r["density"] for r in few] == pytest.approx(want) and {r["median"] for r in few} == {24.5}
