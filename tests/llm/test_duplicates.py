@@ -139,6 +139,28 @@ def test_contained_items(spark, prose):
     assert decontaminate.contained_items(docs, bench.limit(0)).count() == 0
 
 
+def test_items_split_over_rows_of_one_id_and_rows_without_id(spark, prose):
+    long, item = " ".join(prose[i] for i in range(6)).split(), prose[7].split()[:24]
+    whole = " ".join(item)
+    parts = [" ".join(item[:14]), " ".join(item[10:])]  # 10 of the item's 20 shingles each
+    pieces = [" ".join(long[: len(long) * 3 // 4 + 2]), " ".join(long[len(long) * 3 // 4 - 2 :])]
+    rows = [(1, parts[0]), (1, parts[1]), (2, parts[0]), (3, pieces[0]), (3, pieces[1]), (4, prose[20]), (4, prose[21]),
+            (None, f"x y {whole} z"), (None, prose[22]), (None, None), (5, f"{whole} end"), (6, None), (None, pieces[1])]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, part int, several string")
+    bench = spark.createDataFrame([(10, whole), (11, " ".join(long)), (12, prose[30]), (12, prose[31])], "item_id long, text string")
+    union: dict = {}
+    for i, t in rows:
+        union.setdefault(i, set()).update(bag(t) if t else [])
+    items = {10: set(bag(whole)), 11: set(bag(" ".join(long))), 12: set(bag(prose[30])) | set(bag(prose[31]))}
+    want = {(i, j, len(q & s)) for i, s in union.items() for j, q in items.items() if len(q & s) >= 0.8 * len(q)}
+    assert {(r[0], r[1], r[2]) for r in decontaminate.contained_items(docs, bench).collect()} == want
+    assert {w[:2] for w in want} == {(1, 10), (3, 11), (5, 10), (None, 10)}
+    left = decontaminate.decontaminated(docs, bench)
+    kept = [(2, parts[0]), (4, prose[20]), (4, prose[21]), (None, prose[22]), (None, None), (6, None), (None, pieces[1])]
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(kept, key=repr)
+
+
 def test_a_filter_with_few_bits_changes_nothing(spark, prose):
     docs = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(p.split()[5:40])) for i, p in enumerate(prose[:8])], "item_id long, text string")
