@@ -26,7 +26,7 @@ def rows(spark):
 
 GRIDS = {
     "lr": {"C": [0.01, 1.0], "l1_ratio": [0.0], "class_weight": [None, "balanced"]},
-    "rf": {"n_estimators": [10], "max_depth": [None, 4], "min_samples_leaf": [5], "max_features": ["sqrt", 0.5],
+    "rf": {"n_estimators": [3], "max_depth": [None], "min_samples_leaf": [5], "max_features": ["sqrt", 0.5],
            "class_weight": ["balanced_subsample"], "ccp_alpha": [0.0]},
     "gbm": {"max_iter": [5], "max_depth": [3], "learning_rate": [0.1], "min_samples_leaf": [20], "class_weight": [None]},
 }
