@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions import missing_flag, stable_hash
@@ -428,12 +428,9 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel:
-    """A saved model; a path without one raises FileNotFoundError."""
-    from pyspark.errors.exceptions.base import PySparkException
-
-    try:
-        return PipelineModel.load(path)
-    except Exception as error:
-        if isinstance(error, PySparkException) or "exist" in str(error):
-            raise FileNotFoundError(f"no saved model at {path}") from error
-        raise
+    """A saved model; a path without one raises FileNotFoundError, any other failure is raised as it is."""
+    spark = SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(f"no saved model at {path}")
+    return PipelineModel.load(path)
