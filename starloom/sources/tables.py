@@ -56,20 +56,40 @@ def replace_table(
 ) -> DataFrame:
     """Write a table as a whole and return it; running twice gives the same table.
 
-    The new content is complete before the old table is dropped, so a plan that reads the table it
-    replaces works and a failed write leaves the old content. With ``buckets`` the rows are stored
+    The new content is complete before the old table steps aside, so a plan that reads the table it
+    replaces works and a failed write leaves the old content. The old table is dropped only when the new one
+    has its name; a switch that broke off in between is finished by ``recover_table``, which runs here first
+    and which readers may call. With ``buckets`` the rows are stored
     hashed and sorted by ``bucket_by``, so that later joins of such tables on these columns need no
     shuffle; the rows are moved once here, one file per bucket.
     """
     spark = df.sparkSession
-    staging = f"{name}__staging"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    staging, former = f"{name}__staging", f"{name}__former"
+    recover_table(spark, name)
+    for leftover in (staging, former):
+        spark.sql(f"DROP TABLE IF EXISTS {leftover}")
     if buckets:
         keys = list(bucket_by)
         writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
     else:
         writer = df.write
     writer.format("parquet").mode("overwrite").saveAsTable(staging)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {former}")
     spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {former}")
     return spark.table(name)
+
+
+def recover_table(spark: SparkSession, name: str) -> bool:
+    """Finish a replacement that broke off between its two renames; whether there was one.
+
+    The old table steps aside only once the new content is complete, so the new one takes the name.
+    """
+    staging, former = f"{name}__staging", f"{name}__former"
+    if spark.catalog.tableExists(name) or not spark.catalog.tableExists(former):
+        return False
+    complete = staging if spark.catalog.tableExists(staging) else former
+    spark.sql(f"ALTER TABLE {complete} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {former}")
+    return True

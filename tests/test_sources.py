@@ -214,3 +214,21 @@ def test_run_log(spark):
     assert [r["model"] for r in best.collect()] == ["rf", "lr"]
     assert [tuple(r)[:3] for r in runs.generalisation_table(log).collect()] == [("lr", "s2", 0.4)]
     assert log.where("model = 'lr' and split_name = 's1'").first()["params"] == {"C": "1.0", "model": "lr", "split_name": "s1"}
+
+
+def test_a_replacement_that_breaks_off_leaves_a_table(spark):
+    tables.reset_layers(spark, ["t_broken"])
+    tables.replace_table(spark.range(3).toDF("a"), "t_broken.x")
+    with pytest.raises(Exception, match="broken"):
+        tables.replace_table(spark.range(5).select(F.raise_error(F.lit("broken")).cast("long").alias("a")), "t_broken.x")
+    assert spark.table("t_broken.x").count() == 3
+    assert not tables.recover_table(spark, "t_broken.x")
+    # as it is when a run ends between the renames
+    spark.range(7).toDF("a").write.format("parquet").saveAsTable("t_broken.y__staging")
+    tables.replace_table(spark.range(3).toDF("a"), "t_broken.z")
+    spark.sql("ALTER TABLE t_broken.z RENAME TO t_broken.y__former")
+    assert tables.recover_table(spark, "t_broken.y") and spark.table("t_broken.y").count() == 7
+    # and if a former one is all there is
+    spark.sql("ALTER TABLE t_broken.y RENAME TO t_broken.y__former")
+    assert tables.replace_table(spark.table("t_broken.x"), "t_broken.y").count() == 3
+    assert {t.name for t in spark.catalog.listTables("t_broken")} == {"x", "y"}
