@@ -231,14 +231,17 @@ def forward_fill(
     return filled.select(*kept, *[F.col(f"__fill.{k}").alias(k) for k in values])
 
 
-def numbered_in_hash_order(
-    df: DataFrame, hash_col: str, group: Sequence[str], prefix: int = 4
-) -> DataFrame:
-    """Per (group, hash prefix): row count and the number of rows in lower prefixes."""
-    group = list(group)
-    spans = (
-        df.groupBy(*group, F.substring(hash_col, 1, prefix).alias("__prefix"))
-        .agg(F.count(F.lit(1)).alias("__t"))
-    )
-    before = Window.partitionBy(*group).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("__o", F.coalesce(F.sum("__t").over(before), F.lit(0)))
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add the place of each row in a total order, from 1, without a single-task sort.
+
+    The sorted rows are stored with their place within their piece of the order; the pieces, one row each,
+    give the offsets. ``order`` must not leave ties.
+    """
+    local, piece = "__local", "__piece"
+    rows = stored_table(df.orderBy(*order).withColumn(local, F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn(piece, F.shiftright(local, 33))
+    sizes = rows.groupBy(piece).agg(F.count(F.lit(1)).alias("__t"))
+    before = Window.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(piece, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
+    place = F.col(local).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__o") + F.lit(1)
+    return rows.join(offsets, piece).select(*df.columns, place.alias(name))

@@ -1,10 +1,12 @@
 """Exact seeded sampling and splitting.
 
 Membership is decided by the order of a seeded hash of the row key, so it does not depend on
-partitioning. The wanted rank of a stratum is turned into a hash threshold: one aggregate counts rows
-per (stratum, hash prefix), only the prefix that contains the rank is ordered, and every row is then
-placed by comparing its own hash with the threshold. No stratum is ever sorted in one task. Keys must
-be unique, as in any table that is split by key.
+partitioning. The rows are stored once with their hash; the wanted rank of a stratum is turned into a
+hash threshold by refinement: an aggregate counts rows per (stratum, hash prefix), the prefix that holds
+the rank is counted again by a longer prefix until few rows share it, and only those are ordered. Every
+row is then placed by comparing its own hash with the threshold. No stratum is ever sorted in one task,
+and strata, their quotas and thresholds are tables of any size. Keys must be unique, as in any table that
+is split by key: copies of a key that a threshold would have to part raise an error.
 """
 
 from __future__ import annotations
@@ -12,96 +14,123 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions import stable_hash
 from starloom.operators.joins import materialise_small, null_safe_join
-from starloom.operators.ordered import numbered_in_hash_order
+from starloom.operators.ordered import numbered
+from starloom.session import stored_table
 
 HASH = "__hash"
-PREFIX_LENGTH = 4
-SPAN_ROWS = 1_000_000
-MAX_CLASSES = 10_000
+HASH_BYTES, STEP_BYTES = 16, 2
+BUCKET_ROWS = 100_000
 
 
-def largest_remainder(counts: dict, wanted: int) -> dict:
-    """Split ``wanted`` over the classes in proportion to their counts.
+def largest_remainder(classes: DataFrame, label: str, size: str, wanted: int, total: int, name: str) -> DataFrame:
+    """Add ``name``: ``wanted`` divided over the classes in proportion to ``size``, whose sum is ``total``.
 
-    Whole parts first; the rest goes to the largest remainders, ties to the smaller class value.
+    Whole parts first; the rest goes to the largest remainders, ties to the class value that comes first as
+    text, NULL before all. Products are exact decimals.
     """
-    total = sum(counts.values())
-    if total == 0 or wanted == 0:
-        return {k: 0 for k in counts}
-    shares = {k: wanted * n // total for k, n in counts.items()}
-    rest = wanted - sum(shares.values())
-    by_remainder = sorted(counts, key=lambda k: (-((wanted * counts[k]) % total), str(k)))
-    for k in by_remainder[:rest]:
-        shares[k] += 1
-    return shares
+    product = f"cast({wanted} as decimal(19,0)) * cast(`{size}` as decimal(19,0))"
+    shares = classes.withColumns({
+        "__share": F.expr(f"({product}) div {max(total, 1)}"),
+        "__rest": F.expr(f"cast(({product}) % {max(total, 1)} as bigint)"),
+    })
+    rest = wanted - (shares.agg(F.sum("__share")).first()[0] or 0)
+    if rest:
+        placed = numbered(shares, [F.col("__rest").desc(), F.col(label).cast("string").asc_nulls_first()], "__place")
+        share = F.col("__share") + (F.col("__place") <= rest).cast("bigint")
+    else:
+        placed, share = shares, F.col("__share")
+    return placed.select(*classes.columns, share.alias(name))
+
+
+def _prefix(length: int) -> Column:
+    return F.substring(HASH, 1, length)
 
 
 @dataclass
 class HashedClasses:
-    """Rows with their hash, and the row count per (class, hash prefix) from one pass over them."""
+    """Stored rows with their hash, and the table of classes: their value and row count ``__n``."""
 
     rows: DataFrame
     label: str
-    spans: DataFrame
-    counts: dict
+    classes: DataFrame
+    total: int
 
     @classmethod
     def of(cls, df: DataFrame, label: str, key: Sequence[str], seed: int | str) -> HashedClasses:
-        rows = df.withColumn(HASH, stable_hash(seed, *key))
-        spans, _ = materialise_small(
-            numbered_in_hash_order(rows, HASH, [label], PREFIX_LENGTH), SPAN_ROWS
-        )
-        totals = spans.groupBy(label).agg(F.sum("__t").alias("n")).limit(MAX_CLASSES + 1).collect()
-        if len(totals) > MAX_CLASSES:
-            raise ValueError(f"{label} has more than {MAX_CLASSES} classes; it is not a stratum column")
-        return cls(rows, label, spans, {r[label]: r["n"] for r in totals})
-
-    @property
-    def total(self) -> int:
-        return sum(self.counts.values())
-
-    def thresholds(self, ranks: dict[str, dict]) -> DataFrame:
-        """Per class and rank name, the hash of the row with that rank (1-based; NULL for rank 0)."""
-        label, names = self.label, list(ranks)
-        label_type = self.rows.schema[label].dataType.simpleString()
-        table = self.rows.sparkSession.createDataFrame(
-            [(k, *[int(ranks[name].get(k, 0)) for name in names]) for k in self.counts],
-            f"`{label}` {label_type}, " + ", ".join(f"`{n}` bigint" for n in names),
-        )
-        wanted = null_safe_join(self.spans, F.broadcast(table), [label])
-        holds = F.lit(False)
-        for name in names:
-            holds = holds | (
-                (F.col(name) > F.col("__o")) & (F.col(name) <= F.col("__o") + F.col("__t"))
+        rows = stored_table(df.withColumn(HASH, F.unhex(stable_hash(seed, *key))), "hashed")
+        counted = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+        classes, small = materialise_small(counted)
+        classes = classes if small else stored_table(classes, "classes")
+        return cls(rows, label, classes, classes.agg(F.sum("__n")).first()[0] or 0)
+
+    def thresholds(self, ranks: DataFrame, names: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+        """Per class and rank name, the hash of the row with that rank (1-based; NULL for rank 0).
+
+        ``ranks`` has one row per class and one column per name.
+        """
+        label = self.label
+        each = F.array(*[F.struct(F.lit(n).alias("__name"), F.col(n).alias("__rank")) for n in names])
+        pending = ranks.select(label, F.inline(each)).where(F.col("__rank") > 0)
+        pending = pending.withColumn("__prefix", F.lit(b""))
+        found: list[DataFrame] = []
+        for length in range(STEP_BYTES, HASH_BYTES + 1, STEP_BYTES):
+            above = length - STEP_BYTES
+            inside = self.rows.select(label, HASH)
+            if above:
+                held = pending.select(label, "__prefix").distinct()
+                inside = null_safe_join(inside.withColumn("__prefix", _prefix(above)), held, [label, "__prefix"])
+            spans = inside.groupBy(label, _prefix(length).alias("__next")).agg(F.count(F.lit(1)).alias("__t"))
+            spans = spans.withColumn("__prefix", F.substring("__next", 1, above))
+            order = Window.partitionBy(label, "__prefix").orderBy("__next")
+            before = order.rowsBetween(Window.unboundedPreceding, -1)
+            spans = spans.withColumn("__o", F.coalesce(F.sum("__t").over(before), F.lit(0)))
+            edges = null_safe_join(spans, pending, [label, "__prefix"]).where(
+                (F.col("__rank") > F.col("__o")) & (F.col("__rank") <= F.col("__o") + F.col("__t"))
             )
-        edges, _ = materialise_small(wanted.where(holds))
-        rows = self.rows.select(label, HASH, F.substring(HASH, 1, PREFIX_LENGTH).alias("__prefix"))
-        near = null_safe_join(rows, edges, [label, "__prefix"])
-        order = Window.partitionBy(label, "__prefix").orderBy(HASH)
-        placed = near.withColumn("__rank", F.row_number().over(order) + F.col("__o"))
-        found = placed.groupBy(label).agg(
-            *[F.max(F.when(F.col("__rank") == F.col(n), F.col(HASH))).alias(n) for n in names]
+            edges = edges.select(
+                label, "__name", (F.col("__rank") - F.col("__o")).alias("__rank"), F.col("__next").alias("__prefix"), "__t"
+            )
+            edges, small = materialise_small(edges)
+            edges = edges if small else stored_table(edges, "edges")
+            settled = (F.col("__t") <= bucket_rows) | F.lit(length == HASH_BYTES)
+            found.append(self._hash_at(edges.where(settled).drop("__t"), length))
+            pending = edges.where(~settled).drop("__t")
+            if pending.isEmpty():
+                break
+        limits = reduce(DataFrame.unionByName, found).groupBy(label).agg(
+            *[F.max(F.when(F.col("__name") == n, F.col(HASH))).alias(n) for n in names]
         )
-        out, _ = materialise_small(found)
-        return out
-
-    def assign(self, ranks: dict[str, dict], other: str, name: str = "split_role") -> DataFrame:
+        limits, small = materialise_small(limits)
+        return limits if small else stored_table(limits, "limits")
+
+    def _hash_at(self, edges: DataFrame, length: int) -> DataFrame:
+        """The hash at each wanted rank among the rows that share its prefix."""
+        near = self.rows.select(self.label, HASH, _prefix(length).alias("__prefix"))
+        near = null_safe_join(near, edges, [self.label, "__prefix"])
+        order = Window.partitionBy(self.label, "__name").orderBy(HASH)
+        placed = near.withColumns({"__at": F.row_number().over(order), "__after": F.lead(HASH).over(order)})
+        message = "rows of one key lie on both sides of a split: the key is not unique"
+        whole = F.when(F.col("__after") == F.col(HASH), F.raise_error(F.lit(message)).cast("binary")).otherwise(F.col(HASH))
+        return placed.where(F.col("__at") == F.col("__rank")).select(self.label, "__name", whole.alias(HASH))
+
+    def assign(self, ranks: DataFrame, names: Sequence[str], other: str, name: str = "split_role") -> DataFrame:
         """Add a role column: the first rank name whose threshold is not below the row's hash.
 
         ``ranks`` gives cumulative class ranks in increasing order, e.g. test first, then test + val.
         """
-        limits = self.thresholds(ranks).withColumnsRenamed({rank: f"__lim_{rank}" for rank in ranks})
+        limits = self.thresholds(ranks, names).withColumnsRenamed({n: f"__lim_{n}" for n in names})
         placed = null_safe_join(self.rows, limits, [self.label], "left")
         role: Column | None = None
-        for rank in ranks:
-            hit = F.col(HASH) <= F.col(f"__lim_{rank}")
-            role = F.when(hit, rank) if role is None else role.when(hit, rank)
+        for n in names:
+            hit = F.col(HASH) <= F.col(f"__lim_{n}")
+            role = F.when(hit, n) if role is None else role.when(hit, n)
         kept = [c for c in self.rows.columns if c != HASH]
         return placed.select(*kept, role.otherwise(F.lit(other)).alias(name))
 
@@ -114,22 +143,23 @@ def stratified_three_way(
     Test takes ceil((1 - train - val) * n) rows, val takes ceil of its share of the remainder, train
     takes the rest; each is divided over the classes by largest remainder.
     """
-    classes = HashedClasses.of(df, label, key, seed)
-    counts = classes.counts
-    test = largest_remainder(counts, math.ceil((1.0 - train_fraction - val_fraction) * classes.total))
-    left = {k: counts[k] - test[k] for k in counts}
-    share = val_fraction / (train_fraction + val_fraction)
-    val = largest_remainder(left, math.ceil(share * sum(left.values())))
-    return classes.assign({"test": test, "val": {k: test[k] + val[k] for k in counts}}, "train")
+    hashed = HashedClasses.of(df, label, key, seed)
+    test = math.ceil((1.0 - train_fraction - val_fraction) * hashed.total)
+    left = hashed.total - test
+    val = math.ceil(val_fraction / (train_fraction + val_fraction) * left)
+    ranks = largest_remainder(hashed.classes, label, "__n", test, hashed.total, "test")
+    ranks = ranks.withColumn("__left", F.col("__n") - F.col("test"))
+    ranks = largest_remainder(ranks, label, "__left", val, left, "val")
+    return hashed.assign(ranks.withColumn("val", F.col("test") + F.col("val")), ["test", "val"], "train")
 
 
 def stratified_two_way(
     df: DataFrame, label: str, key: Sequence[str], seed: int, val_fraction: float
 ) -> DataFrame:
     """Exact stratified train / val roles; val takes ceil(val_fraction * n) rows."""
-    classes = HashedClasses.of(df, label, key, seed)
-    val = largest_remainder(classes.counts, math.ceil(val_fraction * classes.total))
-    return classes.assign({"val": val}, "train")
+    hashed = HashedClasses.of(df, label, key, seed)
+    val = math.ceil(val_fraction * hashed.total)
+    return hashed.assign(largest_remainder(hashed.classes, label, "__n", val, hashed.total, "val"), ["val"], "train")
 
 
 def cross_population_split(
@@ -153,11 +183,12 @@ def cross_population_split(
 
 def stratified_sample(df: DataFrame, label: str, key: Sequence[str], n: int, seed: int) -> DataFrame:
     """At most about n rows with the class shares kept: round(share * n) per class, half to even."""
-    classes = HashedClasses.of(df, label, key, seed)
-    if classes.total <= n:
+    hashed = HashedClasses.of(df, label, key, seed)
+    if hashed.total <= n:
         return df
-    quota = {k: min(round(c / classes.total * n), c) for k, c in classes.counts.items()}
-    return classes.assign({"in": quota}, "out", name="__role").where(F.col("__role") == "in").drop("__role")
+    share = F.rint(F.col("__n") / F.lit(float(hashed.total)) * F.lit(float(n))).cast("bigint")
+    quota = hashed.classes.withColumn("in", F.least(share, F.col("__n")))
+    return hashed.assign(quota, ["in"], "out", name="__role").where(F.col("__role") == "in").drop("__role")
 
 
 def fixed_size_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
