@@ -17,8 +17,8 @@ from checks.base import (
     q,
     q_pct,
     query,
+    scratch,
     shape_source,
-    stored,
     table,
 )
 from starloom.functions import as_column, log10_positive, quantise
@@ -185,8 +185,10 @@ def coverage_join_documents(spark, sf):
 SELECT count(*) AS n_total, {c('quality IS NOT NULL')} AS n_hit,
   {q_pct(c('quality IS NOT NULL'), 'count(*)', 6)} AS pct_hit FROM documents LEFT JOIN labels USING (doc_id)""")
 def observed_coverage(spark, sf):
-    written = stored(spark, coverage_join_documents(spark, sf))
-    return quality.hit_rate(written, F.col("has_label")).drop("n_miss").withColumn("pct_hit", quantise("pct_hit", 6))
+    path = scratch(spark)
+    coverage_join_documents(spark, sf).write.parquet(path)
+    rate = quality.written_rate(spark, path, "quality")
+    return rate.drop("n_miss").withColumn("pct_hit", quantise("pct_hit", 6))
 
 
 @query("records_with_population", f"""{WITH}

@@ -18,20 +18,34 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
+def _rates(df: DataFrame, total: Column, hit: Column) -> DataFrame:
+    counted = df.agg(total.alias("n_total"), hit.alias("n_hit")).fillna(0)  # files without a row group count nothing
+    return counted.select(
+        "n_total",
+        "n_hit",
+        (F.col("n_total") - F.col("n_hit")).alias("n_miss"),
+        F.coalesce(F.try_divide(F.lit(100.0) * F.col("n_hit"), F.col("n_total")), F.lit(0.0)).alias("pct_hit"),
+    )
+
+
 def hit_rate(df: DataFrame, condition: Column) -> DataFrame:
-    """One row: rows, rows that meet a condition, rows that do not, and the percentage.
+    """One row: rows, rows that meet a condition, rows that do not, and the percentage."""
+    return _rates(df, F.count(F.lit(1)), F.count_if(condition))
 
-    Meant for a table that was just written: only the columns of the condition are read, and unlike
-    an observation attached to the write it leaves no state in the session (a session that has
+
+def written_rate(spark: SparkSession, folder: str, column: str, filled: bool = True) -> DataFrame:
+    """``hit_rate`` of "the column is filled" (or "is NULL") for a written Parquet table, without a scan.
+
+    The writer has counted rows and NULLs of every column while it wrote, in the footers of the files; the
+    aggregate is answered from these counts. The settings for that live in a session of their own. Unlike an
+    observation attached to the write this leaves no state in the caller's session (a session that has
     observed once can no longer ship fitted models that hold a training summary).
     """
-    total, hit = F.count(F.lit(1)), F.count_if(condition)
-    return df.agg(
-        total.alias("n_total"),
-        hit.alias("n_hit"),
-        (total - hit).alias("n_miss"),
-        F.coalesce(F.try_divide(F.lit(100.0) * hit, total), F.lit(0.0)).alias("pct_hit"),
-    )
+    reader = spark.newSession()
+    reader.conf.set("spark.sql.sources.useV1SourceList", "")
+    reader.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    total, known = F.count(F.lit(1)), F.count(F.col(column))
+    return _rates(reader.read.parquet(folder), total, known if filled else total - known)
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:

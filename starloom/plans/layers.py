@@ -24,12 +24,12 @@ from starloom.operators.labels import (
     join_through_bridge,
     relation_label,
 )
-from starloom.operators.quality import hit_rate, row_counts
+from starloom.operators.quality import row_counts, written_rate
 from starloom.operators.sampling import cross_population_split, stratified_three_way
 from starloom.operators.spatial import periodic_neighbours
 from starloom.plans.settings import WITHIN, Settings, pair_table, population_table, validate
 from starloom.sources.shapes import read_shapes
-from starloom.sources.tables import create_layers, replace_table
+from starloom.sources.tables import create_layers, replace_table, table_folder
 from starloom.sources.text import CATALOGUE_GLOB, MATCH_GLOB, one_file_each, read_catalogue, read_matches
 
 # Catalogue columns that are renamed, dropped, and joined in.
@@ -187,6 +187,11 @@ def simulation_pairs(simulations: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _rate(spark: SparkSession, name: str, column: str, filled: bool = True) -> dict[str, float]:
+    """Rows of a written table by whether a column is filled, from the counts its writer left in the files."""
+    return written_rate(spark, table_folder(spark, name), column, filled).first().asDict()
+
+
 def build_silver(spark: SparkSession, settings: Settings) -> dict[str, dict[str, float]]:
     """Clean tables; returns the shape coverage and the match rate."""
     bronze, silver, _ = settings.layers
@@ -195,17 +200,17 @@ def build_silver(spark: SparkSession, settings: Settings) -> dict[str, dict[str,
     halos = replace_table(
         clean_catalogue(spark.table(f"{bronze}.ahf_halos"), simulations), f"{silver}.halos", KEY, settings.buckets
     )
-    covered = replace_table(
+    replace_table(
         with_shapes(halos, spark.table(f"{bronze}.protohalo_shapes")), f"{silver}.protohalos", KEY, settings.buckets
     )
-    matched = replace_table(
+    replace_table(
         reduce_matches(spark.table(f"{bronze}.wdm_cdm_matches"), settings.merit_threshold),
         f"{silver}.wdm_cdm_matches",
     )
     replace_table(simulation_pairs(simulations, pair_table(spark, settings)), f"{silver}.simulation_pairs")
     return {
-        "shape_coverage": hit_rate(covered, F.col("has_protohalo_data")).first().asDict(),
-        "match_rate": hit_rate(matched, F.col("has_cdm_counterpart")).first().asDict(),
+        "shape_coverage": _rate(spark, f"{silver}.protohalos", "sphericity_s"),
+        "match_rate": _rate(spark, f"{silver}.wdm_cdm_matches", "best_cdm_halo_id"),
     }
 
 
@@ -290,13 +295,13 @@ def build_gold(spark: SparkSession, settings: Settings) -> dict[str, float]:
         KEY,
         settings.buckets,
     )
-    features = replace_table(
+    replace_table(
         feature_table(protohalos, settings.neighbour_radius_mpc_h), f"{gold}.features", KEY, settings.buckets
     )
     replace_table(
         split_assignments(labels, settings), f"{gold}.train_test_splits", KEY, settings.buckets
     )
-    return hit_rate(features, F.col("sphericity_s").isNull()).first().asDict()
+    return _rate(spark, f"{gold}.features", "sphericity_s", filled=False)
 
 
 def layer_row_counts(spark: SparkSession, settings: Settings) -> DataFrame:

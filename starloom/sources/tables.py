@@ -81,6 +81,12 @@ def replace_table(
     return spark.table(name)
 
 
+def table_folder(spark: SparkSession, name: str) -> str:
+    """Where the files of a table are."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").select("data_type")
+    return rows.first()[0]
+
+
 def recover_table(spark: SparkSession, name: str) -> bool:
     """Finish a replacement that broke off between its two renames; whether there was one.
 

@@ -140,6 +140,20 @@ def test_rate_of_an_empty_table(spark):
     assert got == {"n_total": 0, "n_hit": 0, "n_miss": 0, "pct_hit": 0.0}
 
 
+def test_rates_of_a_written_table_need_no_scan(spark, tmp_path):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 4 == 0, F.col("id")).alias("v"))
+    folder = str(tmp_path / "t")
+    df.repartition(5).write.parquet(folder)
+    rate = quality.written_rate(spark, folder, "v")
+    assert "PushedAggregation: [COUNT(*), COUNT(v)]" in plan_of(rate)
+    want = quality.hit_rate(df, F.col("v").isNotNull()).first()
+    assert rate.first() == want and want["n_hit"] == 250
+    assert quality.written_rate(spark, folder, "v", filled=False).first()["n_hit"] == 750
+    df.limit(0).write.parquet(str(tmp_path / "none"))
+    assert quality.written_rate(spark, str(tmp_path / "none"), "v").first().asDict() == {"n_total": 0, "n_hit": 0, "n_miss": 0, "pct_hit": 0.0}
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     text = plan_of(profile.conditional_counts(lines.where("l_returnflag = 'R'"), ["l_linestatus"], {"big": F.col("l_quantity") > 40}))
