@@ -19,7 +19,10 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _rates(df: DataFrame, total: Column, hit: Column) -> DataFrame:
-    counted = df.agg(total.alias("n_total"), hit.alias("n_hit")).fillna(0)  # files without a row group count nothing
+    # files without a row group give a NULL count, which the planner does not expect: coalesce would be dropped
+    counted = df.agg(total.alias("n_total"), hit.alias("n_hit")).select(
+        *[F.greatest(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("n_total", "n_hit")]
+    )
     return counted.select(
         "n_total",
         "n_hit",
