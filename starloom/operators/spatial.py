@@ -8,8 +8,10 @@ where the objects are, never by testing all pairs of a crowded cell:
   cell count, a pair wholly outside is dropped, a small pair is tested position by position, and only
   a crowded pair cut by the radius is split into its sub-cells, level by level.
 * The nearest neighbour starts each position at a level where its own cell is not crowded and looks at
-  the surrounding cells. A distance within one cell width is final; the rest goes one level coarser.
-  Positions still open at a level are at least half a cell apart, so few of them share a cell.
+  the surrounding cells. A distance within one cell width is final. The few positions left go down a pyramid
+  of occupied cells from the coarsest level: an occupied cell bounds the distance from above, and cells that
+  are farther than the best bound are dropped before they are opened. Only the cells left at the bottom are
+  tested position by position, so a far position beside a dense cluster meets a few of its members.
 
 Both are exact; the bounds only decide which way the exact answer is found. Cell arithmetic carries a
 relative margin of 1e-9 so that rounding cannot move a pair out of reach.
@@ -20,11 +22,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.operators.joins import materialise_small
-from starloom.session import ensure_checkpoint_dir
+from starloom.session import ensure_checkpoint_dir, stored_table
 
 MARGIN = 1e-9
 MAX_LEVEL = 20
@@ -244,44 +246,84 @@ def _start_levels(places: DataFrame, dims: int, crowded_cell: int) -> DataFrame:
     return reduce(DataFrame.unionByName, [*settled, active])
 
 
+def _pyramid(leaves: DataFrame, dims: int) -> DataFrame:
+    """Occupied cells of every level from 1 to the leaves: places in them, and whether they are a leaf."""
+    cell = _Grid(dims).cell
+    cells = leaves.groupBy("g", "lvl", *cell).agg(F.count(F.lit(1)).alias("k"))
+    each = cells.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("lvl"))))
+    up = [F.expr(f"shiftright({c}, lvl - at)").alias(c) for c in cell]
+    each = each.select("g", F.col("at").alias("lvl"), *up, "k", (F.col("at") == F.col("lvl")).alias("leaf"))
+    return stored_table(
+        each.groupBy("g", "lvl", *cell).agg(F.sum("k").alias("k"), F.bool_or("leaf").alias("leaf")), "pyramid"
+    )
+
+
+def _leaves_in_reach(pending: DataFrame, pyramid: DataFrame, dims: int) -> DataFrame:
+    """(position, leaf) for every leaf that can hold the nearest other place of a position."""
+    grid = _Grid(dims)
+    pos, cell = grid.pos, grid.cell
+    n = F.pow(F.lit(2.0), F.col("lvl"))
+    width = F.col("box") / n
+    near, far = [], []
+    for p, c in zip(pos, cell, strict=True):
+        gap = F.abs(F.col(p) - (F.col(c) + F.lit(0.5)) * width)
+        gap = F.least(gap, F.col("box") - gap)
+        near.append(F.pow(F.greatest(gap - width / 2, F.lit(0.0)), F.lit(2.0)))
+        far.append(F.pow(F.least(gap + width / 2, F.col("box") / 2), F.lit(2.0)))
+    nearest, farthest = (reduce(lambda u, v: u + v, s) for s in (near, far))
+    own = reduce(lambda u, v: u & v, [spot == F.col(c) for c, spot in grid.cells(n).items()])
+    of_place = Window.partitionBy("g", *pos)
+    top, _ = materialise_small(pyramid.where(F.col("lvl") == 1))
+    nodes = pending.select("g", "box", *pos).join(top, "g")
+    level = 1
+    while True:
+        # the cell of the position itself counts only if it holds another place
+        occupied = nodes.where(F.col("k") > F.when(own, 1).otherwise(0)).withColumn("bound", F.min(farthest).over(of_place))
+        nodes = occupied.where(nearest * (1 - MARGIN) <= F.col("bound") * (1 + MARGIN)).drop("bound").checkpoint()
+        inner = nodes.where(~F.col("leaf")).select("g", "box", *pos, *[F.col(c).alias(f"u{i}") for i, c in enumerate(cell)])
+        if inner.isEmpty():
+            return nodes.select("g", "box", *pos, "lvl", *cell)
+        level += 1
+        up = {f"u{i}": F.shiftright(F.col(c), 1) for i, c in enumerate(cell)}
+        children = pyramid.where(F.col("lvl") == level).withColumns(up)
+        opened = inner.join(children, ["g", *up]).select(*nodes.columns)
+        nodes = nodes.where("leaf").unionByName(opened)
+
+
 def _nearest(places: DataFrame, dims: int, crowded_cell: int) -> DataFrame:
     """(g, position) -> squared distance to the nearest other object; NULL if there is none."""
     grid = _Grid(dims)
     pos, cell = grid.pos, grid.cell
     b_pos = [f"q{i}" for i in range(dims)]
     n = F.pow(F.lit(2.0), F.col("lvl"))
-    pending = _start_levels(places, dims, crowded_cell).where(F.col("m") == 1)
-    found = [places.where(F.col("m") > 1).select("g", *pos, F.lit(0.0).alias("d2"))]
-    while True:
-        levels, _ = materialise_small(pending.select("g", "lvl").distinct())
-        others = (
-            places.join(levels, "g")
-            .withColumns(grid.cells(n))
-            .select("g", "lvl", *cell, *[F.col(p).alias(q) for p, q in zip(pos, b_pos, strict=True)])
-        )
-        queries = grid.spread(
-            pending.withColumns(grid.cells(n)), n, ["g", "box", *pos, "m", "lvl"]
-        )
+    leaves = _start_levels(places, dims, crowded_cell).withColumns(grid.cells(n)).checkpoint()
+    single = leaves.where(F.col("m") == 1)
+    place = ["g", "box", *pos, "lvl"]
+
+    def closest(queries: DataFrame, reached: DataFrame) -> DataFrame:
         # An inner join, so that a crowded cell on either side can be split at run time; places
         # that reach nothing come back through the union.
-        place = ["g", "box", *pos, "m", "lvl"]
-        reached = (
-            queries.join(others, ["g", "lvl", *cell])
-            .where(grid.differs(b_pos))
-            .select(*place, grid.distance2(b_pos).alias("d2"))
-        )
-        round_ = (
-            reached.unionByName(pending.select(*place, F.lit(None).cast("double").alias("d2")))
-            .groupBy(*place)
-            .agg(F.min("d2").alias("d2"))
-            .checkpoint()
-        )
-        width = F.col("box") / n * F.lit(1 - MARGIN)
-        final = (F.col("lvl") <= 1) | F.coalesce(F.col("d2") <= width * width, F.lit(False))
-        found.append(round_.where(final).select("g", *pos, "d2"))
-        pending = round_.where(~final).select("g", "box", *pos, "m", (F.col("lvl") - 1).alias("lvl"))
-        if pending.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+        met = reached.where(grid.differs(b_pos)).select(*place, grid.distance2(b_pos).alias("d2"))
+        alone = queries.select(*place, F.lit(None).cast("double").alias("d2"))
+        return met.unionByName(alone).groupBy(*place).agg(F.min("d2").alias("d2"))
+
+    other = [F.col(p).alias(q) for p, q in zip(pos, b_pos, strict=True)]
+    levels, _ = materialise_small(single.select("g", "lvl").distinct())
+    others = places.join(levels, "g").withColumns(grid.cells(n)).select("g", "lvl", *cell, *other)
+    around = closest(single, grid.spread(single, n, place).join(others, ["g", "lvl", *cell])).checkpoint()
+    width = F.col("box") / n * F.lit(1 - MARGIN)
+    final = (F.col("lvl") <= 1) | F.coalesce(F.col("d2") <= width * width, F.lit(False))
+    found = [
+        places.where(F.col("m") > 1).select("g", *pos, F.lit(0.0).alias("d2")),
+        around.where(final).select("g", *pos, "d2"),
+    ]
+    pending = around.where(~final).drop("d2")
+    if not pending.isEmpty():
+        leaves_met, _ = materialise_small(_leaves_in_reach(pending, _pyramid(leaves, dims), dims))
+        reached = leaves_met.join(leaves.select("g", "lvl", *cell, *other), ["g", "lvl", *cell])
+        rest = closest(pending.withColumn("lvl", F.lit(0)), reached.withColumn("lvl", F.lit(0)))
+        found.append(rest.select("g", *pos, "d2"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _back_to_objects(

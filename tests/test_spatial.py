@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from starloom.operators import spatial
 
@@ -88,3 +89,19 @@ def test_null_groups_are_groups(spark):
     near = {r["k"]: r for r in spatial.radius_count(df, "g", ["k"], ["x", "y"], "box", 1.0).collect()}
     assert sorted(near) == [1, 2, 3]
     assert sorted(spatial.nearest_distance(df, "g", ["k"], ["x", "y"], "box").select("k").toPandas()["k"]) == [1, 2, 3]
+
+
+def test_a_far_position_meets_few_members_of_a_cluster(spark):
+    rng = np.random.default_rng(3)
+    cluster = 40.0 + rng.random((4000, 3)) * 0.5
+    rows = [(i, "a", *map(float, p), 100.0) for i, p in enumerate(cluster)]
+    rows += [(5000, "a", 90.0, 90.0, 90.0, 100.0), (5001, "a", 41.5, 40.2, 40.2, 100.0)]
+    places = spatial.distinct_places(spark.createDataFrame(rows, COLUMNS), "g", ["x", "y", "z"], "box").checkpoint()
+    leaves = spatial._start_levels(places, 3, 64).withColumns(spatial._Grid(3).cells(2.0 ** F.col("lvl"))).checkpoint()
+    far = places.where("p0 > 41")
+    met = spatial._leaves_in_reach(far, spatial._pyramid(leaves, 3), 3).join(leaves.select("g", "lvl", "c0", "c1", "c2"), ["g", "lvl", "c0", "c1", "c2"])
+    counts = {r["p0"]: r["count"] for r in met.groupBy("p0").count().collect()}
+    assert set(counts) == {90.0, 41.5} and max(counts.values()) < 1000  # one side of the cluster of 4000
+    got = {k: v[0] for k, v in neighbours(spark, rows, 0.1).items()}
+    want = brute_force(rows, 0.1)
+    assert all(got[k] == pytest.approx(want[k][0], rel=1e-9) for k in want)
