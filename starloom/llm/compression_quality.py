@@ -82,26 +82,36 @@ def features(sizes: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps."""
+    """Logistic regression by Newton steps, each halved until the loss falls."""
     centre, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [0.0])
+
+    def loss(w: np.ndarray) -> float:
+        t = z @ w
+        return float((np.logaddexp(0, t) - y * t).sum() + 0.5 * w @ penalty @ w)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + penalty, z.T @ (p - y) + penalty @ w)
-        w -= step
+        while np.abs(step).max() >= 1e-8 and loss(w - step) > now:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
+        w = w - step
+        now = loss(w)
     return centre, scale, w
 
 
 def sample_labelled(
     docs: DataFrame, labels: DataFrame, label: str, sample: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """About ``sample`` labelled texts of each value 0 and 1: text, y, id. Rows of a null label or text are left out.
+    """About ``sample`` labelled texts of each value 0 and 1: text, y, id. Rows of a null label, id or text are left out.
 
-    Documents are chosen by a hash of their id, so the chosen ids are bounded and sent to all tasks.
+    Of repeated labels of one id the larger one counts; repeated documents of one id are all taken. Other columns of
+    either table may have any name. Documents are chosen by a hash of their id, so the chosen ids are bounded and sent to all tasks.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("y"))
     per = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -110,9 +120,8 @@ def sample_labelled(
     share = F.create_map(*(F.lit(x) for y, n in per.items() for x in (y, min(1.0, sample / n))))
     chance = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.broadcast(known.where(chance < share[F.col("y")]))  # about two samples of (id, y)
-    return docs.join(chosen, docs[id_col] == chosen["__id"]).where(F.col(text_col).isNotNull()).select(
-        F.col(text_col).cast("string").alias("text"), "y", F.col("__id").alias("id")
-    )
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    return texts.join(chosen, F.col("__doc") == F.col("__id")).select("text", "y", F.col("__id").alias("id"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model | None:

@@ -93,7 +93,7 @@ class Index:
         self.idf = np.array([w[2] for w in words])
         # examples with the same leading term stand together, so that bounds of blocks differ
         lead = [max(v, key=lambda x: self.idf[x[0]])[0] if v else len(words) for v in vectors]
-        place = np.lexsort((np.arange(len(ids)), lead))
+        self.place = place = np.lexsort((np.arange(len(ids)), lead))
         self.ids = [ids[i] for i in place]
         self.labels = labels[place].astype(float)
         self.empty = np.array([not vectors[i] for i in place], bool)
@@ -108,6 +108,7 @@ class Index:
         self.cache: dict[bytes, tuple] = {}
         self.calibration = (1.0, 0.0)
         self.base = 0.5
+        self.id_type = "bigint" if all(isinstance(i, int) for i in ids) else "string"
 
     def weights(self, vector: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array([x for x, _ in vector], np.int64)
@@ -175,7 +176,8 @@ class Index:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Index | None:
     """Index over the sample and its calibration; None if one of the two labels is missing.
 
-    What is fetched are the terms and, for each example, its id, label and counts of these terms.
+    What is fetched are the terms and, for each example, its id, label and counts of these terms. Repeated
+    documents of one id are examples of their own; empty texts are examples without a term.
     """
     chosen = store(sample_labelled(docs, labels, label, sample), "examples")
     words = vocabulary(chosen)
@@ -195,23 +197,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             )
 
     kind = chosen.schema["id"].dataType.simpleString()
-    rows = chosen.select("text", "y", "id").mapInArrow(measure, f"id {kind}, y int, t array<int>, n array<int>").orderBy("id").collect()
+    rows = chosen.select("text", "y", "id").mapInArrow(measure, f"id {kind}, y int, t array<int>, n array<int>").orderBy("id", "t", "n", "y").collect()
     if len({r["y"] for r in rows}) < 2:
         return None
-    index = Index(words, [r["id"] for r in rows], np.array([r["y"] for r in rows]), [list(zip(r["t"], r["n"], strict=True)) for r in rows])
+    vectors = [list(zip(r["t"], r["n"], strict=True)) for r in rows]
+    index = Index(words, [r["id"] for r in rows], np.array([r["y"] for r in rows]), vectors)
     # examples are drawn evenly from both labels: weights restore the shares of the labels
     sampled = np.bincount(index.labels.astype(int), minlength=2)
     weight = np.array([share[0], share[1]]) / np.maximum(sampled, 1)
     weight = weight / weight.min()
-    of = {r["id"]: list(zip(r["t"], r["n"], strict=True)) for r in rows}
     x, y, times = [], [], []
     none = np.zeros(2)
-    for i, example in enumerate(index.ids):
+    for i, vector in enumerate(vectors[j] for j in index.place):
         c = int(index.labels[i])
-        if not of[example]:
+        if not vector:
             none[c] += weight[c]
             continue
-        x.append((index.vote(of[example], without=i)[0],))
+        x.append((index.vote(vector, without=i)[0],))
         y.append(c)
         times.append(weight[c])
     index.base = float((none[1] + 0.5) / (none.sum() + 1.0)) if none.sum() else float(share[1] / (share[0] + share[1]))
@@ -226,15 +228,18 @@ def score(docs: DataFrame, index: Index | None, text_col: str = "text", threshol
     """All columns of ``docs`` with ``score``, ``predicted``, ``neighbours`` (ids) and ``cosines``.
 
     A null text counts as empty. Without an index every score is 0. Columns of the new names are replaced.
+    Equal cosines go to the examples that stand first in the index (by leading term, then id). Neighbours are
+    bigint where all ids of the examples are integers, else text. Repeated rows get the same result.
     """
     made = ("score", "predicted", "neighbours", "cosines")
     names = [c for c in docs.columns if c not in made]
     docs = docs.select(*names)
     at = names.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    id_type = index.id_type if index else "bigint"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        held, as_id = shared.value, int if id_type == "bigint" else str
         for part in sliced(batches, at):
             if held is None:
                 found = [(0.0, [], [])] * part.num_rows
@@ -243,10 +248,10 @@ def score(docs: DataFrame, index: Index | None, text_col: str = "text", threshol
             value = np.array([s for s, _, _ in found])
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32)),
-                 pa.array([[int(i) for i in n] for _, n, _ in found], pa.list_(pa.int64())),
+                 pa.array([[as_id(i) for i in n] for _, n, _ in found], pa.list_(pa.int64() if id_type == "bigint" else pa.string())),
                  pa.array([c for _, _, c in found], pa.list_(pa.float64()))],
                 [*names, *made],
             )
 
-    new = StructType.fromDDL("score double, predicted int, neighbours array<bigint>, cosines array<double>")
+    new = StructType.fromDDL(f"score double, predicted int, neighbours array<{id_type}>, cosines array<double>")
     return docs.mapInArrow(apply, StructType([*docs.schema.fields, *new.fields]))

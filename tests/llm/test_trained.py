@@ -185,3 +185,32 @@ def test_rare_terms_and_terms_of_either_label_are_kept(spark):
     rows = [(f"common{i % 7} " + ("vilword" if 0 < i <= 18 else "") + ("kindword" if i > 3_900 else ""), int(i < 2_000)) for i in range(4_000)]
     words = toxicity_neighbours.vocabulary(spark.createDataFrame(rows, "text string, y int"))
     assert {"vilword", "kindword"} <= {w for w, _, _ in words}
+
+
+def test_training_with_clashing_columns_text_ids_and_repeated_rows(spark, prose):
+    docs, labels = labelled(spark, prose)
+    docs = docs.unionAll(docs.where("doc_id < 4")).selectExpr("concat('d', doc_id) as doc_id", "text", "1 as y", "2 as id", "3 as __id", "4 as half")
+    labels = labels.selectExpr("concat('d', doc_id) as doc_id", "quality", "toxic", "5 as y", "6 as n")
+    model = compression_quality.train(docs, labels)
+    rows = compression_quality.score(docs.where("length(text) > 1"), model).collect()
+    assert np.mean([r["predicted"] == (int(r["doc_id"][1:]) < len(prose)) for r in rows]) > 0.95
+    words = docs.selectExpr("*", "text as old").selectExpr("doc_id", "concat(old, if(doc_id rlike '[02468]$', ' vile', ' kind')) as text", "y")
+    toxic = labels.selectExpr("doc_id", "cast(doc_id rlike '[02468]$' as int) as toxic", "y")
+    index = toxicity_neighbours.train(words, toxic)
+    out = toxicity_neighbours.score(words, index)
+    assert out.schema["neighbours"].dataType.simpleString() == "array<string>"
+    found = out.where("text is not null and text like '% vile'").collect()
+    assert found and all(r["predicted"] == 1 and r["neighbours"][0].startswith("d") for r in found)
+    assert toxicity_neighbours.score(words.limit(0), index).count() == 0
+
+
+def test_newton_steps_are_damped():
+    draw = np.random.default_rng(2)
+    for scale in (1e-3, 1.0, 30.0):
+        x = draw.normal(size=(400, 4)) ** 3 * scale
+        y = (x[:, 0] > np.quantile(x[:, 0], 0.98)).astype(float)
+        centre, spread, w = compression_quality.fit_logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip((x - centre) / spread @ w[:-1] + w[-1], -30, 30)))
+        assert np.isfinite(w).all() and ((p > 0.5) == (y > 0)).mean() > 0.97
+        z = np.column_stack([(x - centre) / spread, np.ones(len(x))])
+        assert np.abs(z.T @ (p - y) + 1e-2 * np.append(w[:-1], 0)).max() < 1e-3
