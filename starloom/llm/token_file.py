@@ -85,7 +85,7 @@ def write_token_file(
     """Writes the token file of all documents in ascending order of their id.
 
     A null or empty text has the end id alone. Null ids come first, and each segment says how many of its
-    documents have none; repeated ids are kept side by side. Other columns are not read.
+    documents have none; repeated ids are kept side by side, ordered by a hash of their text. Other columns are not read.
     """
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("n_null", pa.int32()),
                         *((c, pa.binary()) for c in ("doc_ids", "doc_sizes", "table", "control", "data"))])
@@ -106,7 +106,8 @@ def write_token_file(
             yield pa.RecordBatch.from_pylist([_segment(part, number, np.concatenate(held), doc_ids, sizes)], schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]  # the hash spreads the rows of one id over tasks
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     # the codes are close to their entropy: a light second compression by the container is enough
     ordered.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 

@@ -146,3 +146,15 @@ def test_frequent_ids_get_low_ranks(spark, odd_docs, tmp_path):
 def test_token_file_of_an_empty_table(spark, odd_docs, tmp_path):
     path = public_tokenizers.path(FILES[1])
     assert token_file.token_file_digests(odd_docs.limit(0), path, str(tmp_path / "e")).count() == 0
+
+
+def test_rows_of_one_id_are_spread_over_tasks(spark, tmp_path):
+    path, target = public_tokenizers.path(FILES[1]), str(tmp_path / "hot")
+    texts = [f"row {i} of one id" for i in range(2000)]
+    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    token_file.write_token_file(docs, path, target)
+    assert token_file.segments(spark, target).select("part").distinct().count() > 4
+    digests = token_file.read_token_digests(spark, target).orderBy("start").collect()
+    assert [r["doc_id"] for r in digests] == [None] * 1000 + [7] * 1000
+    found = Counter((r["doc_id"], tuple(r["ids"])) for r in token_file.read_token_ids(spark, target).collect())
+    assert found == Counter((None if i % 2 else 7, tuple(x)) for i, x in enumerate(reference(path, texts)))
