@@ -1,11 +1,13 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled texts, as unit vectors over the terms that go with a label. Their
-inverted index is cut into blocks of examples; for each term and block it keeps the largest weight. The sum
-of these over the terms of a query bounds every cosine in the block, so blocks are searched by falling bound
-until the bound is below the k-th best cosine: the neighbours are exact. They vote by their cosine, and the
-vote is calibrated on the examples themselves, each without its own vote. Texts with no such term have no
-neighbour and get the share of the label among examples like that.
+Examples are a bounded sample of labelled texts, as unit vectors over all their words and over the beginnings
+that go with a label. Document frequencies are those of all documents; words that go with neither label count
+by ``PLAIN`` of their idf, as a toxic text is mostly plain. The inverted index is cut into blocks of examples;
+for each of the most frequent terms and each block it keeps the largest weight, the postings of rarer terms are
+summed outright. The sum of both bounds every cosine in a block, so blocks are searched by falling bound until
+the bound is below the k-th best cosine: the neighbours are exact. They vote by their cosine, and the vote is
+calibrated on the examples themselves, each without its own vote. Only texts that share no term with any example
+have no neighbour; they get the share of the label among examples like that.
 """
 
 from __future__ import annotations
@@ -22,21 +24,24 @@ from starloom.llm.batches import mix, sliced, span_hashes, store, utf8, word_bou
 from starloom.llm.compression_quality import fit_logistic, sample_labelled
 
 SAMPLE = 3_000  # labelled texts of each label, about
-TERMS, MIN_ASSOCIATION = 1_024, 20.0  # most terms, least G statistic
+TERMS, MIN_ASSOCIATION = 1_024, 20.0  # most terms with a table of all blocks, least G statistic to go with a label
+PLAIN = 0.05  # weight of a term that goes with neither label
 #: A term needs so many examples, at any size of the sample.
 MIN_DOCS = 8
 BEGINNINGS = (4, 5, 6)  # bytes
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 16, 64, 3
-CACHED = 20_000
+FREQUENT = 256  # terms with a table, if fewer go with a label; the most frequent words fill up
+GROUP = 128  # texts searched together
+CACHED = 4_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PART = np.zeros(256, bool)  # letters, digits and all bytes of other scripts
 _PART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lowered bytes of the texts with start, end, row and hash of each term: words, and the beginnings of
-    longer words, which inflected and compound words share."""
+def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Lowered bytes of the texts with start, end, row and hash of each term: first the words, whose number comes
+    last, and then the beginnings of longer words, which inflected and compound words share."""
     data, at = utf8(column)
     data = _LOWER[data]
     starts, ends, row = word_bounds(data, at, _PART[data])
@@ -45,15 +50,15 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     all_ends = np.concatenate([ends, *(starts[i] + n for i, n in zip(longer, BEGINNINGS, strict=True))])
     h = span_hashes(data, all_starts, all_ends)
     h[len(starts) :] = mix(h[len(starts) :])  # a beginning is another term than the word of the same letters
-    return data, all_starts, all_ends, np.concatenate([row, *(row[i] for i in longer)]), h
+    return data, all_starts, all_ends, np.concatenate([row, *(row[i] for i in longer)]), h, len(starts)
 
 
-def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[tuple[str, int, float]]:
-    """(term, hash, idf) of the terms that go most with either label, by the G statistic of their presence."""
+def presences(chosen: DataFrame) -> DataFrame:
+    """Each term of the examples (text, y): its hash, whether it is a word, examples with it (n), those of label 1 (a)."""
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 0):
-            data, starts, ends, row, h = terms(part.column(0))
+            data, starts, ends, row, h, n_words = terms(part.column(0))
             y = part.column(1).to_numpy().astype(np.int64)
             pair, first = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1, return_index=True)
             value, at, inverse = np.unique(pair[0], return_index=True, return_inverse=True)
@@ -62,16 +67,22 @@ def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[tuple[str, int, flo
             raw = data.tobytes()
             words = [raw[starts[i] : ends[i]].decode(errors="replace") for i in first[at].tolist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array(value.view(np.int64)), pa.array(n), pa.array(toxic)], ["term", "h", "n", "n1"]
+                [pa.array(words, pa.string()), pa.array(value.view(np.int64)), pa.array(first[at] < n_words), pa.array(n), pa.array(toxic)],
+                ["term", "h", "word", "n", "n1"],
             )
 
+    return chosen.select("text", "y").mapInArrow(presence, "term string, h long, word boolean, n long, n1 long").groupBy("h").agg(
+        F.min("term").alias("term"), F.max("word").alias("word"), F.sum("n").alias("n"), F.sum("n1").alias("a")
+    )
+
+
+def vocabulary(chosen: DataFrame, most: int = TERMS, counted: DataFrame | None = None) -> list[tuple[str, int, float]]:
+    """(term, hash, idf) of the terms that go most with either label, by the G statistic of their presence."""
     total = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     if not n0 or not n1:
         return []
-    counted = chosen.select("text", "y").mapInArrow(presence, "term string, h long, n long, n1 long").groupBy("h").agg(
-        F.min("term").alias("term"), F.sum("n").alias("n"), F.sum("n1").alias("a")
-    )
+    counted = presences(chosen) if counted is None else counted
     cells = [("a", n1), ("n - a", n0), (f"{n1} - a", n1), (f"{n0} - (n - a)", n0)]
     rows = ["n", "n", f"{n0 + n1} - n", f"{n0 + n1} - n"]
     g = " + ".join(
@@ -82,144 +93,225 @@ def vocabulary(chosen: DataFrame, most: int = TERMS) -> list[tuple[str, int, flo
     return [(r["term"], r["h"], float(np.log((n0 + n1) / r["n"]) + 0.1)) for r in top]
 
 
+def document_frequencies(docs: DataFrame, text_col: str, hashes: np.ndarray) -> np.ndarray:
+    """Rows of ``docs`` that hold each of these terms (distinct hashes, rising)."""
+    shared = docs.sparkSession.sparkContext.broadcast(hashes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        n = np.zeros(len(known), np.int64)
+        for part in sliced(batches, 0):
+            _, _, _, row, h, _ = terms(part.column(0))
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            n += np.bincount(np.unique(row[hit] * len(known) + at[hit]) % len(known), minlength=len(known))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["at", "n"])
+
+    out = np.zeros(len(hashes), np.int64)
+    if len(hashes):
+        found = docs.select(text_col).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        out[found["at"].to_numpy()] = found["n"].to_numpy()
+    shared.unpersist()
+    return out
+
+
+Vector = np.ndarray | list[tuple[int, int]]
+
+
 class Index:
-    """Block-max inverted index of the examples; ``vectors`` are lists of (term number, count)."""
+    """Block-max inverted index of the examples; ``vectors`` are (term number, count).
+
+    ``words`` are the terms with a table of all blocks: text, hash, weight. The terms of ``rest`` (hashes and
+    weights), numbered behind them, have lists of postings.
+    """
 
-    def __init__(self, words: list[tuple[str, int, float]], ids: list, labels: np.ndarray, vectors: list[list[tuple[int, int]]]) -> None:
+    def __init__(
+        self, words: list[tuple[str, int, float]], ids: list, labels: np.ndarray, vectors: list[Vector],
+        rest: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0)),
+    ) -> None:
         self.terms = [w[0] for w in words]
         hashes = np.array([w[1] for w in words], np.int64).view(np.uint64)
+        self.tables = np.sort(hashes), np.argsort(hashes)
+        hashes = np.concatenate([hashes, rest[0]])
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order
-        self.idf = np.array([w[2] for w in words])
+        self.idf = np.concatenate([np.array([w[2] for w in words], float), rest[1]])
+        vectors = [np.array(v, np.int64).reshape(-1, 2) for v in vectors]
         # examples with the same leading term stand together, so that bounds of blocks differ
-        lead = [max(v, key=lambda x: self.idf[x[0]])[0] if v else len(words) for v in vectors]
+        lead = [t[self.idf[t].argmax()] if len(t) else len(words) for t in (v[v[:, 0] < len(words), 0] for v in vectors)]
         self.place = place = np.lexsort((np.arange(len(ids)), lead))
         self.ids = [ids[i] for i in place]
         self.labels = labels[place].astype(float)
-        self.empty = np.array([not vectors[i] for i in place], bool)
         self.blocks = -(-len(ids) // BLOCK) or 1
         # the postings of a term, block by block, and the largest one of each block
-        self.posting = np.zeros((len(words), self.blocks, BLOCK), np.float32)
+        self.posting = np.zeros((self.blocks, len(words), BLOCK), np.float32)
+        of_rest = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))]
         for doc, i in enumerate(place):
-            if vectors[i]:
+            if len(vectors[i]):
                 t, w = self.weights(vectors[i])
-                self.posting[t, doc // BLOCK, doc % BLOCK] = w
-        self.most = self.posting.max(2) if len(words) else np.zeros((0, self.blocks), np.float32)
+                has_table = t < len(words)
+                self.posting[doc // BLOCK, t[has_table], doc % BLOCK] = w[has_table]
+                rare = t[~has_table] - len(words)
+                of_rest.append((rare, np.full(len(rare), doc, np.int32), w[~has_table].astype(np.float32)))
+        term, doc, weight = (np.concatenate(x) for x in zip(*of_rest, strict=True))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.at = np.searchsorted(term[order], np.arange(len(rest[0]) + 1))
+        self.most = self.posting.max(2).T
         self.cache: dict[bytes, tuple] = {}
         self.calibration = (1.0, 0.0)
         self.base = 0.5
         self.id_type = "bigint" if all(isinstance(i, int) for i in ids) else "string"
 
-    def weights(self, vector: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array([x for x, _ in vector], np.int64)
-        w = (1 + np.log(np.array([n for _, n in vector], float))) * self.idf[t]
+    def weights(self, vector: Vector) -> tuple[np.ndarray, np.ndarray]:
+        t, n = np.array(vector, np.int64).reshape(-1, 2).T
+        w = (1 + np.log(n)) * self.idf[t]
         return t, w / np.sqrt((w * w).sum())
 
-    def nearest(self, vector: list[tuple[int, int]], k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties: the first ones) and their cosines, all above zero."""
-        t, w = self.weights(vector)
-        w = w.astype(np.float32)
-        bound = w @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound > 0)]
-        found, score = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        while len(order):
-            # the first blocks give a k-th best; all blocks that can still beat it follow at once
-            now, order = order[:FIRST_BLOCKS] if not len(found) else order, order[FIRST_BLOCKS:] if not len(found) else order[:0]
-            dots = np.einsum("t,tbk->bk", w, self.posting[t[:, None], now[None, :]])
-            docs = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = (dots.ravel() > 0) & (docs != without)
-            found, score = np.concatenate([found, docs[hit]]), np.concatenate([score, dots.ravel()[hit]])
-            best = np.lexsort((found, -score.round(5)))[:k]
-            found, score = found[best], score[best]
-            if len(score) == k:
-                order = order[bound[order] >= score[-1] - 1e-4]
-            elif not len(found):
-                found, score = np.array([-1]), np.array([-1.0], np.float32)
-        known = found >= 0
-        return found[known], score[known].astype(float)
-
-    def vote(self, vector: list[tuple[int, int]], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log odds of the vote, shrunk where all neighbours are far, with the neighbours."""
-        found, cosine = self.nearest(vector, without=without)
-        near = 1 / (1.05 - np.minimum(cosine, 1.0))  # the weight falls with the distance
-        share = ((near * self.labels[found]).sum() + 0.5) / (near.sum() + 1.0)
-        return float(np.log(share / (1 - share))), found, cosine
-
-    def score(self, vector: list[tuple[int, int]]) -> tuple[float, list, list[float]]:
-        """Calibrated score with the ids and cosines of the neighbours."""
-        if not vector:
-            return self.base, [], []
-        key = np.array(vector, np.int32).tobytes()
-        if key not in self.cache:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            logit, found, cosine = self.vote(vector)
+    def _rare(self, row: np.ndarray, t: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+        """What the terms with lists of postings add to the cosine of each example, block by block."""
+        size = self.at[t + 1] - self.at[t]
+        i = np.repeat(self.at[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        width = self.blocks * BLOCK
+        dots = np.bincount(np.repeat(row * width, size) + self.doc[i], np.repeat(w, size) * self.weight[i], rows * width)
+        return dots.astype(np.float32).reshape(rows, self.blocks, BLOCK)
+
+    def _add(self, query: np.ndarray, dots: np.ndarray, wanted: np.ndarray) -> None:
+        for block in np.flatnonzero(wanted.any(0)).tolist():
+            rows = np.flatnonzero(wanted[:, block])
+            dots[rows, block] += query[rows] @ self.posting[block]
+
+    def nearest(self, vectors: list[Vector], k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the k examples of largest cosine (ties: the first ones) and their cosines, all above zero."""
+        out = []
+        for start in range(0, len(vectors), GROUP):
+            part = [np.array(v, np.int64).reshape(-1, 2) for v in vectors[start : start + GROUP]]
+            m, row = len(part), np.repeat(np.arange(len(part)), [len(v) for v in part])
+            t, n = np.concatenate(part).T
+            w = (1 + np.log(n)) * self.idf[t]
+            w = w / np.sqrt(np.bincount(row, w * w, m))[row]
+            has_table = t < len(self.terms)
+            query = np.zeros((m, len(self.terms)), np.float32)
+            query[row[has_table], t[has_table]] = w[has_table]
+            dots = self._rare(row[~has_table], t[~has_table] - len(self.terms), w[~has_table], m)
+            bound = query @ self.most + dots.max(2)
+            # the first blocks give a k-th best; then come all blocks that can still beat it
+            wanted = np.zeros(bound.shape, bool)
+            np.put_along_axis(wanted, np.argsort(-bound, 1, kind="stable")[:, :FIRST_BLOCKS], True, 1)
+            self._add(query, dots, wanted)
+            own = np.full(m, -1) if without is None else without[start : start + GROUP]
+            mine = np.flatnonzero(own >= 0)
+            known = np.where(wanted[:, :, None], dots, 0).reshape(m, -1)
+            known[mine, own[mine]] = 0
+            kth = np.partition(known, -min(k, known.shape[1]), 1)[:, -min(k, known.shape[1])]
+            more = ~wanted & (bound > 0) & (bound >= kth[:, None] - 1e-4)
+            self._add(query, dots, more)
+            dots[~(wanted | more)] = 0
+            dots = dots.reshape(m, -1)
+            dots[mine, own[mine]] = 0
+            kth = np.partition(dots, -min(k, dots.shape[1]), 1)[:, -min(k, dots.shape[1])]
+            for score, least in zip(dots, kth.tolist(), strict=True):
+                found = np.flatnonzero((score > 0) & (score >= least - 1e-4))
+                best = found[np.lexsort((found, -score[found].round(5)))[:k]]
+                out.append((best, score[best].astype(float)))
+        return out
+
+    def votes(self, vectors: list[Vector], without: np.ndarray | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Log odds of each vote, shrunk where all neighbours are far, with the neighbours."""
+        out = []
+        for found, cosine in self.nearest(vectors, without=without):
+            near = 1 / (1.05 - np.minimum(cosine, 1.0))  # the weight falls with the distance
+            share = ((near * self.labels[found]).sum() + 0.5) / (near.sum() + 1.0)
+            out.append((float(np.log(share / (1 - share))), found, cosine))
+        return out
+
+    def score(self, vectors: list[Vector]) -> list[tuple[float, list, list[float]]]:
+        """Calibrated scores with the ids and cosines of the neighbours; equal texts are searched once."""
+        keys = [np.array(v, np.int32).tobytes() for v in vectors]
+        new = {key: v for key, v in zip(keys, vectors, strict=True) if key and key not in self.cache}
+        if len(self.cache) + len(new) > CACHED:
+            new = {key: v for key, v in zip(keys, vectors, strict=True) if key}
+            self.cache.clear()
+        for key, (logit, found, cosine) in zip(new, self.votes(list(new.values())), strict=True):
             z = self.calibration[0] * logit + self.calibration[1]
             self.cache[key] = (1 / (1 + np.exp(-np.clip(z, -30, 30))), [self.ids[i] for i in found], cosine.tolist())
-        return self.cache[key]
+        return [self.cache[key] if key else (self.base, [], []) for key in keys]
 
-    def vectors(self, column: pa.Array) -> list[list[tuple[int, int]]]:
+    def vectors(self, column: pa.Array) -> list[np.ndarray]:
         """Term numbers with their counts in each text."""
-        _, _, _, row, h = terms(column)
-        out: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
-        if not len(self.hashes):
-            return out
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        known = self.hashes[at] == h
-        pair, n = np.unique(row[known] * len(self.hashes) + self.number[at[known]], return_counts=True)
-        for r, t, c in zip((pair // len(self.hashes)).tolist(), (pair % len(self.hashes)).tolist(), n.tolist(), strict=True):
-            out[r].append((t, c))
-        return out
+        _, _, _, row, h, n_words = terms(column)
+        held = []
+        for h, row, (hashes, number) in ((h[:n_words], row[:n_words], (self.hashes, self.number)), (h[n_words:], row[n_words:], self.tables)):
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                known = hashes[at] == h
+                held.append(row[known] * len(self.hashes) + number[at[known]])
+        if not held:
+            return [np.zeros((0, 2), np.int64)] * len(column)
+        pair, n = np.unique(np.concatenate(held), return_counts=True)
+        at = np.searchsorted(pair, np.arange(len(column) + 1) * len(self.hashes))
+        both = np.stack([pair % len(self.hashes), n], 1)
+        return [both[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Index | None:
     """Index over the sample and its calibration; None if one of the two labels is missing.
 
-    What is fetched are the terms and, for each example, its id, label and counts of these terms. Repeated
-    documents of one id are examples of their own; empty texts are examples without a term.
+    What is fetched are the words of the examples with their document frequencies in ``docs`` and, for each example,
+    its id, label and counts of its words: all bounded by the sample. Repeated documents of one id are examples of
+    their own; empty texts are examples without a term.
     """
     chosen = store(sample_labelled(docs, labels, label, sample), "examples")
-    words = vocabulary(chosen)
+    counted = store(presences(chosen), "terms")
+    words = vocabulary(chosen, counted=counted)
+    told = {h for _, h, _ in words}
+    plain = counted.where("word").orderBy(F.desc("n"), "h").select("term", "h").collect()
+    plain = [(r["term"], r["h"]) for r in plain if r["h"] not in told]
+    hashes = np.array([*(h for _, h, _ in words), *(h for _, h in plain)], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    n = np.zeros(len(hashes), np.int64)
+    n[order] = document_frequencies(docs, "text", hashes[order])
+    idf = np.log(docs.count() / np.maximum(n, 1)) + 0.1
+    idf[len(words) :] *= PLAIN
+    frequent = plain[: max(0, FREQUENT - len(words))]
+    words = [(t, h, float(x)) for (t, h, *_), x in zip([*words, *frequent], idf, strict=False)]
+    rest = hashes[len(words) :], idf[len(words) :]
     share = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     if len(share) < 2:
         return None
-    empty = Index(words, [], np.zeros(0), [])
+    empty = Index(words, [], np.zeros(0), [], rest)
     shared = docs.sparkSession.sparkContext.broadcast(empty)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 0):
             vectors = shared.value.vectors(part.column(0))
             yield pa.RecordBatch.from_arrays(
-                [part.column(2), part.column(1), pa.array([[x for x, _ in v] for v in vectors], pa.list_(pa.int32())),
-                 pa.array([[n for _, n in v] for v in vectors], pa.list_(pa.int32()))],
+                [part.column(2), part.column(1), pa.array([v[:, 0] for v in vectors], pa.list_(pa.int32())),
+                 pa.array([v[:, 1] for v in vectors], pa.list_(pa.int32()))],
                 ["id", "y", "t", "n"],
             )
 
     kind = chosen.schema["id"].dataType.simpleString()
-    rows = chosen.select("text", "y", "id").mapInArrow(measure, f"id {kind}, y int, t array<int>, n array<int>").orderBy("id", "t", "n", "y").collect()
-    if len({r["y"] for r in rows}) < 2:
+    rows = chosen.select("text", "y", "id").mapInArrow(measure, f"id {kind}, y int, t array<int>, n array<int>").orderBy("id", "t", "n", "y").toArrow()
+    ids, y = rows["id"].to_pylist(), rows["y"].to_numpy()
+    if len(set(y.tolist())) < 2:
         return None
-    vectors = [list(zip(r["t"], r["n"], strict=True)) for r in rows]
-    index = Index(words, [r["id"] for r in rows], np.array([r["y"] for r in rows]), vectors)
+    vectors = [np.stack([t.values.to_numpy(), n.values.to_numpy()], 1) for t, n in zip(rows["t"], rows["n"], strict=True)]
+    index = Index(words, ids, y, vectors, rest)
     # examples are drawn evenly from both labels: weights restore the shares of the labels
     sampled = np.bincount(index.labels.astype(int), minlength=2)
     weight = np.array([share[0], share[1]]) / np.maximum(sampled, 1)
     weight = weight / weight.min()
-    x, y, times = [], [], []
-    none = np.zeros(2)
-    for i, vector in enumerate(vectors[j] for j in index.place):
-        c = int(index.labels[i])
-        if not vector:
-            none[c] += weight[c]
-            continue
-        x.append((index.vote(vector, without=i)[0],))
-        y.append(c)
-        times.append(weight[c])
+    some = np.array([len(vectors[j]) > 0 for j in index.place])
+    y = index.labels.astype(int)
+    none = np.bincount(y[~some], minlength=2) * weight
+    x = np.array([vote for vote, _, _ in index.votes([vectors[j] for j in index.place[some]], np.flatnonzero(some))])[:, None]
+    y, times = y[some], weight[y[some]]
     index.base = float((none[1] + 0.5) / (none.sum() + 1.0)) if none.sum() else float(share[1] / (share[0] + share[1]))
-    if len(set(y)) == 2:
-        times = np.maximum(1, np.round(np.array(times))).astype(int)
-        centre, scale, w = fit_logistic(np.repeat(np.array(x), times, 0), np.repeat(np.array(y, float), times))
+    if len(set(y.tolist())) == 2:
+        times = np.maximum(1, np.round(times)).astype(int)
+        centre, scale, w = fit_logistic(np.repeat(x, times, 0), np.repeat(y.astype(float), times))
         index.calibration = (w[0] / scale[0], w[1] - w[0] * centre[0] / scale[0])
     return index
 
@@ -244,7 +336,7 @@ def score(docs: DataFrame, index: Index | None, text_col: str = "text", threshol
             if held is None:
                 found = [(0.0, [], [])] * part.num_rows
             else:
-                found = [held.score(v) for v in held.vectors(part.column(at))]
+                found = held.score(held.vectors(part.column(at)))
             value = np.array([s for s, _, _ in found])
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32)),

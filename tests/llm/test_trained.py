@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +14,7 @@ import zstandard
 
 from llm_support import LARGE, library, odd_docs, prose  # noqa: F401
 from starloom.llm import compression_quality, ppm_language, toxicity_neighbours
-from starloom.llm.batches import utf8
+from starloom.llm.batches import mix, span_hashes, utf8
 from starloom.llm.queries import QUERIES
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(LARGE), reason="test tables are not there")
@@ -162,7 +163,7 @@ def test_neighbours_are_those_of_all_examples():
         vector = [(int(t), int(draw.integers(1, 5))) for t in np.sort(draw.choice(n_terms, draw.integers(1, 8), replace=False))]
         t, w = index.weights(vector)
         cosine = dense[:, t] @ w
-        found, score = index.nearest(vector)
+        [(found, score)] = index.nearest([vector])
         assert len(found) == min(16, (cosine > 0).sum()) == len(set(found.tolist()))
         assert np.allclose(np.sort(cosine)[::-1][: len(score)], score, atol=1e-5)
         assert np.allclose(cosine[found], score, atol=1e-5)
@@ -181,6 +182,59 @@ def test_toxic_words_are_learned(spark, prose):
     assert set(rows[1]["neighbours"]) <= toxic_ids and len(rows[1]["neighbours"]) == 16 and not rows[3]["neighbours"]
 
 
+@needs_tables
+def test_scores_and_neighbours_over_all_terms_are_those_of_plain_python(spark):
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet").where("doc_id < 1200").select("doc_id", "text")
+    labels = spark.read.parquet(f"{LARGE}/labels.parquet").select("doc_id", "toxic")
+    index = toxicity_neighbours.train(docs, labels)
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower() for r in docs.collect()}
+    known = {r["doc_id"] for r in labels.where("toxic is not null").collect()}
+    examples = index.ids
+    assert set(examples) <= known and len(examples) == len(set(examples))
+    words = {i: re.findall(rb"[a-z0-9\x80-\xff]+", t) for i, t in texts.items()}
+    counts = {}
+    for i, found in words.items():
+        counts[i] = Counter((w, False) for w in found)
+        counts[i].update((w[:n], True) for w in found for n in (4, 5, 6) if len(w) > n)
+    df = Counter(t for c in counts.values() for t in c)
+    chosen = spark.createDataFrame([(texts[i].decode(), int(y)) for i, y in zip(index.ids, index.labels, strict=True)], "text string, y int")
+    told = {h for _, h, _ in toxicity_neighbours.vocabulary(chosen)}
+
+    def hashed(term: tuple[bytes, bool]) -> int:
+        data = np.frombuffer(term[0], np.uint8)
+        h = span_hashes(data, np.array([0]), np.array([len(data)]))
+        return int((mix(h) if term[1] else h).view(np.int64)[0])
+
+    every = {t for i in examples for t in counts[i]}
+    of_label = {t for t in every if hashed(t) in told}
+    assert of_label and len(of_label) < len(every) / 10
+    idf = {t: (np.log(len(texts) / df[t]) + 0.1) * (1 if t in of_label else toxicity_neighbours.PLAIN) for t in every if t in of_label or not t[1]}
+
+    def unit(c: Counter) -> dict:
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in c.items() if t in idf}
+        size = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / size for t, x in w.items()}
+
+    units = {i: unit(counts[i]) for i in texts}
+    label = dict(zip(index.ids, index.labels, strict=True))
+    with_word = 0
+    for r in toxicity_neighbours.score(docs.where("doc_id % 3 = 0"), index).collect():
+        mine = units[r["doc_id"]]
+        cosine = {e: sum(x * units[e].get(t, 0.0) for t, x in mine.items()) for e in examples}
+        best = sorted((x for x in cosine.values() if x > 1e-6), reverse=True)[:16]
+        assert len(r["neighbours"]) == len(best) == len(set(r["neighbours"]))
+        assert np.allclose(r["cosines"], best, atol=3e-5)
+        assert np.allclose([cosine[e] for e in r["neighbours"]], r["cosines"], atol=3e-5)
+        assert not mine or best
+        if best:
+            with_word += 1
+            near = [1 / (1.05 - min(x, 1.0)) for x in r["cosines"]]
+            share = (sum(n * label[e] for n, e in zip(near, r["neighbours"], strict=True)) + 0.5) / (sum(near) + 1)
+            z = index.calibration[0] * math.log(share / (1 - share)) + index.calibration[1]
+            assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-3 and r["predicted"] == int(r["score"] >= 0.5)
+    assert with_word > 300
+
+
 def test_rare_terms_and_terms_of_either_label_are_kept(spark):
     rows = [(f"common{i % 7} " + ("vilword" if 0 < i <= 18 else "") + ("kindword" if i > 3_900 else ""), int(i < 2_000)) for i in range(4_000)]
     words = toxicity_neighbours.vocabulary(spark.createDataFrame(rows, "text string, y int"))
