@@ -93,36 +93,13 @@ def vocabulary(chosen: DataFrame, most: int = TERMS, counted: DataFrame | None =
     return [(r["term"], r["h"], float(np.log((n0 + n1) / r["n"]) + 0.1)) for r in top]
 
 
-def document_frequencies(docs: DataFrame, text_col: str, hashes: np.ndarray) -> np.ndarray:
-    """Rows of ``docs`` that hold each of these terms (distinct hashes, rising)."""
-    shared = docs.sparkSession.sparkContext.broadcast(hashes)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        n = np.zeros(len(known), np.int64)
-        for part in sliced(batches, 0):
-            _, _, _, row, h, _ = terms(part.column(0))
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[at] == h
-            n += np.bincount(np.unique(row[hit] * len(known) + at[hit]) % len(known), minlength=len(known))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["at", "n"])
-
-    out = np.zeros(len(hashes), np.int64)
-    if len(hashes):
-        found = docs.select(text_col).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-        out[found["at"].to_numpy()] = found["n"].to_numpy()
-    shared.unpersist()
-    return out
-
-
 Vector = np.ndarray | list[tuple[int, int]]
 
 
 class Index:
     """Block-max inverted index of the examples; ``vectors`` are (term number, count).
 
-    ``words`` are the terms with a table of all blocks: text, hash, weight. The terms of ``rest`` (hashes and
+    ``words`` are the terms with a table of all blocks: text (empty for words that go with no label), hash, weight. The terms of ``rest`` (hashes and
     weights), numbered behind them, have lists of postings.
     """
 
@@ -238,23 +215,43 @@ class Index:
             self.cache[key] = (1 / (1 + np.exp(-np.clip(z, -30, 30))), [self.ids[i] for i in found], cosine.tolist())
         return [self.cache[key] if key else (self.base, [], []) for key in keys]
 
-    def vectors(self, column: pa.Array) -> list[np.ndarray]:
-        """Term numbers with their counts in each text."""
+    def pairs(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row x number of terms + term, rising, with the count of the term in the text."""
         _, _, _, row, h, n_words = terms(column)
-        held = []
+        held = [np.zeros(0, np.int64)]
         for h, row, (hashes, number) in ((h[:n_words], row[:n_words], (self.hashes, self.number)), (h[n_words:], row[n_words:], self.tables)):
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                 known = hashes[at] == h
                 held.append(row[known] * len(self.hashes) + number[at[known]])
-        if not held:
-            return [np.zeros((0, 2), np.int64)] * len(column)
-        pair, n = np.unique(np.concatenate(held), return_counts=True)
-        at = np.searchsorted(pair, np.arange(len(column) + 1) * len(self.hashes))
-        both = np.stack([pair % len(self.hashes), n], 1)
+        return np.unique(np.concatenate(held), return_counts=True)
+
+    def vectors(self, column: pa.Array) -> list[np.ndarray]:
+        """Term numbers with their counts in each text."""
+        pair, n = self.pairs(column)
+        at = np.searchsorted(pair, np.arange(len(column) + 1) * len(self.hashes)) if len(pair) else np.zeros(len(column) + 1, np.int64)
+        both = np.stack([pair % max(1, len(self.hashes)), n], 1)
         return [both[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def document_frequencies(docs: DataFrame, text_col: str, index: Index) -> np.ndarray:
+    """Rows of ``docs`` that hold each term of an index."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(index), len(index.hashes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for part in sliced(batches, 0):
+            n += np.bincount(shared.value.pairs(part.column(0))[0] % size, minlength=size)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["at", "n"])
+
+    out = np.zeros(size, np.int64)
+    if size:
+        found = docs.select(text_col).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Index | None:
     """Index over the sample and its calibration; None if one of the two labels is missing.
 
@@ -262,25 +259,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     its id, label and counts of its words: all bounded by the sample. Repeated documents of one id are examples of
     their own; empty texts are examples without a term.
     """
+    share = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    if len(share) < 2:
+        return None
     chosen = store(sample_labelled(docs, labels, label, sample), "examples")
     counted = store(presences(chosen), "terms")
     words = vocabulary(chosen, counted=counted)
-    told = {h for _, h, _ in words}
-    plain = counted.where("word").orderBy(F.desc("n"), "h").select("term", "h").collect()
-    plain = [(r["term"], r["h"]) for r in plain if r["h"] not in told]
-    hashes = np.array([*(h for _, h, _ in words), *(h for _, h in plain)], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    n = np.zeros(len(hashes), np.int64)
-    n[order] = document_frequencies(docs, "text", hashes[order])
-    idf = np.log(docs.count() / np.maximum(n, 1)) + 0.1
+    plain = counted.where("word").select("h", "n").toArrow()
+    at = np.lexsort((plain["h"].to_numpy(), -plain["n"].to_numpy()))
+    plain = plain["h"].to_numpy()[at]
+    plain = plain[~np.isin(plain, np.array([h for _, h, _ in words], np.int64))]
+    frequent = plain[: max(0, FREQUENT - len(words))].tolist()
+    tables = [*((t, h) for t, h, _ in words), *(("", h) for h in frequent)]
+    rest = plain[len(frequent) :].view(np.uint64)
+    empty = Index([(t, h, 1.0) for t, h in tables], [], np.zeros(0), [], (rest, np.ones(len(rest))))
+    idf = np.log(docs.count() / np.maximum(document_frequencies(docs, "text", empty), 1)) + 0.1
     idf[len(words) :] *= PLAIN
-    frequent = plain[: max(0, FREQUENT - len(words))]
-    words = [(t, h, float(x)) for (t, h, *_), x in zip([*words, *frequent], idf, strict=False)]
-    rest = hashes[len(words) :], idf[len(words) :]
-    share = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    if len(share) < 2:
-        return None
-    empty = Index(words, [], np.zeros(0), [], rest)
     shared = docs.sparkSession.sparkContext.broadcast(empty)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     if len(set(y.tolist())) < 2:
         return None
     vectors = [np.stack([t.values.to_numpy(), n.values.to_numpy()], 1) for t, n in zip(rows["t"], rows["n"], strict=True)]
-    index = Index(words, ids, y, vectors, rest)
+    index = Index([(t, h, x) for (t, h), x in zip(tables, idf.tolist(), strict=False)], ids, y, vectors, (rest, idf[len(tables) :]))
     # examples are drawn evenly from both labels: weights restore the shares of the labels
     sampled = np.bincount(index.labels.astype(int), minlength=2)
     weight = np.array([share[0], share[1]]) / np.maximum(sampled, 1)
