@@ -30,8 +30,8 @@ PLAIN = 0.05  # weight of a term that goes with neither label
 MIN_DOCS = 8
 BEGINNINGS = (4, 5, 6)  # bytes
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 16, 64, 3
-FREQUENT = 256  # terms with a table, if fewer go with a label; the most frequent words fill up
-GROUP = 128  # texts searched together
+FREQUENT = 2_048  # terms with a table, if fewer go with a label; the most frequent words fill up
+GROUP = 32  # texts searched together
 CACHED = 4_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -114,7 +114,7 @@ class Index:
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order
         self.idf = np.concatenate([np.array([w[2] for w in words], float), rest[1]])
-        vectors = [np.array(v, np.int64).reshape(-1, 2) for v in vectors]
+        vectors = [np.asarray(v, np.int32).reshape(-1, 2) for v in vectors]
         # examples with the same leading term stand together, so that bounds of blocks differ
         lead = [t[self.idf[t].argmax()] if len(t) else len(words) for t in (v[v[:, 0] < len(words), 0] for v in vectors)]
         self.place = place = np.lexsort((np.arange(len(ids)), lead))
@@ -123,15 +123,16 @@ class Index:
         self.blocks = -(-len(ids) // BLOCK) or 1
         # the postings of a term, block by block, and the largest one of each block
         self.posting = np.zeros((self.blocks, len(words), BLOCK), np.float32)
-        of_rest = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))]
+        of_rest = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
         for doc, i in enumerate(place):
             if len(vectors[i]):
                 t, w = self.weights(vectors[i])
                 has_table = t < len(words)
                 self.posting[doc // BLOCK, t[has_table], doc % BLOCK] = w[has_table]
-                rare = t[~has_table] - len(words)
+                rare = (t[~has_table] - len(words)).astype(np.int32)
                 of_rest.append((rare, np.full(len(rare), doc, np.int32), w[~has_table].astype(np.float32)))
         term, doc, weight = (np.concatenate(x) for x in zip(*of_rest, strict=True))
+        del of_rest
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(len(rest[0]) + 1))
@@ -292,6 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     if len(set(y.tolist())) < 2:
         return None
     vectors = [np.stack([t.values.to_numpy(), n.values.to_numpy()], 1) for t, n in zip(rows["t"], rows["n"], strict=True)]
+    del rows
     index = Index([(t, h, x) for (t, h), x in zip(tables, idf.tolist(), strict=False)], ids, y, vectors, (rest, idf[len(tables) :]))
     # examples are drawn evenly from both labels: weights restore the shares of the labels
     sampled = np.bincount(index.labels.astype(int), minlength=2)
