@@ -1,14 +1,15 @@
 """Gradient boosting of trees on histograms: missing values have a bin of their own, leaves grow best first.
 
-Rows keep their bins; a pass over them adds up gradients for each (leaf, feature, bin) in every task and then over
-the tasks, and the driver picks splits from these sums, whose number does not depend on the rows. Gradients are whole
-multiples of 2**-24, so sums are exact and trees do not depend on the partitioning.
+Rows are kept in blocks, one byte for each bin and the bins of a feature side by side; a pass over them adds up
+gradients for each (leaf, feature, bin) in every task and then over the tasks, and the driver picks splits from these
+sums, whose number does not depend on the rows. A pass follows only the rows that reach a wanted node, and splits
+them as lists. Gradients are whole multiples of 2**-24, so sums are exact and trees do not depend on the partitioning.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,8 +30,12 @@ UNIT = float(1 << 24)
 MIN_HESSIAN = 1e-3
 #: A pass over fewer rows than this is not worth a task of its own.
 TASK_ROWS = 100_000
+#: Rows of a block, fewer if they have many features.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 4 << 20
 #: Trees whose sum each pass works out before the scores are written again.
 PENDING = 8
+BLOCK_COLUMNS = ["y", "w", "bins", "margin"]
+BLOCK_SCHEMA = ", ".join(f"{c} binary" for c in BLOCK_COLUMNS)
 
 
 @dataclass
@@ -69,17 +74,26 @@ class Growing:
                 np.array(self.left), np.array(self.right))
 
 
-def node_of(routes: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
+def reached(routes: tuple[np.ndarray, ...], bins: np.ndarray, wanted: Collection[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Nodes without children (or those of ``wanted``) that rows reach, each with its rows. ``bins`` has a line for each feature."""
     feature, at, missing_left, left, right = routes
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    while True:
-        f = feature[node]
-        inner = f != LEAF
-        if not inner.any():
-            return node
-        b = bins[rows, np.maximum(f, 0)]
-        goes_left = np.where(b == MISSING, missing_left[node], b <= at[node])
-        node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
+    needed = feature == LEAF if wanted is None else np.isin(np.arange(len(feature)), list(wanted))
+    needed = needed.copy()
+    for node in range(len(feature) - 1, -1, -1):  # parents come before their children
+        if feature[node] != LEAF:
+            needed[node] |= needed[left[node]] or needed[right[node]]
+    stack: list[tuple[int, np.ndarray]] = [(0, np.arange(bins.shape[1]))]
+    while stack:
+        node, rows = stack.pop()
+        if not needed[node] or not len(rows):
+            continue
+        if feature[node] == LEAF:
+            yield node, rows
+            continue
+        side = np.arange(MISSING + 1) <= at[node]
+        side[MISSING] = missing_left[node]
+        goes_left = side[bins[feature[node]][rows]]
+        stack += [(int(right[node]), rows[~goes_left]), (int(left[node]), rows[goes_left])]
 
 
 def bin_edges(values: DataFrame, width: int, max_bins: int = MAX_BINS) -> list[np.ndarray]:
@@ -94,55 +108,74 @@ def bin_edges(values: DataFrame, width: int, max_bins: int = MAX_BINS) -> list[n
     return [np.unique(np.array(e or [], float)) for e in row]
 
 
-def binned_rows(values: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """y, w and one byte for each feature."""
+def binned_rows(values: DataFrame, edges: list[np.ndarray], base: float) -> DataFrame:
+    """Blocks of rows: y, w, margin as doubles and one byte for each feature, feature after feature."""
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // max(1, len(edges))))
+
+    def block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        y, w = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        bins = np.concatenate([h[2] for h in held], axis=1)
+        columns = [y.tobytes(), w.tobytes(), bins.tobytes(), np.full(len(y), base).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], BLOCK_COLUMNS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        held, size = [], 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, most):
+                batch = whole.slice(start, most)
+                if held and size + batch.num_rows > most:
+                    yield block(held)
+                    held, size = [], 0
                 x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(edges))
-                bins = np.empty(x.shape, np.uint8)
+                bins = np.empty((len(edges), batch.num_rows), np.uint8)
                 for j, e in enumerate(edges):
-                    bins[:, j] = np.where(np.isnan(x[:, j]), MISSING, np.searchsorted(e, x[:, j], "left"))
-                packed = pa.array([r.tobytes() for r in bins], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["y", "w", "bins"])
+                    bins[j] = np.where(np.isnan(x[:, j]), MISSING, np.searchsorted(e, x[:, j], "left"))
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), bins))
+                size += batch.num_rows
+        if held:
+            yield block(held)
 
-    return values.mapInArrow(cut, "y double, w double, bins binary")
+    return values.mapInArrow(cut, BLOCK_SCHEMA)
 
 
-def _unpacked(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
-    y, w, margin = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("y", "w", "margin"))
-    column = batch.column(batch.schema.names.index("bins"))
-    bins = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(batch.num_rows, width)
-    return y, w, margin, bins
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """y, w, margin and the bins of every block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            y, w, bins, margin = (batch.column(c)[i].as_buffer() for c in BLOCK_COLUMNS)
+            y, w, margin = (np.frombuffer(c, np.float64) for c in (y, w, margin))
+            yield y, w, margin, np.frombuffer(bins, np.uint8).reshape(width, len(y))
 
 
 def _margins(margin: np.ndarray, bins: np.ndarray, pending: list[tuple[tuple, np.ndarray]]) -> np.ndarray:
+    margin = margin.copy()
     for routes, value in pending:
-        margin = margin + value[node_of(routes, bins)]
+        for node, rows in reached(routes, bins):
+            margin[rows] += value[node]
     return margin
 
 
 def histograms(rows: DataFrame, width: int, pending: list, routes: tuple, wanted: list[int]) -> dict[int, np.ndarray]:
     """Sums of gradient, second derivative and rows by (feature, bin) of the wanted nodes, as whole numbers."""
-    place = np.full(len(routes[0]), -1)
-    place[wanted] = np.arange(len(wanted))
-    size = 256 * width
+    place = {node: i for i, node in enumerate(wanted)}
+    size = 256 * len(wanted)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, len(wanted) * size))
-        for batch in batches:
-            if not batch.num_rows:
+        total = np.zeros((3, width, size))
+        for y, w, margin, bins in _blocks(batches, width):
+            parts = list(reached(routes, bins, wanted))
+            if not parts:
                 continue
-            y, w, margin, bins = _unpacked(batch, width)
-            at = place[node_of(routes, bins)]
-            y, w, margin, bins, at = (a[at >= 0] for a in (y, w, margin, bins, at))
-            p = 1.0 / (1.0 + np.exp(-_margins(margin, bins, pending)))
+            held = np.concatenate([r for _, r in parts])
+            at = np.repeat([256 * place[n] for n, _ in parts], [len(r) for _, r in parts])
+            y, w, bins = y[held], w[held], bins[:, held]
+            p = 1.0 / (1.0 + np.exp(-_margins(margin[held], bins, pending)))
             g, h = np.rint(w * (p - y) * UNIT), np.rint(w * p * (1 - p) * UNIT)
             for j in range(width):
-                slot = at * size + 256 * j + bins[:, j]
+                slot = at + bins[j]
                 for k, v in enumerate((g, h, None)):
-                    total[k] += np.bincount(slot, v, len(wanted) * size)
+                    total[k, j] += np.bincount(slot, v, size)
+        total = total.reshape(3, -1)
         held = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays(
             [pa.array(held)] + [pa.array(t[held].astype(np.int64)) for t in total], ["slot", "g", "h", "n"]
@@ -150,10 +183,10 @@ def histograms(rows: DataFrame, width: int, pending: list, routes: tuple, wanted
 
     summed = rows.mapInArrow(add, "slot long, g long, h long, n long").groupBy("slot").agg(*[F.sum(c).alias(c) for c in "ghn"])
     got = summed.toArrow()
-    out = np.zeros((3, len(wanted) * size), np.int64)
+    out = np.zeros((3, width * size), np.int64)
     for k, c in enumerate("ghn"):
         out[k, got["slot"].to_numpy()] = got[c].to_numpy()
-    out = out.reshape(3, len(wanted), width, 256).transpose(1, 2, 3, 0)
+    out = out.reshape(3, width, len(wanted), 256).transpose(2, 1, 3, 0)
     return {node: out[i] for i, node in enumerate(wanted)}
 
 
@@ -279,7 +312,7 @@ class HistogramBoosting(Estimator):
             return TreeModel.of([], share, "mean")
         base = float(np.log(share / (1 - share)))
         edges = bin_edges(values, width)
-        rows = binned_rows(values, edges).withColumn("margin", F.lit(base)).coalesce(-(-n // TASK_ROWS)).checkpoint()
+        rows = binned_rows(values, edges, base).coalesce(-(-n // TASK_ROWS)).checkpoint()
         trees: list[Tree] = []
         pending: list = []
         for _ in range(self.max_iter):
@@ -300,9 +333,8 @@ def _with_margins(rows: DataFrame, width: int, pending: list) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                _, _, margin, bins = _unpacked(batch, width)
-                at = batch.schema.names.index("margin")
-                yield batch.set_column(at, "margin", pa.array(_margins(margin, bins, pending)))
+            at = batch.schema.names.index("margin")
+            sums = [_margins(margin, bins, pending).tobytes() for _, _, margin, bins in _blocks(iter([batch]), width)]
+            yield batch.set_column(at, "margin", pa.array(sums, pa.binary()))
 
-    return rows.mapInArrow(add, "y double, w double, bins binary, margin double")
+    return rows.mapInArrow(add, BLOCK_SCHEMA)
