@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from starloom.functions import missing_flag, stable_hash
 from starloom.operators.boosting import HistogramBoosting
 from starloom.operators.metrics import METRIC_NAMES, compute_metrics, ranking_metrics
+from starloom.operators.networks import MAX_TASKS, TASK_ROWS, blocks_of, minimised, objective
 from starloom.operators.trees import Tree, TreeModel, forest_model, forest_trees, pruned
 
 # Model seed, grids and network layout.
@@ -62,7 +64,7 @@ UNLIMITED_FOREST_DEPTH = 30
 #: Fitted models that are held to be scored by the same jobs.
 SCORED_TOGETHER = 64
 
-LABEL, WEIGHT, VECTOR = "label", "weight", "features"
+LABEL, WEIGHT, VECTOR, COPIES = "label", "weight", "features", "__copies"
 
 
 def prepared(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -316,21 +318,30 @@ def soft_vote(models: dict[str, PipelineModel], df: DataFrame, name: str = "scor
     return out.select(*df.columns, mean.alias(name))
 
 
-def oversampled(df: DataFrame, key: Sequence[str], seed: int = MODEL_SEED) -> DataFrame:
-    """Repeat rows of the smaller class so that both classes weigh the same.
+def with_copies(df: DataFrame, key: Sequence[str], seed: int = MODEL_SEED) -> DataFrame:
+    """How often each row counts so that both classes weigh the same, as ``COPIES``.
 
-    The network has no instance weights. A row of the smaller class appears floor(ratio) times, plus
+    The network has no instance weights. A row of the smaller class counts floor(ratio) times, plus
     once more where the hash of its key falls below the fractional part; no row is dropped.
     """
     sizes = class_sizes(df)
     if len(sizes) < 2:
-        return df
+        return df.withColumn(COPIES, F.lit(1))
     small = min(sizes, key=lambda k: sizes[k])
     ratio = max(sizes.values()) / sizes[small]
     draw = F.conv(F.substring(stable_hash(seed, *key), 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
     copies = F.lit(int(ratio)) + (draw < F.lit(ratio - int(ratio))).cast("int")
-    times = F.when(F.col(LABEL) == small, copies).otherwise(F.lit(1))
-    return df.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).drop("__copy")
+    return df.withColumn(COPIES, F.when(F.col(LABEL) == small, copies).otherwise(F.lit(1)))
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """Every row as often as it counts."""
+    return df.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).drop(COPIES)
+
+
+def oversampled(df: DataFrame, key: Sequence[str], seed: int = MODEL_SEED) -> DataFrame:
+    """Repeat rows of the smaller class so that both classes weigh the same."""
+    return repeated(with_copies(df, key, seed))
 
 
 def network_inputs(
@@ -363,17 +374,39 @@ def log_loss(model: Model, df: DataFrame) -> float:
     return ((row["pos"] or 0.0) * weight + (row["neg"] or 0.0)) / total if total else float("inf")
 
 
-def resumed(vectors: DataFrame, width: int, iterations: int, weights: DenseVector | None) -> Model:
-    """The network after further iterations from these weights, or from its seeded ones."""
-    step = network(width, iterations)
-    return (step.setInitialWeights(weights) if weights is not None else step).fit(vectors)
+@contextmanager
+def network_blocks(train: DataFrame, columns: Sequence[str]) -> Iterator[tuple[PipelineModel, DataFrame]]:
+    """The preparation fitted on all copies, and the cached blocks of its rows, each row once."""
+    prep = Pipeline(stages=imputing_stages(columns, scale=True)).fit(repeated(train))
+    vectors = prep.transform(train).select(LABEL, COPIES, VECTOR)
+    tasks = min(MAX_TASKS, -(-train.count() // TASK_ROWS))
+    blocks = blocks_of(vectors, LABEL, VECTOR, COPIES).coalesce(max(1, tasks)).persist()
+    try:
+        yield prep, blocks
+    finally:
+        blocks.unpersist()
+
+
+def network_of(spark: SparkSession, width: int, weights: np.ndarray | None = None) -> Model:
+    """The network of these weights, or of its seeded ones, before any iteration."""
+    rows = [(float(i), DenseVector([0.0] * width)) for i in (0, 1)]
+    step = network(width, 0)
+    step = step if weights is None else step.setInitialWeights(DenseVector(weights))
+    return step.fit(spark.createDataFrame(rows, [LABEL, VECTOR]))
+
+
+def resumed(blocks: DataFrame, width: int, iterations: int, model: Model | None) -> Model:
+    """The network after further iterations from this one, or from its seeded weights."""
+    model = model or network_of(blocks.sparkSession, width)
+    sizes = [width, *HIDDEN_LAYERS, 2]
+    return network_of(blocks.sparkSession, width, minimised(objective(blocks, sizes), model.weights.toArray(), iterations))
 
 
-def fit_network(vectors: DataFrame, width: int, iterations: int, every: int) -> Model:
+def fit_network(blocks: DataFrame, width: int, iterations: int, every: int) -> Model:
     """A network of this many iterations, resumed as often as in the search for their number."""
     model = None
     for done in range(0, iterations, every):
-        model = resumed(vectors, width, min(every, iterations - done), model.weights if model else None)
+        model = resumed(blocks, width, min(every, iterations - done), model)
     return model
 
 
@@ -394,23 +427,23 @@ def train_network(
     """
     mask = NETWORKS[name]
     view = lambda df: network_inputs(df, features, nullable, mask)
-    train, columns = view(oversampled(roles.train, key))
+    train, columns = view(with_copies(roles.train, key))
     history: list[tuple[dict, float]] = []
-    with prepared_vectors(train, columns, scale=True) as (prep, vectors):
+    with network_blocks(train, columns) as (prep, blocks):
         val = prep.transform(view(roles.val)[0]).select(LABEL, VECTOR).persist()
         model, best = None, 0
         try:
             while len(history) * every < max_iterations and len(history) - best <= patience:
                 done = len(history) * every
-                model = resumed(vectors, len(columns), min(every, max_iterations - done), model.weights if model else None)
+                model = resumed(blocks, len(columns), min(every, max_iterations - done), model)
                 history.append(({"iterations": min(done + every, max_iterations)}, log_loss(model, val)))
                 if history[-1][1] < history[best][1]:
                     best = len(history) - 1
         finally:
             val.unpersist()
     chosen = history[best][0]
-    with prepared_vectors(view(oversampled(roles.trainval, key))[0], columns, scale=True) as (prep, vectors):
-        model = PipelineModel([*prep.stages, fit_network(vectors, len(columns), chosen["iterations"], every)])
+    with network_blocks(view(with_copies(roles.trainval, key))[0], columns) as (prep, blocks):
+        model = PipelineModel([*prep.stages, fit_network(blocks, len(columns), chosen["iterations"], every)])
     return Fitted(name, model, {**chosen, "use_mask": mask, "input_dim": len(columns)}, history)
 
 
