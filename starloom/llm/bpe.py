@@ -15,7 +15,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
-CACHED_PIECES = 1_000_000
+#: Pieces that a worker keeps; beyond them it forgets those that were rarely met.
+CACHED_PIECES = 600_000
 END_ID = 2
 _CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
@@ -64,18 +65,43 @@ class CachedBpe:
         self.words: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.used, self.count = 0, 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.sizes, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
         if self.end_id is not None:
             self._keep(np.array([self.end_id], np.uint32), np.array([1]))
 
+    def forget(self) -> None:
+        """Drops the pieces that were met least: all below the least count that leaves a third of the places."""
+        met = self.met[: self.count]
+        least = 2
+        while np.count_nonzero(met >= least) > self.cached // 3:
+            least *= 2
+        kept = np.flatnonzero(met >= least)
+        kept = kept if self.end_id is None else kept[kept > 0]
+        tables = [self.inner, self.whole, self.words]
+        if not len(kept):
+            self.reset()
+            return
+        ids, ends = self._expand(kept)
+        again = np.full(self.count, _NEW)
+        first = 0 if self.end_id is None else 1  # the end id has number 0 in any case
+        again[kept] = np.arange(len(kept)) + first
+        number = again.tolist()
+        met = met[kept] // 2
+        self.reset()
+        self.met[first : first + len(kept)] = 0
+        self._keep(ids, np.diff(ends, prepend=0))
+        self.met[first : self.count] = met
+        self.inner, self.whole, self.words = (
+            {p: number[n] for p, n in t.items() if n >= 0 and number[n] >= 0} for t in tables
+        )
+
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Numbers of new pieces with these ids."""
         first, total = self.count, len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(sizes) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.starts, self.sizes, self.met = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes, self.met))
         self.flat[self.used : self.used + total] = ids
         self.sizes[first : first + len(sizes)] = sizes
         self.starts[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
@@ -169,12 +195,13 @@ class CachedBpe:
                     missing = clean
             table.update(zip(missing, self._encode(missing, behind_blank).tolist(), strict=True))
             got[new] = [table[parts[i]] for i in new]
+        self.met[: self.count] += np.bincount(got[got >= 0], minlength=self.count)
         return got
 
     def pieces(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the cached pieces of all texts in a row, each text with its end id, and its bounds."""
         if self.count > self.cached:
-            self.reset()
+            self.forget()
         parts = [self._parts(t or "") for t in texts]
         size = np.array([len(p) if p else 0 for p in parts], np.int64)
         flat = self._lookup(self.inner, list(chain.from_iterable(p for p in parts if p)))
