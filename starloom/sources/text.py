@@ -173,23 +173,22 @@ def read_matches(spark: SparkSession, files: dict[str, str], id_column: str = "s
         )
         .where(~F.col("value").startswith("#") & F.col("value").rlike(r"\S"))
         .withColumn("__child", F.col("value").startswith("  "))
-        .withColumn("__t", F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"))
     )
-    token = lambda i, kind: strict(F.get(F.col("__t"), F.lit(i)), kind, f"token {i}")
+    # what is sorted is narrow: the id of the file and not its path, numbers of parents, and the text of children only
+    lines = tag_by_path(lines, files, "__path", id_column)
+    tokens = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
+    token = lambda i, kind: strict(F.get(tokens, F.lit(i)), kind, f"token {i}")
     parent = ~F.col("__child")
+    lines = lines.withColumns({
+        "wdm_halo_id": F.when(parent, token(0, "bigint")),
+        "wdm_npart": F.when(parent, token(1, "bigint")),
+        "value": F.when(F.col("__child"), F.col("value")),
+    })
     filled = forward_fill(
-        lines,
-        {
-            "wdm_halo_id": F.when(parent, token(0, "bigint")),
-            "wdm_npart": F.when(parent, token(1, "bigint")),
-        },
-        parent,
-        ["__path"],
-        ["__line"],
-        ["__block"],
+        lines, {c: F.col(c) for c in ("wdm_halo_id", "wdm_npart")}, parent, [id_column], ["__line"], ["__block"]
     )
-    rows = filled.where(F.col("__child") & F.col("wdm_halo_id").isNotNull()).select(
-        "__path",
+    return filled.where(F.col("__child") & F.col("wdm_halo_id").isNotNull()).select(
+        id_column,
         "wdm_halo_id",
         "wdm_npart",
         token(1, "bigint").alias("cdm_halo_id"),
@@ -197,4 +196,3 @@ def read_matches(spark: SparkSession, files: dict[str, str], id_column: str = "s
         token(0, "bigint").alias("n_shared"),
         token(3, "double").alias("merit"),
     )
-    return tag_by_path(rows, files, "__path", id_column)
