@@ -20,13 +20,15 @@ CACHED_PIECES = 600_000
 END_ID = 2
 _CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
-_WORD_AND_MARKS = re.compile(f"({_LETTERS})([.,!?;:|*&%$#]*)").fullmatch
+_WORD = re.compile(_LETTERS).fullmatch
+_MARKS = ".,!?;:|*&%$#"
 BLANK = "\u0120"  # how byte-level files write a blank
 #: Byte-level files write bytes as letters; those of the letters above (ASCII stands for itself).
 _BYTES = {
-    c: "".join(chr(b if 0xA1 <= b != 0xAD else 0x100 + b - 0x7F + 33 if b < 0xA1 else 0x143) for b in chr(c).encode())
+    chr(c): "".join(chr(b if 0xA1 <= b != 0xAD else 0x100 + b - 0x7F + 33 if b < 0xA1 else 0x143) for b in chr(c).encode())
     for c in range(0xC0, 0x100)
 }
+_LEAD = "\u00C3"  # the letter that begins all of these, and one of them itself
 _UNCLEAN, _NEW = -1, -2
 _loaded: dict[tuple, CachedBpe] = {}
 
@@ -126,8 +128,12 @@ class CachedBpe:
     def _joined(self, words: list[str]) -> np.ndarray:
         """As ``_batch`` for words of letters, in one call of the bare model: it works on the letters that
         stand for bytes, and its tokens show where a word ends (or begins, with its blank)."""
-        letters = [w if w.isascii() else w.translate(_BYTES) for w in words]
-        text = " ".join(letters) if self.drops_space else BLANK + (" " + BLANK).join(letters)
+        text = " ".join(words)
+        if not text.isascii():
+            for c in sorted(set(text).intersection(_BYTES), key=lambda c: c != _LEAD):
+                text = text.replace(c, _BYTES[c])
+        if not self.drops_space:
+            text = BLANK + text.replace(" ", " " + BLANK)
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         mark = np.flatnonzero(self.edge[ids])
         if len(mark) != len(words):
@@ -137,34 +143,35 @@ class CachedBpe:
     def _encode(self, pieces: list[str], behind_blank: bool = False) -> np.ndarray:
         """Pieces of a word and closing marks share the ids of the word: marks begin a new token. Plain words
         are kept without the blank that belongs to them in files of the second kind."""
-        words, plain, other, heads, tails = self.words, {}, {}, [], []
+        words, plain, other, heads, tails, marked = self.words, {}, {}, [], [], []
         alike = behind_blank or self.drops_space
         for p in pieces:
-            m = _WORD_AND_MARKS(p) if alike else None
-            if m:
-                head, tail = m.groups()
+            head = p.rstrip(_MARKS) if alike else ""
+            if head.isalpha() if head.isascii() else _WORD(head):
+                if head is not p and len(head) < len(p):
+                    tail = p[len(head) :]
+                    marked.append(len(heads))
+                    tails.append(tail)
+                    if tail not in words:
+                        other[tail] = None
                 if self.drops_space:  # this kind of file lowers letters as well
                     head = head.lower()
                 if head not in words:
                     plain[head] = None
-                if tail and tail not in words:
-                    other[tail] = None
             else:
-                head, tail = " " + p if behind_blank and p[0] != "\n" else p, ""
+                head = " " + p if behind_blank and p[0] != "\n" else p
                 head = "\0" + head  # a word behind a blank has the same letters and other ids
                 if head not in words:
                     other[head] = None
             heads.append(head)
-            tails.append(tail)
         if plain:
             words.update(zip(plain, self._joined(list(plain)).tolist(), strict=True))
         if other:
             texts = [k[1:] if k[0] == "\0" else k for k in other]
             words.update(zip(other, self._batch(texts).tolist(), strict=True))
-        number = np.array([words[h] for h in heads], np.int64)
-        marked = np.array([i for i, t in enumerate(tails) if t], np.int64)
-        if len(marked):
-            pairs = np.stack([number[marked], np.array([words[t] for t in tails if t], np.int64)], 1)
+        number = np.fromiter(map(words.__getitem__, heads), np.int64, len(heads))
+        if marked:
+            pairs = np.stack([number[marked], np.fromiter(map(words.__getitem__, tails), np.int64, len(tails))], 1)
             ids, ends = self._expand(pairs.ravel())
             number[marked] = self._keep(ids, np.diff(ends[1::2], prepend=0))
         return number
@@ -186,7 +193,7 @@ class CachedBpe:
         got = np.fromiter(map(table.get, parts, repeat(_NEW)), np.int64, len(parts))
         new = np.flatnonzero(got == _NEW).tolist()
         if new:
-            missing = list(dict.fromkeys([parts[i] for i in new]))
+            missing = list(dict.fromkeys(map(parts.__getitem__, new)))
             behind_blank = table is self.inner and not self.drops_space
             if behind_blank:
                 clean = [p for p in missing if p and not p[-1].isspace()]
@@ -194,7 +201,7 @@ class CachedBpe:
                     table.update((p, _UNCLEAN) for p in missing if not p or p[-1].isspace())
                     missing = clean
             table.update(zip(missing, self._encode(missing, behind_blank).tolist(), strict=True))
-            got[new] = [table[parts[i]] for i in new]
+            got[new] = np.fromiter(map(table.__getitem__, map(parts.__getitem__, new)), np.int64, len(new))
         self.met[: self.count] += np.bincount(got[got >= 0], minlength=self.count)
         return got
 

@@ -46,8 +46,13 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     width = int(code.max()) + 1 if len(code) else 1  # the vocabulary bounds it: two bytes as a rule
-    used = np.arange(width, dtype=np.uint8)[None, :] <= code[:, None]
-    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width][used]
+    if width <= 2:  # flat bytes of two each, without the upper ones that are not needed
+        used = np.ones(2 * len(ranks), bool)
+        used[1::2] = code
+        data = ranks.astype("<u2").view(np.uint8)[used]
+    else:
+        used = np.arange(width, dtype=np.uint8)[None, :] <= code[:, None]
+        data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width][used]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
