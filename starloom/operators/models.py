@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from starloom.functions import missing_flag, stable_hash
 from starloom.operators.boosting import HistogramBoosting
 from starloom.operators.metrics import METRIC_NAMES, compute_metrics, ranking_metrics
-from starloom.operators.networks import MAX_TASKS, TASK_ROWS, blocks_of, minimised, objective
+from starloom.operators.networks import MAX_TASKS, TASK_ROWS, Evaluate, blocks_of, minimised, objective
 from starloom.operators.trees import Tree, TreeModel, forest_model, forest_trees, pruned
 
 # Model seed, grids and network layout.
@@ -379,14 +379,21 @@ def network_blocks(train: DataFrame, columns: Sequence[str]) -> Iterator[tuple[P
     """The preparation fitted on all copies, and the cached blocks of its rows, each row once."""
     prep = Pipeline(stages=imputing_stages(columns, scale=True)).fit(repeated(train))
     vectors = prep.transform(train).select(LABEL, COPIES, VECTOR)
-    tasks = min(MAX_TASKS, -(-train.count() // TASK_ROWS))
-    blocks = blocks_of(vectors, LABEL, VECTOR, COPIES).coalesce(max(1, tasks)).persist()
+    held = train.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.count("*")).first()
+    blocks = blocks_of(vectors, LABEL, VECTOR, COPIES).coalesce(even_tasks(held[0] or 0, held[1])).persist()
     try:
         yield prep, blocks
     finally:
         blocks.unpersist()
 
 
+def even_tasks(rows: int, partitions: int) -> int:
+    """Tasks with equally many partitions each (but the last), of ``TASK_ROWS`` rows or less if there are enough partitions."""
+    wanted = max(1, min(MAX_TASKS, -(-rows // TASK_ROWS)))
+    each = max(1, partitions // wanted, -(-partitions // MAX_TASKS))
+    return max(1, -(-partitions // each))
+
+
 def network_of(spark: SparkSession, width: int, weights: np.ndarray | None = None) -> Model:
     """The network of these weights, or of its seeded ones, before any iteration."""
     rows = [(float(i), DenseVector([0.0] * width)) for i in (0, 1)]
@@ -395,18 +402,25 @@ def network_of(spark: SparkSession, width: int, weights: np.ndarray | None = Non
     return step.fit(spark.createDataFrame(rows, [LABEL, VECTOR]))
 
 
-def resumed(blocks: DataFrame, width: int, iterations: int, model: Model | None) -> Model:
-    """The network after further iterations from this one, or from its seeded weights."""
+def network_objective(blocks: DataFrame, width: int) -> Evaluate:
+    return objective(blocks, [width, *HIDDEN_LAYERS, 2])
+
+
+def resumed(blocks: DataFrame, width: int, iterations: int, model: Model | None, evaluate: Evaluate | None = None) -> Model:
+    """The network after further iterations from this one, or from its seeded weights.
+
+    With the ``evaluate`` of the fit so far, the point where that fit ended is not worked out again.
+    """
     model = model or network_of(blocks.sparkSession, width)
-    sizes = [width, *HIDDEN_LAYERS, 2]
-    return network_of(blocks.sparkSession, width, minimised(objective(blocks, sizes), model.weights.toArray(), iterations))
+    evaluate = evaluate or network_objective(blocks, width)
+    return network_of(blocks.sparkSession, width, minimised(evaluate, model.weights.toArray(), iterations))
 
 
 def fit_network(blocks: DataFrame, width: int, iterations: int, every: int) -> Model:
     """A network of this many iterations, resumed as often as in the search for their number."""
-    model = None
+    model, evaluate = None, network_objective(blocks, width)
     for done in range(0, iterations, every):
-        model = resumed(blocks, width, min(every, iterations - done), model)
+        model = resumed(blocks, width, min(every, iterations - done), model, evaluate)
     return model
 
 
@@ -431,11 +445,11 @@ def train_network(
     history: list[tuple[dict, float]] = []
     with network_blocks(train, columns) as (prep, blocks):
         val = prep.transform(view(roles.val)[0]).select(LABEL, VECTOR).persist()
-        model, best = None, 0
+        model, best, evaluate = None, 0, network_objective(blocks, len(columns))
         try:
             while len(history) * every < max_iterations and len(history) - best <= patience:
                 done = len(history) * every
-                model = resumed(blocks, len(columns), min(every, max_iterations - done), model)
+                model = resumed(blocks, len(columns), min(every, max_iterations - done), model, evaluate)
                 history.append(({"iterations": min(done + every, max_iterations)}, log_loss(model, val)))
                 if history[-1][1] < history[best][1]:
                     best = len(history) - 1

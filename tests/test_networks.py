@@ -56,3 +56,28 @@ def test_a_row_with_copies_is_worked_on_once(train, monkeypatch):
         assert sum(np.frombuffer(bytes(r["c"])).sum() for r in held) == n > 640
         mean = L.oversampled(train, ["id"]).agg(F.avg("a"), F.stddev("a")).first()
         assert (prep.stages[-1].mean[0], prep.stages[-1].std[0]) == pytest.approx(tuple(mean))
+
+
+def test_a_resumed_fit_works_no_point_out_twice(train, monkeypatch):
+    blocks = N.blocks_of(train.withColumn(L.COPIES, F.lit(1)), "label", "features", L.COPIES).cache()
+    apart = None
+    for _ in range(2):
+        apart = L.resumed(blocks, 2, 3, apart)
+    asked, jobs = [], []
+    objective = L.objective
+
+    def counted(*args):
+        evaluate = objective(*args)
+        return lambda w: asked.append(w.copy()) or evaluate(w)
+
+    collect = type(blocks).collect
+    monkeypatch.setattr(L, "objective", counted)
+    monkeypatch.setattr(type(blocks), "collect", lambda df: jobs.append(df.columns) or collect(df))
+    together = L.fit_network(blocks, 2, 6, 3)
+    assert together.weights.toArray().tolist() == apart.weights.toArray().tolist()
+    assert jobs.count(["part", "loss", "n", "gradient"]) == len(asked) - 1  # as many as asked before
+
+
+@pytest.mark.parametrize("rows, partitions, tasks", [(1_790_000, 24, 24), (10_700_000, 200, 200), (250_000, 24, 3), (10**9, 5000, 1000), (0, 0, 1)])
+def test_tasks_hold_equally_many_partitions(rows, partitions, tasks):
+    assert L.even_tasks(rows, partitions) == tasks  # 18 of 24 before: some held two, the others one
