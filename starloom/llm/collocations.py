@@ -2,8 +2,8 @@
 
 Every word position is a pointer to the phrase that begins there. Two counting passes abandon early what cannot
 be frequent: words below the least count, then leading word pairs. What is left, cut before the first pair that
-is not frequent, is routed by its leading words: by the first one, or, while words are so frequent that their
-group would be large, by as many as are needed to reach a word that is not; phrases of frequent words only are
+is not frequent, is routed by its leading words: by the first two, or, while pairs are so frequent that their
+group would be large, by as many as are needed to reach a pair that is not; phrases of such pairs only are
 routed whole. A task sorts the pointers it gets by three-way partitions of the first word, of the second word
 inside the equal part, and so on to the longest phrase; the size of an equal part is the count of its phrase,
 and parts below the least count are abandoned.
@@ -28,8 +28,10 @@ from starloom.llm.decontaminate import bit_filter, passes
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2_000
-#: A word leads a group of its own up to this many occurrences, or one of 2**20 of all words if that is more; beyond
-#: that the next word splits the group. So at most 2**20 words are known to every task, 8 MB at any size.
+#: A pair leads a group of its own up to this many occurrences, or one of 2**20 of all words if that is more; beyond
+#: that the next word splits the group. So at most 2**20 pairs, and words to salt, are known to every task, 8 MB each
+#: at any size. Pairs and not words, as common words lead most positions of a large table: a position gives one row
+#: for each hot start, and far fewer pairs are hot.
 GROUP_ROWS = 1 << 15
 GROUP_SHARE = 20
 #: Bits of the filters of frequent words and pairs, 2 MB and 8 MB at any size; more words or pairs raise the share of
@@ -128,43 +130,45 @@ def _route(depth: np.ndarray, suffix: np.ndarray) -> np.ndarray:
 
 
 def pointers(texts: DataFrame, words: object, pairs: object, hot: object, longest: int) -> DataFrame:
-    """Phrases to count: route, depth (words that they are routed by), w1 to w5 (0 where they end), c."""
+    """Phrases to count: route, depth (words that they are routed by), w1 to w5 (0 where they end), c. ``hot`` are pairs."""
     names = [f"w{j + 1}" for j in range(longest)]
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         held, size = [], 0
         for part in sliced(batches):
             word, _, follows, _ = words_of(part)
             if len(word):
-                known = passes(words.value, word, WORD_BITS)
-                follows[:-1] &= known[:-1] & known[1:] & passes(pairs.value, _pairs(word), PAIR_BITS)
-                held.append((word, follows))
+                known, pair = passes(words.value, word, WORD_BITS), _pairs(word)
+                follows[:-1] &= known[:-1] & known[1:] & passes(pairs.value, pair, PAIR_BITS)
+                is_hot = np.zeros(len(word), bool)
+                begin = np.flatnonzero(follows)
+                is_hot[begin] = _among(pair[begin], hot.value)
+                held.append((word, follows, is_hot))
                 size += part.column(1).nbytes
             if size >= GATHER_BYTES:
-                yield np.concatenate([w for w, _ in held]), np.concatenate([f for _, f in held])
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
                 held, size = [], 0
         if held:
-            yield np.concatenate([w for w, _ in held]), np.concatenate([f for _, f in held])
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for word, follows in gathered(batches):
+        for word, follows, is_hot in gathered(batches):
             begin = np.flatnonzero(follows)
             if not len(begin):
                 continue
-            is_hot = _among(word, hot.value)
             suffix = np.zeros((len(begin), longest), np.uint64)
             suffix[:, 0] = word[begin]
             goes = np.ones(len(begin), bool)
-            leading = is_hot[begin]  # whether all words so far are hot
-            depth = np.where(leading, 0, 1)
+            leading = goes.copy()  # whether all pairs so far are hot
+            depth = np.zeros(len(begin), np.int64)
             whole = []
             for j in range(1, longest):
-                goes &= follows[np.minimum(begin + j - 1, len(word) - 1)]
-                at = np.where(goes, begin + j, 0)
-                suffix[:, j] = np.where(goes, word[at], 0)
+                last = np.minimum(begin + j - 1, len(word) - 1)
+                goes &= follows[last]
+                suffix[:, j] = np.where(goes, word[np.where(goes, begin + j, 0)], 0)
                 leading &= goes
-                depth[leading & ~is_hot[at]] = j + 1
-                leading &= is_hot[at]
+                depth[leading & ~is_hot[last]] = j + 1
+                leading &= is_hot[last]
                 own = suffix[leading].copy()
                 own[:, j + 1 :] = 0
                 whole.append((own, np.full(len(own), j + 1)))
@@ -335,9 +339,11 @@ def collocations(
     ids = words.where(F.col("f") > limit).select("id").toArrow()["id"].to_numpy()
     hot = sc.broadcast(np.sort(ids.view(np.uint64)))
     word_filter = sc.broadcast(bit_filter(words.select(F.col("id").alias("h")), WORD_BITS))
-    frequent = store(count_pairs(texts, word_filter).where(F.col("c") >= min_count).select("h"), "pairs")
+    frequent = store(count_pairs(texts, word_filter).where(F.col("c") >= min_count), "pairs")
     pair_filter = sc.broadcast(bit_filter(frequent, PAIR_BITS))
-    routed = pointers(texts, word_filter, pair_filter, hot, longest)
+    ids = frequent.where(F.col("c") > limit).select("h").toArrow()["h"].to_numpy()
+    hot_pairs = sc.broadcast(np.sort(ids.view(np.uint64)))
+    routed = pointers(texts, word_filter, pair_filter, hot_pairs, longest)
     routed = routed.repartition(partitions(spark), "route").sortWithinPartitions("route")
     phrases = store(sort_pointers(routed, hot, min_count, longest), "phrases")
     scored = store(score_phrases(phrases, words, totals, limit, longest), "scored")

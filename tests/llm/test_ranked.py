@@ -54,6 +54,23 @@ def test_phrases_are_those_of_all_ngrams(spark, prose, group_rows):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 40
 
 
+def test_a_position_of_common_words_gives_one_pointer(spark, monkeypatch):
+    draw, seen = np.random.default_rng(5), []
+    text = " ".join("abcdefghijkl"[i] for i in draw.integers(0, 12, 3000))
+    point = collocations.pointers
+
+    def kept(*args):
+        seen.append(point(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(collocations, "pointers", kept)
+    frame = spark.createDataFrame([("a", text)], "lang string, text string").coalesce(1)
+    got = collocations.collocations(frame, 4, 5, 10_000, group_rows=60)  # every word is above 60, no pair is
+    want = phrases_of([("a", text)], 4, 5, 10_000)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+    assert seen[0].count() < 3000
+
+
 def test_phrases_of_odd_and_empty_tables(spark, odd_docs, prose):
     want = phrases_of([(r["lang"], r["text"]) for r in odd_docs.collect()], 3, 5, 100)
     assert sorted(map(tuple, collocations.collocations(odd_docs, 3, top=100).collect())) == want and want
