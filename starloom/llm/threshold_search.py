@@ -6,8 +6,9 @@ that it meets for the first time. No vector that it has not met can score more t
 components at this depth; as soon as that bound is below the k-th best score, the rest of the block is not read.
 
 The queries go in batches through all blocks. Each batch first searches one block, whose k-th score is where the
-search of all others begins. Equal query vectors are searched once, and of equal candidates only the k + 1 least ids
-are kept, which is all that any result can hold.
+search of all others begins. Blocks are dealt to tasks; a task gets a copy of the batches, holds them and lets its blocks
+pass by, so batches are copied once a task and not once a block, and only through the shuffle, never the driver. Equal query
+vectors are searched once, and of equal candidates only the k + 1 least ids are kept, which is all that any result can hold.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.batches import store
+from starloom.llm.batches import partitions, store
 
 K = 5
 SCALE = 256
@@ -27,6 +28,8 @@ BLOCK = 2_048
 BATCH = 512
 #: Depth of the first step; every further one is twice as deep.
 FIRST_DEPTH = 32
+#: Batches that a task holds on average at most; if there are more, blocks are copied too.
+HELD = 512
 #: Results of a query vector are dealt to this many keys where the queries fetch them: one vector may ask very often.
 SALTS = 16
 
@@ -43,15 +46,15 @@ def whole_vectors(rows: DataFrame, scale: int = SCALE, id_col: str = "vec_id", v
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of equal length as a matrix of the smallest of two integer types."""
+    """Rows of equal length as a matrix of the smallest of three integer types."""
     whole = column.flatten().to_numpy().reshape(len(column), dim)
-    small = not whole.size or (whole.max() < 1 << 31 and whole.min() >= -(1 << 31))
-    return whole.astype(np.int32 if small else np.int64)
+    least, most = whole.min(initial=0), whole.max(initial=0)
+    return whole.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
 
 
-def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
-    kind = np.int32 if len(data) == 4 * n * dim else np.int64
-    return np.frombuffer(data, kind).reshape(n, dim)
+def _unpacked(data: bytes, n: int, dim: int, kind: str = "i") -> np.ndarray:
+    """The matrix of these bytes; their number tells the size of a component."""
+    return np.frombuffer(data, f"{kind}{len(data) // (n * dim) if n * dim else 8}").reshape(n, dim)
 
 
 def candidate_blocks(vectors: DataFrame, n_blocks: int) -> DataFrame:
@@ -61,7 +64,7 @@ def candidate_blocks(vectors: DataFrame, n_blocks: int) -> DataFrame:
         dim = table["dim"][0].as_py()
         table = table.sort_by("id").combine_chunks()
         v = _matrix(table["v"].combine_chunks(), dim)
-        lists = np.argsort(v, axis=0, kind="stable").T.astype(np.uint32)
+        lists = np.argsort(v, axis=0, kind="stable").T.astype(np.uint16 if len(v) <= 1 << 16 else np.uint32)
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "block": pa.array([table["block"][0].as_py()], pa.int32()),
             "n": pa.array([len(v)], pa.int32()), "ids": [table["id"].to_numpy().tobytes()], "v": [v.tobytes()],
@@ -140,13 +143,13 @@ def _best(rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Block:
-    """A block of candidates, unpacked once for all batches that follow each other."""
+    """A block of candidates, unpacked once for all batches that it meets."""
 
     def __init__(self, row: dict) -> None:
-        self.key = (row["dim"], row["block"])
+        self.dim = row["dim"]
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.v = _unpacked(row["v"], row["n"], row["dim"])
-        self.lists = np.frombuffer(row["lists"], np.uint32).reshape(row["dim"], row["n"])
+        self.lists = _unpacked(row["more"], row["dim"], row["n"], "u")
         self.kinds: dict = {}
 
     def found(self, q: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,54 +165,84 @@ class _Block:
             yield self.ids[rows], np.asarray(long, np.int64), (v[rows] == one).all(axis=1)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, np.ndarray, np.ndarray, dict]]:
-    block = None
+def _raised(floors: np.ndarray, scores: list[np.ndarray], k: int) -> np.ndarray:
+    """The k-th of these scores of each query where it is above the floor."""
+    return np.array([max(f, s.min()) if len(s) == k else f for f, s in zip(floors, scores, strict=True)], np.int64)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for part in batches:
         for i in range(part.num_rows):
             row = {name: part.column(j)[i] for j, name in enumerate(part.schema.names)}
-            row = {k: x.as_buffer() if isinstance(x, pa.BinaryScalar) else x.as_py() for k, x in row.items()}
-            if block is None or block.key != (row["dim"], row["block"]):
-                block = _Block(row)
-            q = _unpacked(row["qv"], row["qn"], row["dim"])
-            yield block, np.frombuffer(row["keys"], np.int64), q, row
+            yield {k: x.as_buffer() if isinstance(x, pa.BinaryScalar) else x.as_py() for k, x in row.items()}
+
+
+def _together(batches: DataFrame, blocks: DataFrame, n_tasks: int, blocks_first: bool) -> DataFrame:
+    """Batches and blocks in the tasks that they name, those of one dimension after each other."""
+    shared = ["task", "dim", "n"]
+    blocks = blocks.select(*shared, F.lit(True).alias("is_block"), F.col("block").alias("number"), "ids", "v", F.col("lists").alias("more"))
+    batches = batches.select(*shared, F.lit(False).alias("is_block"), F.col("batch").alias("number"), F.col("keys").alias("ids"), "v", F.col("floors").alias("more"))
+    side = F.col("is_block").desc() if blocks_first else F.col("is_block")
+    return batches.union(blocks).repartitionById(n_tasks, F.col("task")).sortWithinPartitions("dim", side, "number")
 
 
-def search(batches: DataFrame, blocks: DataFrame, n_blocks: int, k: int) -> DataFrame:
+def _copies(rows: DataFrame, n: int, name: str) -> DataFrame:
+    return rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def search(batches: DataFrame, blocks: DataFrame, n_blocks: int, n_batches: int, k: int) -> DataFrame:
     """key, id, score and same (the query's own vector) of rows of every block that may be among the ``k`` best.
 
-    Batches and blocks meet by equal (dim, block): every batch is dealt to all blocks, first to one, whose k-th scores
-    go with it to the others.
+    Every batch first meets one block, whose k-th scores go with it. Then blocks are dealt to lanes and batches to groups
+    (one, unless they are too many to hold or blocks too few for all tasks), and each pair of them is a task.
     """
-    first = batches.withColumn("block", F.pmod(F.xxhash64("batch"), F.lit(n_blocks)).cast("int"))
-    queries = ["dim", "block", "batch", F.col("n").alias("qn"), "keys", F.col("v").alias("qv")]
+    n_tasks = partitions(batches.sparkSession)
 
-    def prime(units: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, keys, q, row in _units(units):
-            floors = [s.min() if len(s) == k else NONE for _, s, _ in block.found(q, k, np.full(len(q), NONE))]
+    def prime(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for row in _rows(rows):
+            if row["is_block"]:
+                block = _Block(row)
+                continue
+            q, floors = _unpacked(row["v"], row["n"], row["dim"]), np.full(row["n"], NONE)
+            if block is not None and block.dim == row["dim"]:  # a block may have no vector of this dimension
+                floors = _raised(floors, [s for _, s, _ in block.found(q, k, floors)], k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["dim"]], pa.int32()), pa.array([row["batch"]], pa.int32()), pa.array([row["qn"]], pa.int32()),
-                 pa.array([keys.tobytes()]), pa.array([q.tobytes()]), pa.array([np.array(floors, np.int64).tobytes()])],
+                [pa.array([row["dim"]], pa.int32()), pa.array([row["number"]], pa.int32()), pa.array([row["n"]], pa.int32()),
+                 pa.array([row["ids"].to_pybytes()]), pa.array([q.tobytes()]), pa.array([floors.tobytes()])],
                 ["dim", "batch", "n", "keys", "v", "floors"],
             )
 
-    def probe(units: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, keys, q, row in _units(units):
-            hits = list(block.found(q, k, np.frombuffer(row["floors"], np.int64)))
-            of = np.repeat(keys, [len(ids) for ids, _, _ in hits])
-            columns = [pa.array(of)] + [pa.array(np.concatenate([h[j] for h in hits])) for j in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "score", "same"])
-
-    # a block that has no vector of this dimension leaves the batch without a first score
-    there = ["dim", "block", "n", "ids", "v", "lists"]
-    met = first.select(*queries).join(blocks.select(*there), ["dim", "block"])
-    primed = met.mapInArrow(prime, "dim int, batch int, n int, keys binary, v binary, floors binary")
-    alone = first.join(blocks.select("dim", "block"), ["dim", "block"], "left_anti").select(
-        "dim", "batch", "n", "keys", "v", F.expr(f"unhex(repeat('{np.int64(NONE).tobytes().hex()}', n))").alias("floors")
-    )
-    ready = store(primed.union(alone), "batches")
-    dealt = ready.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    met = dealt.select(*queries, "floors").join(blocks.select(*there), ["dim", "block"])
-    return met.mapInArrow(probe, "key long, id long, score long, same boolean")
+    def probe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for row in _rows(rows):
+            if held and held[0][0] != row["dim"]:
+                held = []
+            if not row["is_block"]:
+                q = _unpacked(row["v"], row["n"], row["dim"])
+                held.append([row["dim"], np.frombuffer(row["ids"], np.int64), q, np.frombuffer(row["more"], np.int64)])
+                continue
+            block = _Block(row)
+            for batch in held:
+                _, keys, q, floors = batch
+                hits = list(block.found(q, k, floors))
+                batch[3] = _raised(floors, [s for _, s, _ in hits], k)
+                of = np.repeat(keys, [len(ids) for ids, _, _ in hits])
+                columns = [pa.array(of)] + [pa.array(np.concatenate([h[j] for h in hits])) for j in range(3)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "score", "same"])
+
+    lanes = min(n_blocks, n_batches)
+    parts = min(-(-n_batches // lanes), -(-n_tasks // lanes))
+    first = batches.withColumn("task", F.col("batch") % lanes * parts + F.floor(F.col("batch") / lanes).cast("int") % parts)
+    met = _copies(blocks.where(F.col("block") < lanes), parts, "part").withColumn("task", F.col("block") * parts + F.col("part"))
+    met = _together(first.withColumn("floors", F.lit(b"")), met, lanes * parts, True)
+    ready = store(met.mapInArrow(prime, "dim int, batch int, n int, keys binary, v binary, floors binary"), "batches")
+
+    groups = min(n_batches, max(-(-n_batches // HELD), -(-n_tasks // n_blocks)))
+    lanes = min(n_blocks, -(-n_tasks // groups))
+    dealt = _copies(ready, lanes, "lane").withColumn("task", F.col("lane") * groups + F.col("batch") % groups)
+    met = _copies(blocks, groups, "group").withColumn("task", F.col("block") % lanes * groups + F.col("group"))
+    return _together(dealt, met, lanes * groups, False).mapInArrow(probe, "key long, id long, score long, same boolean")
 
 
 def top_k(
@@ -232,7 +265,7 @@ def top_k(
     distinct = store(asked.groupBy("key", "v").agg(F.lit(1).alias("one")).drop("one"), "query_vectors")
     n_blocks, n_batches = (max(1, -(-t.count() // n)) for t, n in ((kept, block), (distinct, batch)))
     blocks = store(candidate_blocks(kept, n_blocks), "blocks")
-    found = search(query_batches(distinct, n_batches), blocks, n_blocks, k + 1)
+    found = search(query_batches(distinct, n_batches), blocks, n_blocks, n_batches, k + 1)
     order = Window.partitionBy("key").orderBy(F.col("score").desc(), "id")
     found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     best = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score", "same"))).alias("best"))

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import plan_of
 from llm_support import DOCS, library, odd_docs, prose  # noqa: F401
 
 from starloom.llm import collocations, importance_resampling, threshold_search
@@ -124,6 +125,25 @@ def test_search_is_that_of_all_products(spark):
     assert not threshold_search.top_k(queries.where("false"), frame).collect()
 
 
+def test_batches_of_queries_do_not_pass_the_driver(spark, monkeypatch):
+    draw, seen = np.random.default_rng(2), []
+    search = threshold_search.search
+
+    def kept(*args):
+        seen.append(search(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(threshold_search, "search", kept)
+    rows = [(i, [float(x) for x in np.round(draw.normal(size=4), 2)]) for i in range(400)]
+    rows += [(i, [float(i % 7), float(i % 5) - 2]) for i in range(400, 460)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for held, block, batch in ((2, 16, 8), (1, 4, 64), (512, 400, 8)):  # many groups of batches, many blocks, few blocks
+        monkeypatch.setattr(threshold_search, "HELD", held, raising=False)
+        got = sorted(map(tuple, threshold_search.top_k(frame.where("vec_id % 3 = 0"), frame, 5, block=block, batch=batch).collect()))
+        assert got == best_of(rows, 5, 3)
+        assert "Broadcast" not in plan_of(seen[-1])
+
+
 def test_search_stops_before_the_end_of_the_lists():
     draw = np.random.default_rng(1)
     v = np.concatenate([draw.normal(0, 1, (2000, 3)), draw.normal(9, 1, (48, 3))])
