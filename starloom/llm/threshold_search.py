@@ -5,9 +5,11 @@ query reads the lists from the end that favours it, from all dimensions to the s
 that it meets for the first time. No vector that it has not met can score more than the query's product with the
 components at this depth; as soon as that bound is below the k-th best score, the rest of the block is not read.
 
-The queries go in batches through all blocks. Each batch first searches one block, whose k-th score is where the
+The queries go in batches through all blocks. The queries of a batch read the lists of a block together: what any of them meets
+is scored for all that are not done, in one matrix product. Each batch first searches one block, whose k-th score is where the
 search of all others begins. Blocks are dealt to tasks; a task gets a copy of the batches, holds them and lets its blocks
-pass by, so batches are copied once a task and not once a block, and only through the shuffle, never the driver. Equal query
+pass by, so batches are copied once a task and not once a block, and only through the shuffle, never the driver. The k best of
+its blocks leave the task, and their k-th score is where the search of its next block begins. Equal query
 vectors are searched once, and of equal candidates only the k + 1 least ids are kept, which is all that any result can hold.
 """
 
@@ -28,7 +30,7 @@ BLOCK = 2_048
 BATCH = 512
 #: Depth of the first step; every further one is twice as deep.
 FIRST_DEPTH = 32
-#: Batches that a task holds on average at most; if there are more, blocks are copied too.
+#: Batches that a task holds on average at most, or fewer for a larger k; if there are more, blocks are copied too.
 HELD = 512
 #: Results of a query vector are dealt to this many keys where the queries fetch them: one vector may ask very often.
 SALTS = 16
@@ -95,51 +97,67 @@ def query_batches(queries: DataFrame, n_batches: int) -> DataFrame:
 def _working(v: np.ndarray, q: np.ndarray) -> type:
     """A number type in which products of these vectors are exact."""
     reach = int(np.abs(v.astype(np.float64)).max(initial=0)) * int(np.abs(q.astype(np.float64)).max(initial=0)) * max(v.shape[1], 1)
-    return np.float64 if reach < 1 << 52 else np.int64 if reach < 1 << 62 else object
+    return next((t for t, top in ((np.float32, 1 << 24), (np.float64, 1 << 52), (np.int64, 1 << 62)) if reach < top), object)
 
 
-def threshold_search(
-    v: np.ndarray, values: np.ndarray, lists: np.ndarray, q: np.ndarray, k: int, floor: int
-) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows and scores that may be among the k best of one query, and how many vectors were scored.
+def _long(scores: np.ndarray) -> np.ndarray:
+    """Python's integers beyond 64 bits as the largest or least long; other numbers as they are."""
+    return np.minimum(np.maximum(scores, NONE), -NONE - 1) if scores.dtype == object else scores
+
+
+def _best(of: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the k best of each query, the smaller row of equal scores; then queries that have k, and their k-th scores."""
+    order = np.lexsort((rows, ~scores if scores.dtype == np.int64 else -scores, of))
+    begins = np.flatnonzero(np.diff(of[order], prepend=-1))
+    place = np.arange(len(of)) - np.repeat(begins, np.diff(begins, append=len(of)))
+    last = order[place == k - 1]
+    return order[place < k], of[last], scores[last]
 
-    ``values`` are the components in the order of ``lists``. Rows that score less than ``floor`` are of no use. Among
+
+def batch_search(
+    v: np.ndarray, values: np.ndarray, lists: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query, row and score of rows that may be among the k best of each query, and how many vectors were scored.
+
+    ``values`` are the components in the order of ``lists``. Rows that score less than a query's floor are of no use to it. Among
     equal scores the smaller row number is better.
     """
     n = len(v)
-    up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-    seen = np.zeros(n, bool)
-    rows, scores = np.zeros(0, np.int64), np.zeros(0, v.dtype)
+    up, down, floors = np.maximum(q, 0), np.minimum(q, 0), floors.astype(v.dtype)
+    left, todo = np.ones(n, bool), np.arange(len(q))
+    of, rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, v.dtype)
     depth, scored = 0, 0
     while True:
         depth = min(n, FIRST_DEPTH if not depth else 2 * depth)
-        met = np.zeros(n, bool)
-        if len(up) + len(down):
-            met[lists[up, n - depth :].ravel()] = True
-            met[lists[down, :depth].ravel()] = True
-        else:
-            met[:] = True
-        new = np.flatnonzero(met & ~seen)
-        seen |= met
+        met = np.full(n, depth == n)
+        met[lists[(up[todo] > 0).any(axis=0), n - depth :].ravel()] = True
+        met[lists[(down[todo] < 0).any(axis=0), :depth].ravel()] = True
+        new = np.flatnonzero(met & left)
+        left[new] = False
         scored += len(new)
-        rows, scores = np.concatenate([rows, new]), np.concatenate([scores, v[new] @ q])
-        if len(rows) > k:
-            best = np.lexsort((rows, -scores))[:k] if v.dtype == object else _best(rows, scores, k)
-            rows, scores = rows[best], scores[best]
+        more = _long(q[todo] @ v[new].T)
+        if len(new) > k and more.dtype != object:  # k of them reach this, so no others need to be sorted
+            rough = np.count_nonzero(more >= floors[todo, None], axis=1) > 4 * k
+            least = np.partition(more[rough], len(new) - k, axis=1)[:, len(new) - k]
+            floors[todo[rough]] = np.maximum(floors[todo[rough]], least)
+        at, j = np.nonzero(more >= floors[todo, None])
+        of, rows, scores = np.concatenate([of, todo[at]]), np.concatenate([rows, new[j]]), np.concatenate([scores, more[at, j]])
+        best, full, least = _best(of, rows, scores, k)
+        of, rows, scores = of[best], rows[best], scores[best]
+        floors[full] = np.maximum(floors[full], least)
         if depth == n or scored == n:
-            break
-        bound = (q[up] * values[up, n - depth - 1]).sum() + (q[down] * values[down, depth]).sum()
-        if bound < (max(floor, scores.min()) if len(rows) == k else floor):
-            break
-    use = scores >= floor
-    return rows[use], scores[use], scored
+            return of, rows, scores, scored
+        bound = up[todo] @ values[:, n - depth - 1] + down[todo] @ values[:, depth]
+        todo = todo[_long(bound) >= floors[todo]]
+        if not len(todo):
+            return of, rows, scores, scored
 
 
-def _best(rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """The k best, the smaller row of equal scores; sorts only what reaches the k-th score."""
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    near = np.flatnonzero(scores >= least)
-    return near[np.lexsort((rows[near], -scores[near]))[:k]]
+def threshold_search(
+    v: np.ndarray, values: np.ndarray, lists: np.ndarray, q: np.ndarray, k: int, floor: int
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """``batch_search`` for one query."""
+    return batch_search(v, values, lists, q[None], k, np.array([floor]))[1:]
 
 
 class _Block:
@@ -152,22 +170,36 @@ class _Block:
         self.lists = _unpacked(row["more"], row["dim"], row["n"], "u")
         self.kinds: dict = {}
 
-    def found(self, q: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Ids and scores for each query, and whether a vector is the query's own."""
+    def found(self, q: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Query, id, score and whether the vector is the query's own, of what may be among the k best of each query."""
         kind = _working(self.v, q)
         if kind not in self.kinds:
             v = self.v.astype(kind)
             self.kinds[kind] = v, np.take_along_axis(v.T, self.lists.astype(np.int64), axis=1)
-        v, values = self.kinds[kind]
-        for one, floor in zip(q.astype(kind), floors, strict=True):
-            rows, scores, _ = threshold_search(v, values, self.lists, one, k, int(floor))
-            long = [max(NONE, min(-NONE - 1, int(s))) for s in scores] if kind is object else scores.astype(np.int64)
-            yield self.ids[rows], np.asarray(long, np.int64), (v[rows] == one).all(axis=1)
+        of, rows, scores, _ = batch_search(*self.kinds[kind], self.lists, q.astype(kind), k, floors)
+        return of, self.ids[rows], scores.astype(np.int64), (self.v[rows] == q[of]).all(axis=1)
+
+
+class _Held:
+    """A batch of queries and the best that they have found so far."""
+
+    def __init__(self, row: dict) -> None:
+        self.dim = row["dim"]
+        self.keys, self.floors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["more"], np.int64).copy()
+        self.q = _unpacked(row["v"], row["n"], row["dim"])
+        self.hits = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
 
+    def meet(self, block: _Block, k: int) -> None:
+        found = block.found(self.q, k, self.floors)
+        if len(found[0]):
+            hits = [np.concatenate(pair) for pair in zip(self.hits, found, strict=True)]
+            best, full, least = _best(*hits[:3], k)
+            self.hits = tuple(x[best] for x in hits)
+            self.floors[full] = np.maximum(self.floors[full], least)
 
-def _raised(floors: np.ndarray, scores: list[np.ndarray], k: int) -> np.ndarray:
-    """The k-th of these scores of each query where it is above the floor."""
-    return np.array([max(f, s.min()) if len(s) == k else f for f, s in zip(floors, scores, strict=True)], np.int64)
+    def result(self) -> pa.RecordBatch:
+        of, *rest = self.hits
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.keys[of], *rest)], ["key", "id", "score", "same"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -191,7 +223,7 @@ def _copies(rows: DataFrame, n: int, name: str) -> DataFrame:
 
 
 def search(batches: DataFrame, blocks: DataFrame, n_blocks: int, n_batches: int, k: int) -> DataFrame:
-    """key, id, score and same (the query's own vector) of rows of every block that may be among the ``k`` best.
+    """key, id, score and same (the query's own vector) of the ``k`` best of each task, among which are the ``k`` best of all.
 
     Every batch first meets one block, whose k-th scores go with it. Then blocks are dealt to lanes and batches to groups
     (one, unless they are too many to hold or blocks too few for all tasks), and each pair of them is a task.
@@ -204,32 +236,28 @@ def search(batches: DataFrame, blocks: DataFrame, n_blocks: int, n_batches: int,
             if row["is_block"]:
                 block = _Block(row)
                 continue
-            q, floors = _unpacked(row["v"], row["n"], row["dim"]), np.full(row["n"], NONE)
+            batch = _Held(row | {"more": np.full(row["n"], NONE)})
             if block is not None and block.dim == row["dim"]:  # a block may have no vector of this dimension
-                floors = _raised(floors, [s for _, s, _ in block.found(q, k, floors)], k)
+                batch.meet(block, k)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["dim"]], pa.int32()), pa.array([row["number"]], pa.int32()), pa.array([row["n"]], pa.int32()),
-                 pa.array([row["ids"].to_pybytes()]), pa.array([q.tobytes()]), pa.array([floors.tobytes()])],
+                 pa.array([batch.keys.tobytes()]), pa.array([batch.q.tobytes()]), pa.array([batch.floors.tobytes()])],
                 ["dim", "batch", "n", "keys", "v", "floors"],
             )
 
     def probe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held: list[_Held] = []
         for row in _rows(rows):
-            if held and held[0][0] != row["dim"]:
+            if held and held[0].dim != row["dim"]:
+                yield from (batch.result() for batch in held)
                 held = []
             if not row["is_block"]:
-                q = _unpacked(row["v"], row["n"], row["dim"])
-                held.append([row["dim"], np.frombuffer(row["ids"], np.int64), q, np.frombuffer(row["more"], np.int64)])
-                continue
-            block = _Block(row)
-            for batch in held:
-                _, keys, q, floors = batch
-                hits = list(block.found(q, k, floors))
-                batch[3] = _raised(floors, [s for _, s, _ in hits], k)
-                of = np.repeat(keys, [len(ids) for ids, _, _ in hits])
-                columns = [pa.array(of)] + [pa.array(np.concatenate([h[j] for h in hits])) for j in range(3)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "score", "same"])
+                held.append(_Held(row))
+            elif held:
+                block = _Block(row)
+                for batch in held:
+                    batch.meet(block, k)
+        yield from (batch.result() for batch in held)
 
     lanes = min(n_blocks, n_batches)
     parts = min(-(-n_batches // lanes), -(-n_tasks // lanes))
@@ -238,7 +266,7 @@ def search(batches: DataFrame, blocks: DataFrame, n_blocks: int, n_batches: int,
     met = _together(first.withColumn("floors", F.lit(b"")), met, lanes * parts, True)
     ready = store(met.mapInArrow(prime, "dim int, batch int, n int, keys binary, v binary, floors binary"), "batches")
 
-    groups = min(n_batches, max(-(-n_batches // HELD), -(-n_tasks // n_blocks)))
+    groups = min(n_batches, max(-(-n_batches // max(1, HELD * (K + 1) // k)), -(-n_tasks // n_blocks)))
     lanes = min(n_blocks, -(-n_tasks // groups))
     dealt = _copies(ready, lanes, "lane").withColumn("task", F.col("lane") * groups + F.col("batch") % groups)
     met = _copies(blocks, groups, "group").withColumn("task", F.col("block") % lanes * groups + F.col("group"))

@@ -144,6 +144,31 @@ def test_batches_of_queries_do_not_pass_the_driver(spark, monkeypatch):
         assert "Broadcast" not in plan_of(seen[-1])
 
 
+def test_a_batch_finds_the_best_of_all_products_in_every_number_type():
+    draw, kinds = np.random.default_rng(6), set()
+    for scale in (3, 2_000, 1 << 23, 1 << 28, 1 << 62):
+        v, q = draw.integers(-scale, scale, (150, 5)), draw.integers(-scale, scale, (12, 5))
+        v[::4], q[0], q[1] = v[0], 0, -v[0]
+        kinds.add(kind := threshold_search._working(v, q))
+        lists = np.ascontiguousarray(np.argsort(v, axis=0, kind="stable").T.astype(np.uint16))
+        values = np.take_along_axis(v.astype(kind).T, lists.astype(int), axis=1)
+        dots = [[max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(a, b, strict=True)))) for b in v] for a in q]
+        floors = np.array([threshold_search.NONE if i % 2 else sorted(d)[-3] for i, d in enumerate(dots)], np.int64)
+        of, rows, scores, _ = threshold_search.batch_search(v.astype(kind), values, lists, q.astype(kind), 7, floors)
+        want = {(i, r, s) for i, d in enumerate(dots) for s, r in sorted((-s, r) for r, s in enumerate(d) if s >= floors[i])[:7]}
+        assert {(int(i), int(r), -int(s)) for i, r, s in zip(of, rows, scores, strict=True)} == want
+    assert kinds == {np.float32, np.float64, np.int64, object}
+
+
+def test_no_more_than_the_best_leave_a_task(spark):
+    draw = np.random.default_rng(9)
+    rows = [(i, [int(x) for x in draw.integers(-90, 90, 3)], 1 + i) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "id long, v array<long>, key long")
+    blocks = threshold_search.candidate_blocks(vectors, 60)
+    found = threshold_search.search(threshold_search.query_batches(vectors, 3), blocks, 60, 3, 4).collect()
+    assert max(Counter(r["key"] for r in found).values()) <= 4 * 8  # tasks of the session
+
+
 def test_search_stops_before_the_end_of_the_lists():
     draw = np.random.default_rng(1)
     v = np.concatenate([draw.normal(0, 1, (2000, 3)), draw.normal(9, 1, (48, 3))])
