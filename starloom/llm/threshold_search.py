@@ -32,6 +32,8 @@ BATCH = 512
 FIRST_DEPTH = 32
 #: Batches that a task holds on average at most, or fewer for a larger k; if there are more, blocks are copied too.
 HELD = 512
+#: Batches are copied to no more tasks than these for each core, however many partitions other shuffles have.
+TASKS_A_CORE = 8
 #: Results of a query vector are dealt to this many keys where the queries fetch them: one vector may ask very often.
 SALTS = 16
 
@@ -136,11 +138,13 @@ def batch_search(
         left[new] = False
         scored += len(new)
         more = _long(q[todo] @ v[new].T)
-        if len(new) > k and more.dtype != object:  # k of them reach this, so no others need to be sorted
-            rough = np.count_nonzero(more >= floors[todo, None], axis=1) > 4 * k
-            least = np.partition(more[rough], len(new) - k, axis=1)[:, len(new) - k]
-            floors[todo[rough]] = np.maximum(floors[todo[rough]], least)
-        at, j = np.nonzero(more >= floors[todo, None])
+        hits = np.flatnonzero(more >= floors[todo, None])
+        many = np.bincount(hits // max(1, len(new)), minlength=len(todo)) > 4 * k
+        if many.any() and more.dtype != object:  # k of them reach the k-th, so no others need to be sorted
+            least = np.partition(more[many], len(new) - k, axis=1)[:, len(new) - k]
+            floors[todo[many]] = np.maximum(floors[todo[many]], least)
+            hits = np.flatnonzero(more >= floors[todo, None])
+        at, j = np.divmod(hits, max(1, len(new)))
         of, rows, scores = np.concatenate([of, todo[at]]), np.concatenate([rows, new[j]]), np.concatenate([scores, more[at, j]])
         best, full, least = _best(of, rows, scores, k)
         of, rows, scores = of[best], rows[best], scores[best]
@@ -228,7 +232,8 @@ def search(batches: DataFrame, blocks: DataFrame, n_blocks: int, n_batches: int,
     Every batch first meets one block, whose k-th scores go with it. Then blocks are dealt to lanes and batches to groups
     (one, unless they are too many to hold or blocks too few for all tasks), and each pair of them is a task.
     """
-    n_tasks = partitions(batches.sparkSession)
+    spark = batches.sparkSession
+    n_tasks = min(partitions(spark), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
 
     def prime(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None

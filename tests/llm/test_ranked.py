@@ -160,13 +160,20 @@ def test_a_batch_finds_the_best_of_all_products_in_every_number_type():
     assert kinds == {np.float32, np.float64, np.int64, object}
 
 
-def test_no_more_than_the_best_leave_a_task(spark):
+def test_no_more_than_the_best_leave_a_task(spark, monkeypatch):
     draw = np.random.default_rng(9)
     rows = [(i, [int(x) for x in draw.integers(-90, 90, 3)], 1 + i) for i in range(300)]
     vectors = spark.createDataFrame(rows, "id long, v array<long>, key long")
-    blocks = threshold_search.candidate_blocks(vectors, 60)
-    found = threshold_search.search(threshold_search.query_batches(vectors, 3), blocks, 60, 3, 4).collect()
-    assert max(Counter(r["key"] for r in found).values()) <= 4 * 8  # tasks of the session
+    monkeypatch.setattr(threshold_search, "TASKS_A_CORE", 1, raising=False)
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (before, "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            blocks, batches = threshold_search.candidate_blocks(vectors, 60), threshold_search.query_batches(vectors, 3)
+            found = threshold_search.search(batches, blocks, 60, 3, 4).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert max(Counter(r["key"] for r in found).values()) <= 4 * min(int(n), cores)
 
 
 def test_search_stops_before_the_end_of_the_lists():
